@@ -16,6 +16,13 @@ from tessera.session import maybe_broadcast
 ADDITIVE_PSEUDOCOUNT = 1e-6  # fixed value: the reference's default additive CLR pseudocount
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column
+    function).  Without it, a per-row scalar (a row sum, a mean) used inside
+    an array lambda would be re-evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def vsum(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
@@ -30,14 +37,12 @@ def vmax(vec: Column) -> Column:
 
 def closure(vec: Column) -> Column:
     """Divide by the row sum; an all-zero row becomes all NULL (0/0)."""
-    s = vsum(vec)
-    return F.transform(vec, lambda x: F.try_divide(x, s))
+    return let(vec, lambda v: let(vsum(v), lambda s: F.transform(v, lambda x: F.try_divide(x, s))))
 
 
 def _clr_of_positive(vec: Column) -> Column:
     logs = F.transform(vec, lambda x: F.log(x))
-    m = vmean(logs)
-    return F.transform(logs, lambda l: l - m)
+    return let(logs, lambda lg: let(vmean(lg), lambda m: F.transform(lg, lambda l: l - m)))
 
 
 def clr_additive(vec: Column, pseudocount: float = ADDITIVE_PSEUDOCOUNT) -> Column:
@@ -58,11 +63,16 @@ def clr_replace(vec: Column, pseudocount: Column) -> Column:
 
 def multiplicative_replacement(vec: Column) -> Column:
     """Close; zeros -> delta = (1/D)^2; non-zeros scaled by (1 - n_zero*delta)."""
-    closed = closure(vec)
-    d = F.size(vec).cast("double")
-    delta = F.pow(F.lit(1.0) / d, 2)
-    nz = F.size(F.filter(closed, lambda x: x == 0)).cast("double")
-    return F.transform(closed, lambda x: F.when(x == 0, delta).otherwise(x * (F.lit(1.0) - nz * delta)))
+
+    def body(c: Column) -> Column:
+        d = F.size(c).cast("double")
+        delta = F.pow(F.lit(1.0) / d, 2)
+        return let(
+            F.size(F.filter(c, lambda x: x == 0)).cast("double"),
+            lambda nz: F.transform(c, lambda x: F.when(x == 0, delta).otherwise(x * (F.lit(1.0) - nz * delta))),
+        )
+
+    return let(closure(vec), body)
 
 
 def clr_multiplicative(vec: Column) -> Column:
@@ -71,10 +81,17 @@ def clr_multiplicative(vec: Column) -> Column:
 
 def inverse_clr(vec: Column) -> Column:
     """Stable softmax: rows sum to 1."""
-    mx = vmax(vec)
-    ex = F.transform(vec, lambda x: F.exp(x - mx))
-    s = vsum(ex)
-    return F.transform(ex, lambda x: x / s)
+
+    def body(v: Column) -> Column:
+        return let(
+            vmax(v),
+            lambda mx: let(
+                F.transform(v, lambda x: F.exp(x - mx)),
+                lambda ex: let(vsum(ex), lambda s: F.transform(ex, lambda x: x / s)),
+            ),
+        )
+
+    return let(vec, body)
 
 
 # ---- log transforms and inverses (element-wise) -------------------------------------

@@ -36,8 +36,8 @@ def differential_abundance(
         "sample_id",
         group,
         "_eps",
-        F.explode(F.arrays_zip(F.col("features").alias("feature"), "p", "clr")).alias("c"),
-    ).select("sample_id", group, "_eps", "c.feature", "c.p", "c.clr")
+        F.inline(F.arrays_zip(F.col("features").alias("feature"), "p", "clr")),
+    )
     # reused by the contrast list, the ranks and the means: compute once
     long = long.persist(StorageLevel.MEMORY_AND_DISK)
     rows = contrast_rows(long, group, control).withColumn("rv", F.round("clr", RANK_DECIMALS))

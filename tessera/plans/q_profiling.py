@@ -331,7 +331,7 @@ def prj1_concat_vectors(spark, sf):
     a = fx.a_vectors(spark, sf).select("sample_id", F.col("vec").alias("va"))
     b = fx.b_vectors(spark, sf).select("sample_id", F.col("vec").alias("vb"))
     j = a.join(b, "sample_id").select("sample_id", F.concat("va", "vb").alias("v"))
-    return j.select("sample_id", F.posexplode("v").alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))
+    return j.select("sample_id", F.inline(F.transform("v", lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("value")))))
 
 
 @register(
