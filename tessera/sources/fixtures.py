@@ -167,14 +167,11 @@ def ec_metabolite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_history(spark: SparkSession, sf: str) -> DataFrame:
-    """(run, epoch, val_mse): one run per event type, epochs in time order."""
-    from pyspark.sql import Window
-
+    """(run, epoch, val_mse): one run per event type, event ids as epochs."""
     e = table(spark, sf, "events")
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     return e.select(
         F.col("event_type").alias("run"),
-        F.row_number().over(w).cast("bigint").alias("epoch"),
+        F.col("event_id").alias("epoch"),
         F.col("value").cast("double").alias("val_mse"),
     )
 
