@@ -19,7 +19,8 @@ from tessera.session import ensure_checkpoint_dir
 def missingness_stream(events: DataFrame, time_col: str, category: str, columns: list[str], window: str, watermark: str) -> DataFrame:
     """Streaming (or batch) plan: per tumbling window and category, row count
     and null count of each column."""
-    w = events.withWatermark(time_col, watermark)
+    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ); the session time zone is UTC
+    w = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, watermark)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.col(c).isNull()).alias(f"n_null_{c}") for c in columns]
     return w.groupBy(F.window(time_col, window).alias("w"), F.col(category)).agg(*aggs).select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), category, *[a for a in ["n"] + [f"n_null_{c}" for c in columns]]
