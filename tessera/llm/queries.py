@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, linededup, rules, simhash
+from tessera.llm import chat, decontam, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
 from tessera.llm.common import read, text_of
 
 
@@ -59,12 +59,62 @@ from o group by conv_id
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, and all spans."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.train(docs))
+    return found.select(
+        "doc_id",
+        "pii.n_email",
+        "pii.n_ip",
+        "pii.n_card",
+        "pii.n_phone",
+        F.sha2("pii.base", 256).alias("base_sha256"),
+        "pii.spans",
+    )
+
+
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in any document."""
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=3)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model that learned from the rows not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.train(docs, read(spark, sf_dir, "labels"))
+    scored = nbsvm.with_score(docs, model)
+    return scored.select(
+        "doc_id",
+        nbsvm.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op6_pseudolm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = pseudolm.vocabulary(docs)
+    scored = pseudolm.with_score(docs, words, pseudolm.train(docs, words))
+    n, total = F.col("lm.n_words"), F.col("lm.log_likelihood")
+    return scored.select(
+        "doc_id", n, total, F.when(n > 0, total / n).alias("mean_log_likelihood")
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, 1024), 1024)
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule metrics and verdict of every document; cutoffs learned from all labels."""
     judged = rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -80,6 +130,24 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select payload_digest, min(page_id) as first_page from p where payload_bytes >= 100 group by payload_digest
+)
+select page_id, payload_bytes, p.payload_digest,
+       case when first_page is null or first_page = page_id then 'response' else 'revisit' end as record_type,
+       case when first_page <> page_id then first_page end as refers_to
+from p left join f on p.payload_digest = f.payload_digest and payload_bytes >= 100
+"""
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more documents share."""
     out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -105,9 +173,15 @@ from k left join f using (key) group by doc_id
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_pii": op2_pii,
+    "op3_decontam": op3_decontam,
     "op4_simhash": op4_simhash,
+    "op5_nbsvm": op5_nbsvm,
+    "op6_pseudolm": op6_pseudolm,
+    "op7_packing": op7_packing,
     "op8_rules": op8_rules,
+    "op9_warc": op9_warc,
     "op10_linededup": op10_linededup,
 }
 
-ORACLES = {"op1_chat": OP1_SQL, "op10_linededup": OP10_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL, "op10_linededup": OP10_SQL}
