@@ -21,6 +21,9 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import SPACE_CHARS, cut_lineage, lower_ascii, text_of
 
+#: Tasks that the occurrences of one frequent line are dealt to when they are marked.
+SALTS = 32
+
 
 def line_key(line: Column) -> Column:
     return lower_ascii(F.trim(line, F.lit(SPACE_CHARS)))
@@ -50,9 +53,10 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
         firsts.groupBy("h1", "h2")
         .agg(F.sum(F.col("_first").cast("long")).alias("n"))
         .filter(F.col("n") >= min_docs)
-        .select("h1", "h2")
+        .select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     )
-    dropped = hashed.join(frequent, ["h1", "h2"], "left_semi")
+    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS))
+    dropped = hashed.withColumn("_salt", salt).join(frequent, ["h1", "h2", "_salt"], "left_semi")
     words = dropped.groupBy("doc_id", "_th", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")
     )
