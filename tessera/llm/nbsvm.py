@@ -3,8 +3,8 @@
 Features are indicators of hashed word 1- and 2-grams.  On a bounded sample of
 labelled rows (``fit_rows``, chosen by a hash of the id) class log-count ratios
 scale the indicators, and a linear hinge-loss model is fitted to them by dual
-coordinate descent, classes weighted to equal mass.  A logistic curve fitted on
-the part of the sample that the model has not seen turns margins into scores.
+coordinate descent, classes weighted to equal mass.  A logistic curve fitted to
+cross-validated margins turns the final model's margins into scores.
 Scoring is one Arrow pass over the texts without a shuffle.
 
 Defined cases: a null text is empty and scores as the model's intercept; rows
@@ -116,14 +116,13 @@ def dual_coordinate_descent(
 
 
 def logistic_curve(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """(a, b) of the logistic fit to margins, by Newton steps with a small ridge; classes of equal mass."""
+    """(a, b) of the logistic fit to margins, by Newton steps with a small ridge."""
     t = (y > 0).astype(float)
-    wt = np.where(t > 0, 0.5 / max(1.0, t.sum()), 0.5 / max(1.0, (1 - t).sum())) * len(t)
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = np.array([(wt * (p - t) * margins).sum() + 1e-2 * (a - 1), (wt * (p - t)).sum() + 1e-2 * b])
-        s = wt * p * (1 - p)
+        g = np.array([((p - t) * margins).sum() + 1e-2 * (a - 1), (p - t).sum() + 1e-2 * b])
+        s = p * (1 - p)
         h = np.array([[(s * margins**2).sum() + 1e-2, (s * margins).sum()], [(s * margins).sum(), s.sum() + 1e-2]])
         da, db = np.linalg.solve(h, g)
         a, b = a - float(np.clip(da, -2, 2)), b - float(np.clip(db, -2, 2))
@@ -132,25 +131,36 @@ def logistic_curve(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tup
     return max(a, 1e-3), b
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Fit on (features, 0/1 label) rows; every fourth row is kept for the logistic curve."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
+    """Fit on (features, 0/1 label) rows; the logistic curve sees each row's margin from a fold without it."""
     y = np.where(np.asarray(labels) > 0, 1, -1)
     if len(set(y.tolist())) < 2:
         share = 0.5 if not len(y) else min(max(float((y > 0).mean()), 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 1.0, math.log(share / (1 - share)))
-    held = np.arange(len(y)) % 4 == 3
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    train = [r for r, h in zip(rows, held) if not h]
-    ratio = log_count_ratios(train, y[~held])
-    w, bias = dual_coordinate_descent(train, y[~held], ratio)
-    model = Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
-    curve = held if held.any() else ~held
-    margins = np.array([model.margin(r) for r, h in zip(rows, curve) if h])
-    model.a, model.b = logistic_curve(margins, y[curve])
+    # each fold has its share of either class
+    fold = np.zeros(len(y), int)
+    for label in (1, -1):
+        fold[y == label] = np.arange((y == label).sum()) % folds
+    margins = np.full(len(y), np.nan)
+    for k in range(folds):
+        train = np.flatnonzero(fold != k)
+        if len(set(y[train].tolist())) == 2:
+            model = _machine([rows[i] for i in train], y[train])
+            for i in np.flatnonzero(fold == k):
+                margins[i] = model.margin(rows[i])
+    model = _machine(rows, y)
+    seen = ~np.isnan(margins)
+    if len(set(y[seen].tolist())) == 2:
+        model.a, model.b = logistic_curve(margins[seen], y[seen])
     return model
 
 
+def _machine(rows: list[np.ndarray], y: np.ndarray) -> Model:
+    ratio = log_count_ratios(rows, y)
+    w, bias = dual_coordinate_descent(rows, y, ratio)
+    return Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
