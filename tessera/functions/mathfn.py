@@ -2,7 +2,7 @@
 
 Spark has no erf/erfc/lgamma.  Normal tails use the Chebyshev-fitted erfc of
 Numerical Recipes (fractional error < 1.2e-7 everywhere, keeps tiny tails);
-chi-square tails for integer degrees of freedom use the finite series.
+chi-square tails for integer degrees of freedom sum the finite series.
 """
 
 from __future__ import annotations
@@ -48,36 +48,31 @@ def normal_two_sided_p(z: Column) -> Column:
     return erfc(F.abs(z) / F.lit(SQRT2))
 
 
-def chi2_sf(x: Column, df: Column, max_df: int = 80) -> Column:
-    """Upper tail of chi-square with integer ``df`` (1..max_df).
+def chi2_sf(x: Column, df: Column) -> Column:
+    """Upper tail of chi-square with integer ``df`` >= 1.
 
     even df: exp(-h) * sum_{i < df/2} h^i / i!             (h = x/2)
     odd df:  erfc(sqrt h) + sum_{i=1}^{(df-1)/2} exp((i-1/2) ln h - h - lgamma(i+1/2))
-    Terms are formed in log space so large x neither overflows nor loses the
-    tail; the log-gamma constants are plain literals.
+    The series runs over the row's own df.  Each term's logarithm follows from
+    the one before it and the sum is kept as a logarithm, so large x and df
+    neither overflow nor lose the tail.
     """
     h = x / F.lit(2.0)
     lh = F.log(h)
-    even = F.lit(0.0)
-    odd = F.lit(0.0)
-    for i in range(0, max_df // 2 + 1):
-        even = even + F.when(F.lit(i) < df / 2, F.exp(F.lit(float(i)) * lh - h - F.lit(math.lgamma(i + 1.0)))).otherwise(F.lit(0.0))
-        if i >= 1:
-            odd = odd + F.when(F.lit(i) <= (df - 1) / 2, F.exp(F.lit(i - 0.5) * lh - h - F.lit(math.lgamma(i + 0.5)))).otherwise(F.lit(0.0))
-    res = F.when(df % 2 == 0, even).otherwise(erfc(F.sqrt(h)) + odd)
-    return F.when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), res))
-
-
-def chi2_sf_sql(x: str, df: str, max_df: int = 80) -> str:
-    h = f"({x} / 2.0)"
-    lh = f"ln({h})"
-    even, odd = [], []
-    for i in range(0, max_df // 2 + 1):
-        even.append(f"CASE WHEN {i} < {df} / 2.0 THEN exp({float(i)!r} * {lh} - {h} - {math.lgamma(i + 1.0)!r}) ELSE 0.0 END")
-        if i >= 1:
-            odd.append(f"CASE WHEN {i} <= ({df} - 1) / 2.0 THEN exp({i - 0.5!r} * {lh} - {h} - {math.lgamma(i + 0.5)!r}) ELSE 0.0 END")
-    res = f"(CASE WHEN {df} % 2 = 0 THEN ({' + '.join(even)}) ELSE {erfc_sql(f'sqrt({h})')} + ({' + '.join(odd)}) END)"
-    return f"(CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1.0, {res}) END)"
+    half = F.when(df % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5))
+    first = F.when(df % 2 == 0, -h).otherwise(F.lit(0.5) * lh - h - F.lit(math.lgamma(1.5)))
+    later = F.floor((df - 1) / 2).cast("int") - F.when(df % 2 == 0, F.lit(0)).otherwise(F.lit(1))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["t"] + lh - F.log(i + half)
+        hi, lo = F.greatest(acc["s"], term), F.least(acc["s"], term)
+        return F.struct(term.alias("t"), (hi + F.log1p(F.exp(lo - hi))).alias("s"))
+
+    # term number n follows from its predecessor by ln h - ln n (even) or - ln(n + 1/2) (odd)
+    steps = F.when(later >= 1, F.sequence(F.lit(1), later)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(steps, F.struct(first.alias("t"), first.alias("s")), add, lambda acc: F.exp(acc["s"]))
+    res = F.when(df % 2 == 0, series).otherwise(erfc(F.sqrt(h)) + F.when(df > 1, series).otherwise(F.lit(0.0)))
+    return F.when(x <= 0, F.lit(1.0)).when(df >= 1, F.least(F.lit(1.0), res))
 
 
 def rnd(c: Column, d: int = 6) -> Column:

@@ -1,5 +1,5 @@
 """Three-layer weighted graph as node and edge tables (GRF family, AGG4, AGG12),
-connected components (GRF6) and first-order weighted random walks (WLK1-2).
+connected components (GRF6) and weighted random walks (WLK1-2).
 
 Edges are undirected and stored once as (src, dst); neighbour lists are the
 union of both orientations.  Iterative plans (components, walks) cut their
@@ -72,25 +72,40 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50, checkpoint_every: int = 3) -> DataFrame:
-    """(node_id, component): min-label propagation until no label changes.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node_id, component): the smallest node id of each node's component.
 
-    Each round is one join + ``groupBy(node).min``; a count of changed labels
-    is the only action (no data reaches the driver)."""
-    adj = neighbours(edges).select("src", "dst").persist()
-    labels = graph_nodes(edges).select("node_id", F.col("node_id").alias("comp"))
-    for r in range(max_rounds):
-        prop = adj.join(labels.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id"), "comp")
-        new = labels.union(prop).groupBy("node_id").agg(F.min("comp").alias("comp"))
-        if (r + 1) % checkpoint_every == 0:
-            new = cut_lineage(new)
-        else:
-            new = new.persist()
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node_id").filter(F.col("comp") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("comp", "component")
+    Alternating large-star / small-star rounds hook every node onto smaller
+    neighbours until each component is a star; the number of rounds grows with
+    the logarithm of the longest path and there is no limit on it.  Minima are
+    pre-aggregated map-side, so a hub's edges are never gathered in one task.
+    """
+    now = cut_lineage(
+        edges.filter(F.col("src") != F.col("dst"))
+        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+        .distinct()
+    )
+    before, state = None, _edge_state(now)
+    while state != before and state[0]:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_lowest(both), "u").filter(F.col("v") > F.col("u"))
+        hooked = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+        small = hooked.join(_lowest(hooked), "u")
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = cut_lineage(small.select(F.inline(pairs)).filter(F.col("u") != F.col("v")).distinct())
+        before, state = state, _edge_state(now)
+    nodes = graph_nodes(edges).select("node_id")
+    roots = now.select(F.col("u").alias("node_id"), F.col("v").alias("component"))
+    return nodes.join(roots, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+def _lowest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _edge_state(edges: DataFrame) -> tuple:
+    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return r[0], r[1]
 
 
 def islands(edges: DataFrame) -> DataFrame:
@@ -108,35 +123,93 @@ def islands(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Draws of a step are dealt to so many buckets of [0, 1); a node's slices go to the buckets they touch,
+#: so the walkers standing on a hub are spread over that many tasks.
+DRAW_BUCKETS = 64
+
+
 def transition_table(edges: DataFrame) -> DataFrame:
     """First-order (p = q = 1) transition CDF per node: (src, dst, lo, hi)
-    with [lo, hi) the slice of [0, 1) owned by the neighbour."""
-    n = neighbours(edges)
+    with [lo, hi) the slice of [0, 1) owned by the neighbour.  Slices touch:
+    ``lo`` is the previous ``hi`` and the last ``hi`` is exactly 1."""
+    n = neighbours(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     tot = n.groupBy("src").agg(F.sum("weight").alias("_t"))
-    w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = n.join(tot, "src").withColumn("hi", F.sum("weight").over(w) / F.col("_t"))
-    return c.select("src", "dst", (F.col("hi") - F.col("weight") / F.col("_t")).alias("lo"), "hi")
+    w = Window.partitionBy("src").orderBy("dst")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = n.join(tot, "src").withColumn("_hi", F.sum("weight").over(upto) / F.col("_t")).withColumn("_last", F.lead("dst").over(w).isNull())
+    return c.select(
+        "src",
+        "dst",
+        F.coalesce(F.lag("_hi").over(w), F.lit(0.0)).alias("lo"),
+        F.when(F.col("_last"), F.lit(1.0)).otherwise(F.col("_hi")).alias("hi"),
+    )
 
 
-def random_walks(edges: DataFrame, num_walks: int, walk_length: int, seed: int, checkpoint_every: int = 5) -> DataFrame:
+def second_order_probabilities(edges: DataFrame, p: float, q: float) -> DataFrame:
+    """(prev, cur, nxt, prob): from ``cur``, reached from ``prev``, the weight to
+    ``nxt`` times 1/p if it leads back, 1 if ``nxt`` is next to ``prev`` and 1/q
+    otherwise, normalised.  Edge pairs meet on the middle node."""
+    n = neighbours(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    first = n.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
+    second = n.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "weight")
+    near = n.select(F.col("src").alias("prev"), F.col("dst").alias("nxt"), F.lit(True).alias("_near"))
+    paths = first.join(second, "cur").join(near, ["prev", "nxt"], "left")
+    bias = F.when(F.col("prev") == F.col("nxt"), F.lit(1.0 / p)).when(F.col("_near"), F.lit(1.0)).otherwise(F.lit(1.0 / q))
+    paths = paths.select("prev", "cur", "nxt", (F.col("weight") * bias).alias("_w"))
+    tot = paths.groupBy("prev", "cur").agg(F.sum("_w").alias("_t"))
+    return paths.join(tot, ["prev", "cur"]).select("prev", "cur", "nxt", (F.col("_w") / F.col("_t")).alias("prob"))
+
+
+def _slices(cdf: DataFrame, keys: list[str]) -> DataFrame:
+    """Each slice [lo, hi) once per draw bucket that it touches."""
+    first = F.floor(F.col("lo") * DRAW_BUCKETS)
+    last = F.least(F.ceil(F.col("hi") * DRAW_BUCKETS) - 1, F.lit(DRAW_BUCKETS - 1))
+    return cdf.filter(F.col("hi") > F.col("lo")).select(
+        *keys, "dst", "lo", "hi", F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))).alias("bucket")
+    )
+
+
+def random_walks(
+    edges: DataFrame, num_walks: int, walk_length: int, seed: int, p: float = 1.0, q: float = 1.0, checkpoint_every: int = 5
+) -> DataFrame:
     """(walk_id, start, step, node): ``num_walks`` weighted walks from every
     node, ``walk_length`` nodes each.  Step t draws u = md5(seed:walk:t) and
     follows the neighbour whose CDF slice contains u: one equi-join on the
-    current node plus a range filter, per step."""
-    trans = transition_table(edges).persist()
+    current node (and, for p or q other than 1, the previous one) and the draw's
+    bucket, plus a range filter, per step."""
+    trans = cut_lineage(_slices(transition_table(edges), ["src"]))
+    second = None
+    if p != 1.0 or q != 1.0:
+        probs = second_order_probabilities(edges, p, q)
+        w = Window.partitionBy("prev", "cur").orderBy("nxt")
+        hi = F.sum("prob").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cdf = probs.withColumn("_hi", hi).select(
+            "prev",
+            F.col("cur").alias("src"),
+            F.col("nxt").alias("dst"),
+            F.coalesce(F.lag("_hi").over(w), F.lit(0.0)).alias("lo"),
+            F.when(F.lead("nxt").over(w).isNull(), F.lit(1.0)).otherwise(F.col("_hi")).alias("hi"),
+        )
+        second = cut_lineage(_slices(cdf, ["prev", "src"]))
     nodes = graph_nodes(edges).select(F.col("node_id").alias("start"))
     walks = nodes.select("start", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("rep")).select(
-        F.concat_ws(":", "start", "rep").alias("walk_id"), "start", F.lit(0).alias("step"), F.col("start").alias("node")
+        F.concat_ws(":", "start", "rep").alias("walk_id"), "start", F.lit(0).alias("step"), F.col("start").alias("node"),
+        F.lit(None).cast("string").alias("_prev"),
     )
-    cur = walks.select("walk_id", "start", "step", "node")
-    out = walks
+    cur, out = walks, walks
     for t in range(1, walk_length):
-        u = cur.withColumn("u", uniform(seed, F.col("walk_id"), F.lit(t)))
-        nxt = u.join(trans, u.node == trans.src).filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(
-            "walk_id", "start", F.lit(t).alias("step"), F.col("dst").alias("node")
+        u = uniform(seed, F.col("walk_id"), F.lit(t))
+        drawn = cur.withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * DRAW_BUCKETS).cast("int"))
+        here = drawn.withColumnRenamed("node", "src")
+        if second is not None and t > 1:
+            found = here.withColumnRenamed("_prev", "prev").join(second, ["prev", "src", "bucket"])
+        else:
+            found = here.join(trans, ["src", "bucket"])
+        nxt = found.filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(
+            "walk_id", "start", F.lit(t).alias("step"), F.col("dst").alias("node"), F.col("src").alias("_prev")
         )
         if t % checkpoint_every == 0:
             nxt = cut_lineage(nxt)
         cur = nxt
         out = out.unionByName(nxt)
-    return out
+    return out.drop("_prev")

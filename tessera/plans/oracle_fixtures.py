@@ -67,7 +67,7 @@ DEPENDS = {"fx_a": ["fx_meta"], "fx_b": ["fx_meta"]}
 
 
 def with_fixtures(body: str, *names: str, extra: str = "") -> str:
-    """``WITH <fixtures>[, extra] <body>``; fixtures ordered by dependency."""
+    """``WITH RECURSIVE <fixtures>[, extra] <body>``; fixtures ordered by dependency."""
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -81,4 +81,4 @@ def with_fixtures(body: str, *names: str, extra: str = "") -> str:
     ctes = [f"{n} AS ({FIXTURES[n]}\n)" for n in order]
     if extra:
         ctes.append(extra)
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body

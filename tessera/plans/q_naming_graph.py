@@ -15,7 +15,7 @@ from tessera.sources import fixtures as fx
 from tessera.sources.tables import table
 
 _CANON_COL = (
-    "trim(regexp_replace(lower(regexp_replace(regexp_replace(metabolome_column, '^[Ss][Ee][Rr][Uu][Mm]_[Aa][Bb][Ss]_', ''), "
+    "trim(regexp_replace(lower(regexp_replace(regexp_replace(metabolome_column, '(?i)^serum_abs_', ''), "
     "'_[0-9]+$', '')), '[^0-9a-z]+', ' ', 'g'))"
 )
 
@@ -35,12 +35,15 @@ cand_for AS (SELECT query, cid, row_number() OVER (PARTITION BY query ORDER BY c
       JOIN st2 s USING (token) GROUP BY q.query, s.cid, s.name) h
   JOIN (SELECT query, count(*) AS nt FROM (SELECT DISTINCT query, token FROM (SELECT query, unnest(string_split(query, ' ')) AS token FROM {{queries}}) u WHERE token <> '') v GROUP BY query) n
   USING (query) WHERE h.m = n.nt) f),
-cands AS (SELECT query, cid, CAST(hit_no AS BIGINT) AS hit_no FROM cand_for WHERE hit_no <= 8),
+allhits AS (SELECT query, cid, CAST(hit_no AS BIGINT) AS hit_no FROM cand_for),
+cands AS (SELECT * FROM allhits WHERE hit_no <= 8),
 ex AS (SELECT query, cid AS cid_exact, name AS name_exact FROM (
   SELECT c.query, c.cid, s.name, row_number() OVER (PARTITION BY c.query ORDER BY c.hit_no, s.name) AS r
-  FROM cands c JOIN syn s ON s.cid = c.cid AND s.ckey = c.query) q WHERE r = 1),
-acc AS (SELECT * FROM (SELECT cnt.query, coalesce(ex.cid_exact, CASE WHEN n_hits = 1 THEN only_cid END) AS cid, ex.name_exact AS matched_name
-        FROM (SELECT query, count(*) AS n_hits, min(cid) AS only_cid FROM cands GROUP BY query) cnt LEFT JOIN ex USING (query)) a
+  FROM allhits c JOIN syn s ON s.cid = c.cid AND s.ckey = c.query) q WHERE r = 1),
+acc AS (SELECT * FROM (SELECT cnt.query, coalesce(ex.cid_exact, CASE WHEN n_hits = 1 THEN only_cid END) AS cid,
+               CASE WHEN ex.cid_exact IS NOT NULL THEN ex.name_exact WHEN n_hits = 1 THEN p1.primary_name END AS matched_name
+        FROM (SELECT query, count(*) AS n_hits, min(cid) AS only_cid FROM allhits GROUP BY query) cnt LEFT JOIN ex USING (query)
+        LEFT JOIN prim p1 ON p1.cid = only_cid) a
         WHERE cid IS NOT NULL)"""
 
 _UNRESOLVED = "(SELECT DISTINCT key AS query FROM base WHERE cid_over IS NULL AND cid_exact IS NULL)"
@@ -55,7 +58,7 @@ res AS (SELECT b.metabolome_column, b.key, coalesce(b.cid_over, b.cid_exact, a.c
    FROM base b LEFT JOIN acc a ON a.query = b.key),
 msyn AS (SELECT cid, ckey, arg_min(name, rec_no) AS syn_name FROM syn GROUP BY cid, ckey),
 resolved AS (SELECT r.metabolome_column, r.kegg_compound, p.primary_name AS kegg_primary_name,
-  CASE WHEN match_method = 'offline_name' THEN m.syn_name WHEN match_method = 'kegg_rest' THEN r.matched_name END AS matched_synonym,
+  CASE WHEN match_method = 'kegg_rest' THEN coalesce(r.matched_name, m.syn_name) ELSE m.syn_name END AS matched_synonym,
   r.match_method FROM res r LEFT JOIN msyn m ON m.cid = r.kegg_compound AND m.ckey = r.key LEFT JOIN prim p ON p.cid = r.kegg_compound)"""
 )
 
@@ -91,7 +94,7 @@ def nam7_candidate_listing(spark, sf):
 def nam3_candidate_acceptance(spark, sf):
     """Accept the first hit with an exactly-matching synonym, else a lone hit."""
     syn = fx.synonyms(spark, sf)
-    return N.accept_candidates(N.candidates(_all_key_queries(spark, sf), syn), syn)
+    return N.accept_candidates(N.candidates(_all_key_queries(spark, sf), syn, limit=None), syn)
 
 
 @register("nam4_resolution_cascade", with_fixtures("SELECT * FROM resolved", *_FX_NAM, extra=_RESOLVE_SQL))
@@ -109,8 +112,9 @@ def nam6_match_summary(spark, sf):
 @register(
     "snk6_review_worksheet",
     with_fixtures(
-        """SELECT r.metabolome_column, r.match_method,
-       string_agg(c.cid || ':' || coalesce(p.primary_name, c.cid), '|' ORDER BY c.hit_no) AS candidates
+        """SELECT r.metabolome_column, r.match_method, any_value(r.kegg_compound) AS kegg_compound,
+       any_value(r.kegg_primary_name) AS auto_primary_name,
+       coalesce(string_agg(c.cid || ':' || coalesce(p.primary_name, c.cid), ' | ' ORDER BY c.hit_no), '') AS candidates
 FROM resolved r JOIN cols k USING (metabolome_column)
 LEFT JOIN cands c ON c.query = k.key LEFT JOIN prim p ON p.cid = c.cid
 WHERE r.match_method IN ('unmatched', 'kegg_rest') GROUP BY r.metabolome_column, r.match_method""",
@@ -120,15 +124,22 @@ WHERE r.match_method IN ('unmatched', 'kegg_rest') GROUP BY r.metabolome_column,
 )
 def snk6_review_worksheet(spark, sf):
     """Rows unmatched or matched by candidate search, with the candidate list
-    'id:name' joined by '|' in hit order (the manual-review sheet)."""
+    'id:name' joined by ' | ' in hit order (the manual-review sheet)."""
     syn = fx.synonyms(spark, sf)
     names = fx.metabolite_names(spark, sf)
     res = _resolved(spark, sf).filter(F.col("match_method").isin("unmatched", "kegg_rest"))
     keys = names.select("metabolome_column", canon(clean_metabolome_name(F.col("metabolome_column"))).alias("query"))
     c = N.candidates(keys.select("query").distinct(), syn).join(N.primary_names(syn), "cid", "left")
     item = F.struct("hit_no", F.concat("cid", F.lit(":"), F.coalesce("primary_name", "cid")).alias("t"))
-    lists = c.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "|").alias("candidates"))
-    return res.join(keys, "metabolome_column").join(lists, "query", "left").select("metabolome_column", "match_method", "candidates")
+    lists = c.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), " | ").alias("candidates"))
+    sheet = res.join(keys, "metabolome_column").join(lists, "query", "left")
+    return sheet.select(
+        "metabolome_column",
+        "match_method",
+        "kegg_compound",
+        F.col("kegg_primary_name").alias("auto_primary_name"),
+        F.coalesce("candidates", F.lit("")).alias("candidates"),
+    )
 
 
 # ---- graph -------------------------------------------------------------------------------
@@ -213,17 +224,62 @@ def agg12_graph_type_counts(spark, sf):
     return nodes.unionByName(e.agg(F.lit("edges").alias("item"), F.count(F.lit(1)).alias("n")))
 
 
-@register("grf6_islands")
+@register(
+    "grf6_islands",
+    with_fixtures(
+        """SELECT c.node_id, n.node_type, c.component, z.component_size, c.component <> b.component AS island
+FROM comp c JOIN nodes n USING (node_id) JOIN (SELECT component, count(*) AS component_size FROM comp GROUP BY component) z USING (component),
+(SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) b""",
+        *_FX_G,
+        extra=_GRAPH_SQL
+        + """,
+sym AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+reach(a, b) AS (SELECT node_id, node_id FROM nodes UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+comp AS (SELECT a AS node_id, min(b) AS component FROM reach GROUP BY a)""",
+    ),
+)
 def grf6_islands(spark, sf):
     """Connected components by iterative min-label propagation; nodes outside
     the largest component are islands (satellite components)."""
     return G.islands(_edges(spark, sf))
 
 
-@register("wlk1_transition_table")
+_TRANS_SQL = """sym2 AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
+tr AS (SELECT src, dst, sum(weight) OVER (PARTITION BY src ORDER BY dst) / sum(weight) OVER (PARTITION BY src) AS hi FROM sym2)"""
+
+
+@register(
+    "wlk1_transition_table",
+    with_fixtures(
+        """SELECT src, dst, round(coalesce(lag(hi) OVER (PARTITION BY src ORDER BY dst), 0.0), 6) AS lo,
+       round(CASE WHEN lead(dst) OVER (PARTITION BY src ORDER BY dst) IS NULL THEN 1.0 ELSE hi END, 6) AS hi FROM tr""",
+        *_FX_G,
+        extra=_GRAPH_SQL + ",\n" + _TRANS_SQL,
+    ),
+)
 def wlk1_transition_table(spark, sf):
     """First-order weighted transition slices (p = q = 1)."""
-    return G.transition_table(_edges(spark, sf))
+    t = G.transition_table(_edges(spark, sf))
+    return t.select("src", "dst", rnd(F.col("lo")).alias("lo"), rnd(F.col("hi")).alias("hi"))
+
+
+@register(
+    "wlk1_second_order_probabilities",
+    with_fixtures(
+        """SELECT prev, cur, nxt, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob FROM (
+  SELECT a.src AS prev, a.dst AS cur, b.dst AS nxt,
+         b.weight * CASE WHEN b.dst = a.src THEN 1 / 0.5 WHEN t.src IS NOT NULL THEN 1.0 ELSE 1 / 2.0 END AS w
+  FROM sym2 a JOIN sym2 b ON a.dst = b.src LEFT JOIN sym2 t ON t.src = a.src AND t.dst = b.dst) q""",
+        *_FX_G,
+        extra=_GRAPH_SQL.replace("FROM fx_ec_met)", "FROM fx_ec_met WHERE ec IN (SELECT ec FROM raw))").replace("edges AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)", "edges AS (SELECT * FROM l2)") + ",\n" + _TRANS_SQL,
+    ),
+)
+def wlk1_second_order_probabilities(spark, sf):
+    """Walk probabilities given the previous node, return parameter p = 0.5 and
+    in-out parameter q = 2, on the enzyme-metabolite layer."""
+    l2 = G.layer2_edges(G.enzyme_metabolite(fx.ec_metabolite(spark, sf), _raw(spark, sf).select("ec")))
+    t = G.second_order_probabilities(l2, p=0.5, q=2.0)
+    return t.withColumn("prob", rnd(F.col("prob")))
 
 
 @register("wlk2_random_walks")

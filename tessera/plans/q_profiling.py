@@ -350,7 +350,7 @@ def prj2_one_hot_drop_first(spark, sf):
     levels = m.filter(F.col("center").isNotNull()).select(F.array_sort(F.collect_set("center")).alias("l")).scalar()
     return (
         m.withColumn("_levels", levels)
-        .select("sample_id", "center", F.explode(F.slice("_levels", 2, 1 << 20)).alias("level"))
+        .select("sample_id", "center", F.explode(F.slice("_levels", F.lit(2), F.greatest(F.size("_levels") - 1, F.lit(0)))).alias("level"))
         .select("sample_id", "level", F.when(F.col("center") == F.col("level"), 1.0).otherwise(0.0).alias("indicator"))
     )
 

@@ -21,20 +21,51 @@ def _hist(spark, sf):
     return e.select(F.col("event_type").alias("run"), F.col("event_id").alias("epoch"), F.col("value").cast("double").alias("val_mse"))
 
 
+_SCORED_SQL = """scored AS (
+  SELECT run, epoch, metric, score FROM (
+    SELECT run, epoch, 'val_mse' AS metric, -val_mse AS score FROM fx_hist
+    UNION ALL SELECT run, epoch, 'per_feature_r', CASE WHEN epoch % 7 = 0 THEN NULL WHEN epoch % 11 = 0 THEN 'nan'::DOUBLE ELSE sin(epoch) END FROM fx_hist
+    UNION ALL SELECT run, epoch, 'mantel', CASE WHEN epoch % 5 = 0 THEN cos(epoch) END FROM fx_hist) u
+  WHERE score IS NOT NULL AND NOT isnan(score))"""
+
+
+def best_checkpoint(history, metric: str):
+    """(run, best_epoch, best_score): the first epoch that reaches the run's
+    highest score.  Scores are -val_mse, mantel or per_feature_r; a null or NaN
+    score never improves on anything, so a run of only such has no row."""
+    score = -F.col("val_mse") if metric == "val_mse" else F.col(metric)
+    known = history.select("run", "epoch", score.alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    return known.groupBy("run").agg(
+        F.min_by("epoch", F.struct(-F.col("score"), F.col("epoch"))).alias("best_epoch"), F.max("score").alias("best_score")
+    )
+
+
 @register(
     "win3_best_checkpoint",
     with_fixtures(
-        """SELECT run, min(epoch) AS best_epoch, round(min(val_mse), 6) AS best_val_mse FROM fx_hist h
-WHERE val_mse = (SELECT min(val_mse) FROM fx_hist g WHERE g.run = h.run) GROUP BY run""",
+        """SELECT s.metric, s.run, min(s.epoch) AS best_epoch, round(b.score, 6) AS best_score
+FROM scored s JOIN (SELECT metric, run, max(score) AS score FROM scored GROUP BY metric, run) b
+  ON s.metric = b.metric AND s.run = b.run AND s.score = b.score
+GROUP BY s.metric, s.run, b.score""",
         "fx_hist",
+        extra=_SCORED_SQL,
     ),
 )
 def win3_best_checkpoint(spark, sf):
-    """Score = -val_mse; the best epoch is the first one reaching the highest
-    score (strict improvement, so the earliest epoch wins ties)."""
-    h = _hist(spark, sf).withColumn("score", -F.col("val_mse"))
-    best = h.groupBy("run").agg(F.min_by("epoch", F.struct(-F.col("score"), F.col("epoch"))).alias("best_epoch"), F.max("score").alias("s"))
-    return best.select("run", "best_epoch", rnd(-F.col("s")).alias("best_val_mse"))
+    """Best epoch per run for each selection metric; the stand-in history has
+    null and NaN scores in it."""
+    e = F.col("epoch")
+    h = _hist(spark, sf).withColumns(
+        {
+            "per_feature_r": F.when(e % 7 == 0, F.lit(None)).when(e % 11 == 0, F.lit(float("nan"))).otherwise(F.sin(e.cast("double"))),
+            "mantel": F.when(e % 5 == 0, F.cos(e.cast("double"))),
+        }
+    )
+    out = None
+    for metric in ("val_mse", "per_feature_r", "mantel"):
+        best = best_checkpoint(h, metric).select(F.lit(metric).alias("metric"), "run", "best_epoch", rnd(F.col("best_score")).alias("best_score"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 @register(
@@ -61,25 +92,34 @@ def win4_early_stop(spark, sf):
     return stop.groupBy("run").agg(F.min("epoch").alias("stop_epoch"))
 
 
+CEILING = 0.21  # the score to beat, a parameter of the report
+
+
 @register(
     "win5_peak_per_run",
     with_fixtures(
-        """SELECT e.event_type AS run, round(m.pk, 6) AS peak, min(e.event_id) AS peak_epoch FROM events e
+        f"""SELECT e.event_type AS run, round(m.pk, 6) AS peak, min(e.event_id) AS peak_epoch, CAST(NULL AS DOUBLE) AS std,
+       round(m.pk - {CEILING}, 6) AS margin FROM events e
 JOIN (SELECT event_type, max(value) AS pk FROM events GROUP BY event_type) m ON e.event_type = m.event_type AND e.value = m.pk
 GROUP BY e.event_type, m.pk
-UNION ALL SELECT 'ALL', round(avg(pk), 6), NULL FROM (SELECT max(value) AS pk FROM events GROUP BY event_type) q""",
+UNION ALL SELECT 'ALL', round(avg(pk), 6), NULL, round(stddev_pop(pk), 6), round(avg(pk) - {CEILING}, 6)
+FROM (SELECT max(value) AS pk FROM events GROUP BY event_type) q""",
         "fx_hist",
     ),
 )
 def win5_peak_per_run(spark, sf):
-    """Peak metric per run with the epoch it occurs at (first wins), plus the
-    mean of the peaks over runs."""
-    e = table(spark, sf, "events")
+    """Peak metric per run with the epoch it occurs at (first wins) and its
+    margin over a ceiling, plus mean, population std and margin over runs."""
+    e = table(spark, sf, "events").filter(F.col("value").isNotNull() & ~F.isnan("value"))
     per = e.groupBy(F.col("event_type").alias("run")).agg(
         F.max("value").alias("pk"), F.min_by("event_id", F.struct(-F.col("value"), F.col("event_id"))).alias("peak_epoch")
     )
-    allrow = per.agg(F.lit("ALL").alias("run"), rnd(F.avg("pk")).alias("peak"), F.lit(None).cast("bigint").alias("peak_epoch"))
-    return per.select("run", rnd(F.col("pk")).alias("peak"), "peak_epoch").unionByName(allrow)
+    allrow = per.agg(
+        F.lit("ALL").alias("run"), rnd(F.avg("pk")).alias("peak"), F.lit(None).cast("bigint").alias("peak_epoch"),
+        rnd(F.stddev_pop("pk")).alias("std"), rnd(F.avg("pk") - CEILING).alias("margin"),
+    )
+    runs = per.select("run", rnd(F.col("pk")).alias("peak"), "peak_epoch", F.lit(None).cast("double").alias("std"), rnd(F.col("pk") - CEILING).alias("margin"))
+    return runs.unionByName(allrow)
 
 
 @register(
@@ -113,7 +153,7 @@ fm AS (SELECT feature, avg(y) AS mean_fill FROM tr GROUP BY feature),
 gm AS (SELECT feature, grp, avg(y) AS gmean FROM tr GROUP BY feature, grp),
 pr AS (SELECT v.sample_id, v.feature, v.y, g.gmean AS pred, f.mean_fill FROM va v JOIN gm g USING (feature, grp) JOIN fm f USING (feature)),
 pf AS (SELECT feature, corr(y, pred) AS r, stddev_pop(y) AS sy, stddev_pop(pred) AS sp,
-              1 - sum((y - pred) * (y - pred)) / nullif(sum((y - my) * (y - my)), 0) AS r2
+              CASE WHEN sum((y - my) * (y - my)) > 1e-12 THEN 1 - sum((y - pred) * (y - pred)) / sum((y - my) * (y - my)) END AS r2
        FROM (SELECT *, avg(y) OVER (PARTITION BY feature) AS my FROM pr) q GROUP BY feature)"""
 
 
@@ -140,13 +180,17 @@ def mod3_mean_fill(spark, sf):
 
 
 def _per_feature(spark, sf):
-    p = _predictions(spark, sf)
+    return _per_feature_of(_predictions(spark, sf))
+
+
+def _per_feature_of(p):
+    """(feature, r, sy, sp, r2) of predictions (feature, y, pred)."""
     my = p.groupBy("feature").agg(F.avg("y").alias("my"))
     q = p.join(my, "feature")
     return q.groupBy("feature").agg(
-        F.corr("y", "pred").alias("r"), F.stddev_pop("y").alias("sy"), F.stddev_pop("pred").alias("sp"),
-        (F.lit(1.0) - F.sum((F.col("y") - F.col("pred")) ** 2) / F.nullif(F.sum((F.col("y") - F.col("my")) ** 2), F.lit(0.0))).alias("r2"),
-    )
+        F.try_divide(F.covar_pop("y", "pred"), F.stddev_pop("y") * F.stddev_pop("pred")).alias("r"), F.stddev_pop("y").alias("sy"), F.stddev_pop("pred").alias("sp"),
+        F.sum((F.col("y") - F.col("pred")) ** 2).alias("ss_res"), F.sum((F.col("y") - F.col("my")) ** 2).alias("ss_tot"),
+    ).withColumn("r2", F.when(F.col("ss_tot") > 1e-12, F.lit(1.0) - F.col("ss_res") / F.col("ss_tot")))
 
 
 @register(
@@ -165,25 +209,48 @@ def evl1_per_feature_pearson(spark, sf):
     return pf.agg(rnd(F.avg(F.when(ok, F.col("r")))).alias("mean_r"), F.count_if(ok).alias("n_features"))
 
 
+_EVL2_SQL = """SELECT round(avg(rr), 6) AS mean_r, round(median(rr), 6) AS median_r,
+       round(avg(CASE WHEN rr > 0.1 THEN 1.0 WHEN rr IS NOT NULL THEN 0.0 END), 6) AS share_r_gt_01,
+       round(avg(CASE WHEN rr > 0.3 THEN 1.0 WHEN rr IS NOT NULL THEN 0.0 END), 6) AS share_r_gt_03, count(*) AS n_features,
+       round(avg(r2), 6) AS mean_r2, round(avg(CASE WHEN r2 > 0 THEN 1.0 WHEN r2 IS NOT NULL THEN 0.0 END), 6) AS share_r2_pos
+FROM (SELECT *, CASE WHEN sy > 1e-12 AND sp > 1e-12 THEN r END AS rr FROM {src}) z"""
+
+
+def per_feature_stats(per_feature):
+    """One row over features: r counts where neither side is constant, R2
+    wherever the truth varies (so also for a constant prediction)."""
+    f = per_feature.withColumn("rr", F.when((F.col("sy") > 1e-12) & (F.col("sp") > 1e-12), F.col("r")))
+    r, r2 = F.col("rr"), F.col("r2")
+    return f.agg(
+        rnd(F.avg(r)).alias("mean_r"), rnd(F.median(r)).alias("median_r"),
+        rnd(F.avg((r > 0.1).cast("double"))).alias("share_r_gt_01"), rnd(F.avg((r > 0.3).cast("double"))).alias("share_r_gt_03"),
+        F.count(F.lit(1)).alias("n_features"),
+        rnd(F.avg(r2)).alias("mean_r2"), rnd(F.avg((r2 > 0).cast("double"))).alias("share_r2_pos"),
+    )
+
+
+@register("evl2_per_feature_stats", with_fixtures(_EVL2_SQL.format(src="pf"), "fx_meta", "fx_b", extra=_PRED_SQL))
+def evl2_per_feature_stats(spark, sf):
+    return per_feature_stats(_per_feature(spark, sf))
+
+
 @register(
-    "evl2_per_feature_stats",
+    "evl2_constant_prediction",
     with_fixtures(
-        """SELECT round(avg(r), 6) AS mean_r, round(median(r), 6) AS median_r, round(avg(CASE WHEN r > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS share_r_gt_01,
-       round(avg(CASE WHEN r > 0.3 THEN 1.0 ELSE 0.0 END), 6) AS share_r_gt_03, round(avg(r2), 6) AS mean_r2,
-       round(avg(CASE WHEN r2 > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_r2_pos FROM pf WHERE sy > 1e-12 AND sp > 1e-12""",
+        _EVL2_SQL.format(
+            src="""(SELECT feature, corr(y, mean_fill) AS r, stddev_pop(y) AS sy, stddev_pop(mean_fill) AS sp,
+  CASE WHEN sum((y - my) * (y - my)) > 1e-12 THEN 1 - sum((y - mean_fill) * (y - mean_fill)) / sum((y - my) * (y - my)) END AS r2
+  FROM (SELECT *, avg(y) OVER (PARTITION BY feature) AS my FROM pr) q GROUP BY feature)"""
+        ),
         "fx_meta",
         "fx_b",
         extra=_PRED_SQL,
     ),
 )
-def evl2_per_feature_stats(spark, sf):
-    pf = _per_feature(spark, sf).filter((F.col("sy") > 1e-12) & (F.col("sp") > 1e-12))
-    r, r2 = F.col("r"), F.col("r2")
-    return pf.agg(
-        rnd(F.avg(r)).alias("mean_r"), rnd(F.median(r)).alias("median_r"),
-        rnd(F.avg((r > 0.1).cast("double"))).alias("share_r_gt_01"), rnd(F.avg((r > 0.3).cast("double"))).alias("share_r_gt_03"),
-        rnd(F.avg(r2)).alias("mean_r2"), rnd(F.avg((r2 > 0).cast("double"))).alias("share_r2_pos"),
-    )
+def evl2_constant_prediction(spark, sf):
+    """The same figures for mean-fill: no r, but an R2 per feature."""
+    p = _predictions(spark, sf).drop("pred").withColumnRenamed("mean_fill", "pred")
+    return per_feature_stats(_per_feature_of(p))
 
 
 @register(

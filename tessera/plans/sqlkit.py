@@ -3,7 +3,16 @@ written independently of the Spark operators)."""
 
 from __future__ import annotations
 
-from tessera.functions.mathfn import chi2_sf_sql, erfc_sql
+from tessera.functions.mathfn import erfc_sql
+
+
+def chi2_sf_sql(x: str, df: str) -> str:
+    """Chi-square upper tail from DuckDB's own lgamma, one list of terms per row."""
+    h = f"({x} / 2.0)"
+    even = f"list_sum([exp(i * ln({h}) - {h} - lgamma(i + 1.0)) for i in range(0, CAST({df} AS BIGINT) // 2)])"
+    odd = f"list_sum([exp((i - 0.5) * ln({h}) - {h} - lgamma(i + 0.5)) for i in range(1, (CAST({df} AS BIGINT) - 1) // 2 + 1)])"
+    res = f"(CASE WHEN {df} % 2 = 0 THEN coalesce({even}, 0.0) ELSE {erfc_sql(f'sqrt({h})')} + coalesce({odd}, 0.0) END)"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {df} >= 1 THEN least(1.0, {res}) END)"
 
 
 def mwu_ctes(src: str, keys: str, value: str, prefix: str = "mw") -> str:
