@@ -152,18 +152,41 @@ def archive_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(r["path"] for r in listed.collect())
 
 
+def _exits(d: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one stretch of a file -> the first offset outside it that each one's chain comes to."""
+    stretch, out = int(d["stretch"].iloc[0]), {}
+    for start, succ in sorted(zip(d["start"].tolist(), d["next"].tolist()), reverse=True):
+        out[start] = succ if succ // SPLIT != stretch else out.get(succ)
+    rows = [(int(d["file"].iloc[0]), k, v) for k, v in out.items() if v is not None]
+    return pd.DataFrame(rows, columns=["file", "start", "next"]).astype("int64")
+
+
+def _walk(d: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one stretch and the places where the chain enters it -> those on the chain."""
+    if not len(d) or not len(entries):  # an empty side comes without columns
+        return pd.DataFrame({"file": [], "start": []}).astype("int64")
+    succ, on = dict(zip(d["start"].tolist(), d["next"].tolist())), set()
+    for at in entries["start"].tolist():
+        while at in succ and at not in on:
+            on.add(at)
+            at = succ[at]
+    return pd.DataFrame({"file": int(d["file"].iloc[0]), "start": sorted(on)}).astype("int64")
+
+
 def reachable(found: DataFrame) -> DataFrame:
     """(file, start, next) candidates -> (file, start) of those on the chain from offset 0.
 
-    Pointer jumping: pointers double their reach each round, so the rounds grow
-    with the logarithm of the records of a file.
+    Within a stretch of SPLIT bytes each candidate's chain is followed to where
+    it leaves the stretch.  Pointer jumping over these exits, whose reach doubles
+    each round, finds where the chain from offset 0 enters every stretch; the
+    rounds grow with the logarithm of a file's stretches.  A last pass marks the
+    records between.
     """
-    nodes = found.filter("next is not null").select("file", "start", "next")
-    reach = nodes.filter("start = 0").select("file", "start")
-    jump = cut_lineage(
-        nodes.join(nodes.select("file", F.col("start").alias("next")), ["file", "next"], "left_semi").select("file", "start", "next")
-    )
-    reach = cut_lineage(reach)
+    stretch = F.floor(F.col("start") / SPLIT).alias("stretch")
+    nodes = found.filter("next is not null").select(F.col("file").cast("long").alias("file"), stretch, "start", "next")
+    exits = nodes.groupBy("file", "stretch").applyInPandas(_exits, "file long, start long, next long")
+    jump = cut_lineage(exits)
+    reach = cut_lineage(nodes.filter("start = 0").select("file", "start"))
     before, n = -1, reach.count()
     while n > before:
         step = reach.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
@@ -171,7 +194,9 @@ def reachable(found: DataFrame) -> DataFrame:
         further = jump.select("file", F.col("start").alias("next"), F.col("next").alias("far"))
         jump = cut_lineage(jump.join(further, ["file", "next"]).select("file", "start", F.col("far").alias("next")))
         before, n = n, reach.count()
-    return reach
+    entries = reach.select("file", stretch, "start").groupBy("file", "stretch")
+    on = nodes.groupBy("file", "stretch").cogroup(entries).applyInPandas(_walk, "file long, start long")
+    return on.select(F.col("file").cast("int").alias("file"), "start")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,7 +206,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     pieces = _pieces(spark, files)
     found = cut_lineage(spark.createDataFrame(pieces.map(lambda x: parse_piece(*x)), PIECE))
-    chain = reachable(found)
+    chain = cut_lineage(reachable(found))
     records = found.join(chain, ["file", "start"])
     torn = records.filter("not whole")
     digests = _rejoined(spark, files, found, chain, torn)
