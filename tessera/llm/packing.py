@@ -215,7 +215,7 @@ def _evolved(items: DataFrame, capacity: int, generations: int, population: int,
     def both(d: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(d):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("island", "item", "length", "bin")})
-        return run(d, [tuple(p) for p in e["lengths"]])
+        return run(d, [tuple(p) for p in e["lengths"]] if len(e) else [])
 
     return items.groupBy("island").cogroup(elites.groupBy("island")).applyInPandas(both, schema)
 
