@@ -152,11 +152,11 @@ def archive_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(r["path"] for r in listed.collect())
 
 
-def _exits(d: pd.DataFrame) -> pd.DataFrame:
+def _exits(d: pd.DataFrame, split: int) -> pd.DataFrame:
     """Candidates of one stretch of a file -> the first offset outside it that each one's chain comes to."""
     stretch, out = int(d["stretch"].iloc[0]), {}
     for start, succ in sorted(zip(d["start"].tolist(), d["next"].tolist()), reverse=True):
-        out[start] = succ if succ // SPLIT != stretch else out.get(succ)
+        out[start] = succ if succ // split != stretch else out.get(succ)
     rows = [(int(d["file"].iloc[0]), k, v) for k, v in out.items() if v is not None]
     return pd.DataFrame(rows, columns=["file", "start", "next"]).astype("int64")
 
@@ -166,7 +166,7 @@ def _walk(d: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     if not len(d) or not len(entries):  # an empty side comes without columns
         return pd.DataFrame({"file": [], "start": []}).astype("int64")
     succ, on = dict(zip(d["start"].tolist(), d["next"].tolist())), set()
-    for at in entries["start"].tolist():
+    for at in entries["entry"].tolist():
         while at in succ and at not in on:
             on.add(at)
             at = succ[at]
@@ -184,7 +184,8 @@ def reachable(found: DataFrame) -> DataFrame:
     """
     stretch = F.floor(F.col("start") / SPLIT).alias("stretch")
     nodes = found.filter("next is not null").select(F.col("file").cast("long").alias("file"), stretch, "start", "next")
-    exits = nodes.groupBy("file", "stretch").applyInPandas(_exits, "file long, start long, next long")
+    split = SPLIT
+    exits = nodes.groupBy("file", "stretch").applyInPandas(lambda d: _exits(d, split), "file long, start long, next long")
     jump = cut_lineage(exits)
     reach = cut_lineage(nodes.filter("start = 0").select("file", "start"))
     before, n = -1, reach.count()
@@ -194,7 +195,7 @@ def reachable(found: DataFrame) -> DataFrame:
         further = jump.select("file", F.col("start").alias("next"), F.col("next").alias("far"))
         jump = cut_lineage(jump.join(further, ["file", "next"]).select("file", "start", F.col("far").alias("next")))
         before, n = n, reach.count()
-    entries = reach.select("file", stretch, "start").groupBy("file", "stretch")
+    entries = reach.select(F.col("file").alias("f"), stretch.alias("s"), F.col("start").alias("entry")).groupBy("f", "s")
     on = nodes.groupBy("file", "stretch").cogroup(entries).applyInPandas(_walk, "file long, start long")
     return on.select(F.col("file").cast("int").alias("file"), "start")
 
