@@ -88,19 +88,17 @@ def dual_coordinate_descent(
     """L1-loss linear SVM on unit-length rows ``scale[f]``; an unregularised-size bias column of ones."""
     rng = np.random.default_rng(seed)
     n = len(rows)
-    values = []
-    for f in rows:
-        v = scale[f]
-        norm = float(np.sqrt((v * v).sum()))
-        values.append(v / norm if norm else v)
-    q = np.array([float((v * v).sum()) + 1.0 for v in values])
+    # rows stay as their buckets; a row's values are looked up when it is its turn
+    norm = np.array([max(float(np.sqrt((scale[f] ** 2).sum())), 1e-300) for f in rows])
+    q = np.array([1.0 + float((scale[f] ** 2).sum()) / s**2 for f, s in zip(rows, norm)])
     share = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
     top = cost * share
     alpha, w, bias = np.zeros(n), np.zeros(len(scale)), 0.0
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(n):
-            f, v = rows[i], values[i]
+            f = rows[i]
+            v = scale[f] / norm[i]
             gradient = y[i] * (float(w[f] @ v) + bias) - 1.0
             old = alpha[i]
             new = min(max(old - gradient / q[i], 0.0), top[i])
@@ -165,7 +163,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 8_000) -> Model:
     """Fit on at most ``fit_rows`` labelled documents that are not held out."""
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -175,15 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
     )
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def found(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in text])
+        return pd.Series([features(t).tobytes() for t in text])
 
     # at most fit_rows ids and labels: a proven bound
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     got = sample.select("doc_id", "_y", found("text").alias("f")).toPandas()
     got = got.sort_values("doc_id", kind="stable")
-    return fit([np.asarray(f, np.int32) for f in got["f"]], got["_y"].to_numpy())
+    return fit([np.frombuffer(f, np.int32) for f in got["f"]], got["_y"].to_numpy())
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
