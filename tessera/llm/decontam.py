@@ -27,9 +27,8 @@ from __future__ import annotations
 
 import math
 import string
-import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,32 +46,94 @@ MIN_WORDS = 8
 BUCKETS = 1 << 16
 #: Window lengths; a window is the smallest that holds a passage at any alignment.
 WINDOWS = (12, 18, 24, 36, 54, 88)
-_PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words, ASCII punctuation taken as space."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-
-
-class _Buckets(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = zlib.crc32(word) % BUCKETS
-        return value
+# Words are runs of bytes other than ASCII white space and punctuation, known by 64-bit hashes.
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(b" \t\n\r\x0b\x0c" + string.punctuation.encode())] = False
+_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SLICE = 1 << 19
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+def _hash_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word: differences of a prefix sum over the bytes."""
+    b = np.frombuffer(raw, np.uint8)
+    power, inverse = _powers(max(len(b) + 1, _SLICE))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = _IN_WORD[b]
+    edges = np.flatnonzero(np.diff(inside))
+    begin, end = edges[::2], edges[1::2]
+    h = (sums[end] - sums[begin]) * inverse[begin]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29)), begin
+
+
+def words_of_all(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, one after the other, and how many each text has."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    whole = b" ".join(raw)
+    hashes, places, at = [], [], 0
+    while at < len(whole):
+        end = at + _SLICE
+        while end < len(whole) and _IN_WORD[whole[end]]:  # slices end between words
+            end += 1
+        h, begin = _hash_slice(whole[at:end])
+        hashes.append(h)
+        places.append(begin + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(raw), np.int64)
+    counts = np.diff(np.searchsorted(np.concatenate(places), bounds))
+    return np.concatenate(hashes), counts
+
+
+def words_of(text: str | None) -> np.ndarray:
+    return words_of_all([text])[0]
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
+def _chunks(texts: Iterable[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``size`` characters together."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t or "") + 1
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents per term bucket, and the number of documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, counts, n = _Buckets(), np.zeros(BUCKETS, np.int64), 0
+        counts, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             n += len(b)
-            for t in b["text"]:
-                found = set(map(bucket.__getitem__, set(words_of(t))))
-                counts[np.fromiter(found, np.int64, len(found))] += 1
+            for texts in _chunks(b["text"]):
+                h, per = words_of_all(texts)
+                key = np.repeat(np.arange(len(per)), per) * BUCKETS + bucket_of(h)
+                counts += np.bincount(np.unique(key) % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"bucket": np.r_[at, -1], "n": np.r_[counts[at], n]})
 
@@ -87,13 +148,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 @dataclass
 class Passage:
     item: int
-    words: list[bytes]
-    answer: list[bytes] = field(default_factory=list)
+    words: np.ndarray
+    answer: list[int] = field(default_factory=list)
 
 
 def passages_of(item: int, text: str | None) -> list[Passage]:
     words, low = words_of(text), (text or "").lower()
-    answer = words_of(low.rsplit("answer:", 1)[1]) if "answer:" in low else []
+    answer = words_of(low.rsplit("answer:", 1)[1]).tolist() if "answer:" in low else []
     cut = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
     if len(cut) > 1 and len(cut[-1]) < PASSAGE // 2:
         cut[-1] = words[-PASSAGE:]
@@ -140,58 +201,37 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int, rounds: int = 2, se
 class Index:
     """What a task needs to search one block of the benchmark."""
 
-    terms: dict[bytes, int]
-    weight: np.ndarray  # idf of each term, then of each bucket of other terms
-    basis: np.ndarray  # terms x rank, rows scaled by idf
+    terms: np.ndarray  # sorted hashes of the block's words
+    weight: np.ndarray  # idf of each term, then of each bucket of other words, then 0
+    basis: np.ndarray  # terms x rank, rows scaled by idf; a last row of zeros
     by_window: dict[int, tuple[np.ndarray, np.ndarray]]  # window -> passage numbers, unit latent rows
     part: np.ndarray  # the most that one occurrence of each term adds to a window's product with a passage
     least: np.ndarray  # cosine threshold of each passage
     passages: list[Passage]
-    masks: list[dict[bytes, int]]
+    masks: list[dict[int, int]]
     telling: list[Counter]
-    exact: dict[int, list[int]]
-
-
-class _Terms(dict):
-    """Term -> its column in the block, or the place of its bucket after them."""
-
-    def __init__(self, terms: dict[bytes, int]):
-        super().__init__(terms)
-        self.own = terms
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.own)
-        value = self[word] = len(self.own) + zlib.crc32(word) % BUCKETS
-        return value
 
 
 def build_index(
     spark, block: list[tuple[int, str | None]], counts: np.ndarray, n_docs: int, rank: int, cosine: float
 ) -> Index:
-    passages = [p for item, text in block for p in passages_of(item, text) if p.words]
-    terms: dict[bytes, int] = {}
-    for p in passages:
-        for w in p.words:
-            terms.setdefault(w, len(terms))
+    passages = [p for item, text in block for p in passages_of(item, text) if len(p.words)]
+    terms = np.unique(np.concatenate([p.words for p in passages])) if passages else np.empty(0, np.uint64)
     idf = np.log((n_docs + 1) / (counts + 1)) + 0.1
-    weight = np.concatenate([[idf[zlib.crc32(w) % BUCKETS] for w in terms], idf]).astype(np.float32)
+    weight = np.concatenate([idf[bucket_of(terms)], idf, [0.0]]).astype(np.float32)
+    places = [np.searchsorted(terms, p.words) for p in passages]
     rows = []
-    for k, p in enumerate(passages):
-        c = Counter(terms[w] for w in p.words)
-        rows.append((k, list(c), [float(n * weight[t]) for t, n in c.items()]))
+    for k, at in enumerate(places):
+        own, n = np.unique(at, return_counts=True)
+        rows.append((k, own.tolist(), (n * weight[own]).astype(float).tolist()))
     frame = spark.createDataFrame(rows, "k int, at array<int>, weight array<double>") if rows else None
     basis = randomised_svd(frame.repartition(4), len(terms), min(rank, len(rows))) if rows else np.zeros((0, 1))
     scaled = (basis * weight[: len(terms), None]).astype(np.float32)
     by_window, least = defaultdict(list), np.zeros(len(passages), np.float32)
-    exact: dict[int, list[int]] = defaultdict(list)
     latent = np.zeros((len(passages), basis.shape[1]), np.float32)
-    for k, p in enumerate(passages):
+    for k, (p, at) in enumerate(zip(passages, places)):
         if len(p.words) < MIN_WORDS:
-            exact[len(p.words)].append(k)
             continue
-        at = np.array([terms[w] for w in p.words])
         z = scaled[at].sum(0)
         norm = float(np.linalg.norm(z))
         counted = np.bincount(at, minlength=len(terms)) * weight[: len(terms)]
@@ -204,28 +244,27 @@ def build_index(
     if rows:
         part[: len(terms)] = np.maximum(scaled @ latent.T, 0).max(axis=1)
     masks, telling = [], []
-    for p in passages:
-        m: dict[bytes, int] = defaultdict(int)
-        for i, w in enumerate(p.words):
+    for p, at in zip(passages, places):
+        m: dict[int, int] = defaultdict(int)
+        for i, w in enumerate(p.words.tolist()):
             m[w] |= 1 << i
         masks.append(dict(m))
-        top = p.answer or sorted(set(p.words), key=lambda w: -weight[terms[w]])[: max(1, len(set(p.words)) // 3)]
-        telling.append(Counter(top))
+        rare = sorted(set(at.tolist()), key=lambda t: (-weight[t], t))[: max(1, len(set(at.tolist())) // 3)]
+        telling.append(Counter(p.answer or terms[rare].tolist()))
     return Index(
         terms,
         weight,
-        scaled,
+        np.vstack([scaled, np.zeros((1, scaled.shape[1]), np.float32)]),
         {w: (np.array(ks), latent[ks]) for w, ks in by_window.items()},
         part,
         least,
         passages,
         masks,
         telling,
-        dict(exact),
     )
 
 
-def common_subsequence(mask: dict[bytes, int], n: int, words: list[bytes]) -> int:
+def common_subsequence(mask: dict, n: int, words: Iterable) -> int:
     """Length of the longest common subsequence of ``words`` and the passage behind ``mask``, bit-parallel."""
     full = (1 << n) - 1
     v = full
@@ -240,21 +279,29 @@ def common_subsequence(mask: dict[bytes, int], n: int, words: list[bytes]) -> in
 class Searcher:
     def __init__(self, index: Index, lcs: float, answer: float):
         self.x, self.lcs, self.answer = index, lcs, answer
-        self.column = _Terms(index.terms)
-        self.basis = np.vstack([index.basis, np.zeros((1, index.basis.shape[1]), np.float32)])  # last: other terms
-        self.short = {n: {b" ".join(index.passages[k].words): [] for k in ks} for n, ks in index.exact.items()}
-        for n, ks in index.exact.items():
-            for k in ks:
-                self.short[n][b" ".join(index.passages[k].words)].append(k)
-
-    def candidates(self, at: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(passage, first word, last word + 1, cosine) of the windows near enough."""
+        self.square = index.weight.astype(np.float64) ** 2
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(index.terms >> np.uint64(44)).astype(np.int64)] = True
+        self.short = [(k, p.words) for k, p in enumerate(index.passages) if len(p.words) < MIN_WORDS]
+
+    def columns(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word in the index: its term's, or after them its bucket's."""
+        terms = self.x.terms
+        at = len(terms) + bucket_of(hashes)
+        some = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(terms, hashes[some]), max(0, len(terms) - 1))
+        hit = terms[place] == hashes[some]
+        at[some[hit]] = place[hit]
+        return at
+
+    def candidates(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows near enough to a passage: arrays of passage, first word, last word + 1, cosine."""
         x, n, v = self.x, len(at), len(self.x.terms)
         # a window's squared norm, each occurrence of a term on its own
-        mass = np.r_[0.0, np.cumsum(x.weight[at].astype(np.float64) ** 2)]
+        mass = np.r_[0.0, np.cumsum(self.square[at])]
         bound = np.r_[0.0, np.cumsum(x.part[at])]
-        basis = self.basis
-        row = np.r_[np.minimum(at, v), np.full(max(x.by_window, default=0), v)]
+        row = np.r_[np.minimum(at, v), np.full(WINDOWS[-1], v)]
+        found = []
         for window, (ks, rows) in x.by_window.items():
             step = window // 4
             begin = np.arange(0, max(1, n - window + step), step)
@@ -263,39 +310,58 @@ class Searcher:
             near = np.flatnonzero(bound[end] - bound[begin] >= 0.999 * float(x.least[ks].min()) * norm)
             for i in range(0, len(near), 256):
                 some = near[i : i + 256]
-                z = basis[row[begin[some, None] + np.arange(window)]].sum(axis=1)
+                z = x.basis[row[begin[some, None] + np.arange(window)]].sum(axis=1)
                 cosines = (z @ rows.T) / norm[some, None]
-                for a, b in zip(*np.nonzero(cosines >= x.least[ks])):
-                    yield int(ks[b]), int(begin[some[a]]), int(end[some[a]]), float(cosines[a, b])
-
-    def search(self, text: str | None) -> list[dict]:
-        words = words_of(text)
-        if not words:
-            return []
-        best: dict[int, tuple[float, float, int]] = {}
-        at = np.fromiter(map(self.column.__getitem__, words), np.int64, len(words))
-        seen: set[tuple[int, int]] = set()
-        for k, a, b, c in self.candidates(at):
-            p = self.x.passages[k]
+                a, b = np.nonzero(cosines >= x.least[ks])
+                found.append((ks[b], begin[some[a]], end[some[a]], cosines[a, b]))
+        if not found:
+            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def search(self, texts: Iterable[str | None]) -> list[list[dict]]:
+        """The items found in each text."""
+        return [hits for some in _chunks(texts) for hits in self._search(some)]
+
+    def _search(self, texts: list[str | None]) -> list[list[dict]]:
+        """Texts lie one after the other, a window of weightless places apart, so no
+        window holds words of two of them."""
+        hashes, counts = words_of_all(texts)
+        gap = WINDOWS[-1]
+        first = np.r_[0, np.cumsum(counts)]
+        starts = first[:-1] + gap * np.arange(len(texts))
+        at = np.full(int(counts.sum()) + gap * len(texts), len(self.x.weight) - 1)
+        at[np.arange(len(hashes)) + np.repeat(gap * np.arange(len(texts)), counts)] = self.columns(hashes)
+        best: list[dict[int, tuple[float, float, int]]] = [{} for _ in texts]
+        seen: set[tuple[int, int, int]] = set()
+        passage, begin, end, cosine = self.candidates(at)
+        # the last text that begins before the window's end: the gap is as long as any window
+        owner = np.maximum(np.searchsorted(starts, end, side="left") - 1, 0)
+        for k, a, b, c, o in zip(passage.tolist(), begin.tolist(), end.tolist(), cosine.tolist(), owner.tolist()):
+            p, n = self.x.passages[k], int(counts[o])
             margin = len(p.words) // 2
-            lo, hi = max(0, a - margin), min(len(words), b + margin)
-            if (k, lo) in seen:
+            lo, hi = max(0, a - int(starts[o]) - margin), min(n, b - int(starts[o]) + margin)
+            if (o, k, lo) in seen:
                 continue
-            seen.add((k, lo))
-            region = words[lo:hi]
-            share = common_subsequence(self.x.masks[k], len(p.words), region) / len(p.words)
-            if share < self.lcs:
+            seen.add((o, k, lo))
+            region = hashes[first[o] + lo : first[o] + max(lo, hi)].tolist()
+            there = Counter(region)
+            told = self.x.telling[k]
+            if sum(min(m, there[w]) for w, m in told.items()) < self.answer * sum(told.values()):
                 continue
-            told, there = self.x.telling[k], Counter(region)
-            if sum(min(n, there[w]) for w, n in told.items()) < self.answer * sum(told.values()):
-                continue
-            old = best.get(p.item, (0.0, 0.0, 0))
-            best[p.item] = max(old, (share, c, lo))
-        for n, phrases in self.short.items():
-            for i in range(len(words) - n + 1):
-                for k in phrases.get(b" ".join(words[i : i + n]), ()):
-                    best[self.x.passages[k].item] = max(best.get(self.x.passages[k].item, (0.0, 0.0, 0)), (1.0, 1.0, i))
-        return [{"item_id": i, "lcs": s, "cosine": c, "first_word": lo} for i, (s, c, lo) in sorted(best.items())]
+            share = common_subsequence(self.x.masks[k], len(p.words), region) / len(p.words)
+            if share >= self.lcs:
+                best[o][p.item] = max(best[o].get(p.item, (0.0, 0.0, 0)), (share, c, lo))
+        for k, words in self.short:
+            begin = np.flatnonzero(hashes[: max(0, len(hashes) - len(words) + 1)] == words[0])
+            for j in range(1, len(words)):
+                begin = begin[hashes[begin + j] == words[j]]
+            owner = np.searchsorted(first, begin, side="right") - 1
+            for i, o in zip(begin.tolist(), owner.tolist()):
+                if i + len(words) <= first[o + 1]:
+                    best[o][self.x.passages[k].item] = (1.0, 1.0, i - int(first[o]))
+        return [
+            [{"item_id": i, "lcs": s, "cosine": c, "first_word": lo} for i, (s, c, lo) in sorted(b.items())] for b in best
+        ]
 
 
 HITS = "array<struct<item_id:long,lcs:double,cosine:double,first_word:int>>"
@@ -305,10 +371,10 @@ def with_hits(
     docs: DataFrame,
     benchmark: DataFrame,
     name: str = "hits",
-    cosine: float = 0.4,
+    cosine: float = 0.45,
     lcs: float = 0.7,
     answer: float = 0.6,
-    rank: int = 192,
+    rank: int = 256,
     block_items: int = 512,
 ) -> DataFrame:
     """Documents with an array of the benchmark items found in each."""
@@ -335,7 +401,7 @@ def _finder(shared, lcs: float, answer: float):
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Searcher(shared.value, lcs, answer)
         for texts in batches:
-            yield pd.Series([s.search(t) for t in texts])
+            yield pd.Series(s.search(texts))
 
     # as non-deterministic, so that a filter on the hits doesn't search twice
     return found.asNondeterministic()
