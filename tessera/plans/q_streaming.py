@@ -1,25 +1,69 @@
-"""Streaming operators (STR2) run with an ``availableNow`` trigger over the
-driver's event files."""
+"""Streaming operators (STR1-2) run with an ``availableNow`` trigger over the
+driver's files."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.functions.mathfn import rnd
+from tessera.operators import compose as C
+from tessera.operators import ridge as R
+from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
+from tessera.sinks import scratch_folder
+from tessera.sources import fixtures as fx
 from tessera.sources.tables import table
-from tessera.streaming.windows import missingness_stream, run_to_table
+from tessera.streaming.windows import missingness_stream, run_to_files
 
 
 @register(
     "str2_windowed_missingness",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
        count_if(value IS NULL) AS n_null_value, count_if(props IS NULL) AS n_null_props
-FROM events GROUP BY 1, 2""",
+FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
 )
 def str2_windowed_missingness(spark, sf):
     """Events read as a stream (file source), 1-day tumbling windows with a
-    1-hour watermark, row and null counts per event type."""
+    1-hour watermark, row and null counts per event type; append mode, so the
+    windows that the watermark has closed."""
     schema = table(spark, sf, "events").schema
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
     )
     plan = missingness_stream(stream, "ts", "event_type", ["value", "props"], "1 day", "1 hour")
-    return run_to_table(spark, plan, "str2_missingness")
+    return run_to_files(spark, plan, "str2_missingness")
+
+
+def _scoring(spark, sf):
+    from tessera.plans.q_models import _fit_predict, prepare_data
+
+    rows, mean, scale = prepare_data(spark, sf)
+    model, _ = _fit_predict(rows, "a_clr", "b")
+
+    def score(arriving):
+        x = arriving.select("sample_id", C.clr_additive(C.closure(F.col("vec"))).alias("x"))
+        raw = F.transform(R.array_unstandardise(F.col("pred"), mean, scale), lambda v: F.expm1(v))
+        return R.predict(x, model).select("sample_id", raw.alias("imputed"))
+
+    return score
+
+
+@register("str1_stream_scoring")
+def str1_stream_scoring(spark, sf):
+    """Samples that lack modality B arrive as files; saved scalers and ridge
+    coefficients impute it, one row in and one row out without state."""
+    a, b = fx.a_vectors(spark, sf), fx.b_vectors(spark, sf)
+    folder = scratch_folder(spark, "arriving")
+    a.join(b.select("sample_id"), "sample_id", "left_anti").select("sample_id", "vec").write.parquet(folder)
+    stream = spark.readStream.schema("sample_id long, vec array<double>").parquet(folder)
+    out = run_to_files(spark, _scoring(spark, sf)(stream), "str1_scoring")
+    return out.select("sample_id", F.posexplode("imputed").alias("target", "value")).select("sample_id", "target", rnd(F.col("value")).alias("value"))
+
+
+@register(
+    "str1_scored_ids",
+    with_fixtures("SELECT sample_id, count(*) AS n FROM fx_meta, (SELECT DISTINCT p_type FROM part) t WHERE a_present AND NOT b_present GROUP BY sample_id", "fx_meta"),
+)
+def str1_scored_ids(spark, sf):
+    """Which samples the stream scored, with the number of values."""
+    return str1_stream_scoring(spark, sf).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1,9 +1,10 @@
 """Structured Streaming: running missingness by category over event-time
-tumbling windows (STR2).
+tumbling windows (STR2) and stateless scoring of arriving samples (STR1).
 
-The stream reads parquet files as they land, declares a watermark on the
-event time and aggregates per (window, category).  The query state lives in
-the shared checkpoint folder, so a restarted driver resumes where it stopped.
+Streams read parquet files as they land and write files in append mode: a
+window is emitted once the watermark has passed its end and its state is then
+dropped.  Query state and outputs live under the shared checkpoint folder, so a
+restarted driver resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tessera.session import ensure_checkpoint_dir
 
 def missingness_stream(events: DataFrame, time_col: str, category: str, columns: list[str], window: str, watermark: str) -> DataFrame:
     """Streaming (or batch) plan: per tumbling window and category, row count
-    and null count of each column."""
+    and null count of each column.  Rows later than the watermark are dropped."""
     # watermarks need TIMESTAMP (not TIMESTAMP_NTZ); the session time zone is UTC
     w = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, watermark)
     aggs = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.col(c).isNull()).alias(f"n_null_{c}") for c in columns]
@@ -27,10 +28,17 @@ def missingness_stream(events: DataFrame, time_col: str, category: str, columns:
     )
 
 
-def run_to_table(spark: SparkSession, plan: DataFrame, name: str) -> DataFrame:
-    """Drive a streaming aggregate over all currently available input
-    (``availableNow``) into a memory table, and return that table."""
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-    q = plan.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+def run_to_files(spark: SparkSession, plan: DataFrame, name: str) -> DataFrame:
+    """Drive a streaming plan over all input there is (``availableNow``), append
+    its rows to files, and return them."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    q = (
+        plan.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(plan.schema).parquet(f"{folder}/out")
