@@ -21,8 +21,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut_lineage
+from tessera.llm.words import chunks, words_of_all
 
 GROUP = 64  # words of a group
 CLASSES = 64  # hashed classes of rarer words
@@ -43,52 +42,77 @@ BATCH = 1024
 FAN, SLICE = 32, 8192
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+@dataclass
+class Vocabulary:
+    """Sorted hashes of the kept words, their counts, and the counts of the rarer words' classes.
+
+    Word numbers follow falling counts, so a group holds words of like frequency;
+    the classes come last.
+    """
+
+    hashes: np.ndarray
+    number: np.ndarray
+    counts: np.ndarray  # by number, classes included
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        out = len(self.hashes) + (hashes % np.uint64(CLASSES)).astype(np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            out[hit] = self.number[at[hit]]
+        return out
 
 
-def vocabulary(docs: DataFrame, size: int = 4096) -> list[tuple[str, int]]:
-    """The ``size - CLASSES`` most frequent words and, as '' entries, the counts of the hashed classes."""
+def vocabulary(docs: DataFrame, size: int = 4096) -> Vocabulary:
+    """The ``size - CLASSES`` most frequent words of all documents; rarer words share classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
-                counts.update(words_of(t))
-                if len(counts) > 400_000:
-                    yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
-                    counts.clear()
-        yield pd.DataFrame({"w": list(counts), "n": list(counts.values())})
-
-    counted = docs.select("text").mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+            for texts in chunks(b["text"], 1 << 22):
+                h, n = np.unique(words_of_all(texts)[0].view(np.int64), return_counts=True)
+                yield pd.DataFrame({"w": h, "n": n})
+
+    counted = docs.select("text").mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted)
-    top = counted.orderBy(F.desc("n"), "w").limit(size - CLASSES)
-    words = [(r["w"], r["n"]) for r in top.collect()]  # size - CLASSES rows
-    kept = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w, _ in words] or [("",)], "w string"))
-    klass = F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(CLASSES))
-    rest = counted.join(kept, "w", "left_anti").groupBy(klass.alias("c")).agg(F.sum("n").alias("n")).collect()
-    by_class = {r["c"]: r["n"] for r in rest}
-    return words + [("", by_class.get(c, 0)) for c in range(CLASSES)]
+    top = counted.orderBy(F.desc("n"), "w").limit(size - CLASSES).toPandas()  # size - CLASSES rows
+    # a class's count is the sum over its words less that of the kept ones; at most CLASSES rows
+    klass = F.expr(f"pmod((w >> 32 & 4294967295L) * {pow(2, 32, CLASSES)}L + (w & 4294967295L), {CLASSES}L)")
+    every = {r["c"]: r["n"] for r in counted.groupBy(klass.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    hashes = top["w"].to_numpy(np.int64).view(np.uint64)
+    kept = np.bincount((hashes % np.uint64(CLASSES)).astype(np.int64), top["n"].to_numpy(), CLASSES)
+    rest = np.array([every.get(c, 0) for c in range(CLASSES)]) - kept
+    order = np.argsort(hashes)
+    return Vocabulary(hashes[order], order.astype(np.int64), np.r_[top["n"].to_numpy(), rest].astype(float))
+
+
+@dataclass
+class Laid:
+    """Texts as word numbers one after the other, SIDE places of padding between them."""
 
+    around: np.ndarray
+    place: np.ndarray  # of each word in ``around``
+    owner: np.ndarray  # text of each word
+    position: np.ndarray  # of each word in its text
+    counts: np.ndarray
 
-class WordIds(dict):
-    """word -> its number; a rarer word's is its class's."""
+    def contexts(self, at) -> np.ndarray:
+        return self.around[self.place[at][:, None] + np.array(PLACES)]
 
-    def __init__(self, words: list[tuple[str, int]]):
-        self.own = {w: i for i, (w, _) in enumerate(words[: len(words) - CLASSES])}
-        self.first = len(self.own)
-        super().__init__(self.own)
+    def targets(self, at) -> np.ndarray:
+        return self.around[self.place[at]]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.own)
-        value = self[word] = self.first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % CLASSES
-        return value
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def lay_out(texts: list[str | None], words: Vocabulary) -> Laid:
+    hashes, counts = words_of_all(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(hashes)) + SIDE * (owner + 1)
+    around = np.full(len(hashes) + SIDE * (len(texts) + 1), len(words))
+    around[place] = words.numbers(hashes)
+    position = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return Laid(around, place, owner, position, counts)
 
 
 @dataclass
@@ -115,13 +139,13 @@ class Net:
         return Net(*out)
 
 
-def fresh(words: list[tuple[str, int]], d: int = 32, seed: int = 3) -> Net:
+def fresh(words: Vocabulary, d: int = 16, seed: int = 3) -> Net:
     """Small random weights; output biases are the unigram log-counts, so it starts as a unigram model."""
     rng = np.random.default_rng(seed)
     n = len(words)
     groups = math.ceil(n / GROUP)
     counts = np.full(groups * GROUP, 1e-9)
-    counts[:n] = [c + 0.5 for _, c in words]
+    counts[:n] = words.counts + 0.5
     by_group = counts.reshape(groups, GROUP)
     embed = rng.normal(0, 0.3, (n + 1, d))
     embed[n] = 0
@@ -141,12 +165,6 @@ def fresh(words: list[tuple[str, int]], d: int = 32, seed: int = 3) -> Net:
     )
 
 
-def contexts(ids: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
-    """Word numbers around each position, ``pad`` beyond the ends."""
-    around = np.concatenate([np.full(SIDE, pad), ids, np.full(SIDE, pad)])
-    return around[at[:, None] + SIDE + np.array(PLACES)]
-
-
 def hidden(net: Net, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(np.einsum("bpd,pd->bd", net.embed[ctx], net.place) + net.bias)
 
@@ -156,17 +174,33 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place; the exponentials are made in place."""
+    own = z[np.arange(len(z)), at]
+    top = z.max() if len(z) else 0.0
+    if top - z.min() < 60:  # one shift for all rows cannot underflow a whole row
+        z -= top
+        shift = top
+    else:
+        shift = z.max(1)
+        z -= shift[:, None]
+    np.exp(z, out=z)
+    return own - shift - np.log(z.sum(1))
+
+
 def log_probabilities(net: Net, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    h = hidden(net, ctx)
     g, w = np.divmod(target, GROUP)
-    rows = np.arange(len(target))
-    out = _log_softmax(h @ net.group + net.group_bias)[rows, g]
-    order = np.argsort(g, kind="stable")
-    cuts = np.flatnonzero(np.diff(g[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            k = g[part[0]]
-            out[part] += _log_softmax(h[part] @ net.word[k] + net.word_bias[k])[np.arange(len(part)), w[part]]
+    order = np.argsort(g, kind="stable")  # words of one group lie together
+    g, w = g[order], w[order]
+    h = hidden(net, ctx[order])
+    share = _log_share(h @ net.group + net.group_bias, g)
+    cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            k = g[a]
+            share[a:b] += _log_share(h[a:b] @ net.word[k] + net.word_bias[k], w[a:b])
+    out = np.empty_like(share)
+    out[order] = share
     return out
 
 
@@ -235,7 +269,7 @@ def _averaged(parts: DataFrame, partitions: int) -> DataFrame:
     return parts
 
 
-def train(docs: DataFrame, words: list[tuple[str, int]], rounds: int = 2, mask: int = 16, rate: float = 0.15) -> Net:
+def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, mask: int = 16, rate: float = 0.15) -> Net:
     net = fresh(words)
     sc = docs.sparkSession.sparkContext
     texts = docs.select("text")
@@ -245,31 +279,16 @@ def train(docs: DataFrame, words: list[tuple[str, int]], rounds: int = 2, mask:
 
         def run(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
             words, net = shared.value
-            ids, trainer, n = WordIds(words), Trainer(net, rate), 0
-            held_ctx, held_target, held = [], [], 0
-
-            def learn():
-                ctx, target = np.concatenate(held_ctx), np.concatenate(held_target)
-                for i in range(0, len(target), BATCH):
-                    trainer.step(ctx[i : i + BATCH], target[i : i + BATCH])
-                held_ctx.clear()
-                held_target.clear()
-
+            trainer, n = Trainer(net, rate), 0
             for b in batches:
-                for t in b["text"]:
-                    x = ids.numbers(t)
-                    at = np.arange(len(x))
-                    at = at[(at + len(x)) % mask == r]
-                    if len(at):
-                        held_ctx.append(contexts(x, at, len(words)))
-                        held_target.append(x[at])
-                        held += len(at)
-                        n += len(at)
-                    if held >= BATCH:
-                        learn()
-                        held = 0
-            if held:
-                learn()
+                for texts in chunks(b["text"]):
+                    laid = lay_out(texts, words)
+                    # every mask-th position of a text, another residue in each round
+                    at = np.flatnonzero((laid.position + laid.counts[laid.owner]) % mask == r)
+                    n += len(at)
+                    for i in range(0, len(at), BATCH):
+                        some = at[i : i + BATCH]
+                        trainer.step(laid.contexts(some), laid.targets(some))
             if n:
                 flat, part = trainer.net.flat(), TaskContext.get().partitionId()
                 cut = range(0, len(flat), SLICE)
@@ -286,47 +305,31 @@ def train(docs: DataFrame, words: list[tuple[str, int]], rounds: int = 2, mask:
     return net
 
 
-def score_text(net: Net, ids: WordIds, text: str | None, block: int = 8192) -> tuple[int, float]:
-    x = ids.numbers(text)
-    total = 0.0
-    for i in range(0, len(x), block):
-        at = np.arange(i, min(i + block, len(x)))
-        total += float(log_probabilities(net, contexts(x, at, len(net.embed) - 1), x[at]).sum(dtype=float))
-    return len(x), total
+def score_texts(net: Net, words: Vocabulary, texts: list[str | None], block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text and the sum of their log-probabilities."""
+    laid = lay_out(texts, words)
+    sums = np.zeros(len(texts))
+    for i in range(0, len(laid.place), block):
+        at = slice(i, i + block)
+        p = log_probabilities(net, laid.contexts(at), laid.targets(at))
+        sums += np.bincount(laid.owner[at], p, len(texts))
+    return laid.counts, sums
 
 
-def with_score(docs: DataFrame, words: list[tuple[str, int]], net: Net, name: str = "lm") -> DataFrame:
+def with_score(docs: DataFrame, words: Vocabulary, net: Net, name: str = "lm") -> DataFrame:
     """Documents with a struct (n_words, log_likelihood)."""
     shared = docs.sparkSession.sparkContext.broadcast((words, net))
 
     @F.pandas_udf("n_words long, log_likelihood double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, net = shared.value
-        ids = WordIds(words)
-        pad = len(net.embed) - 1
-        for texts in batches:
-            # many short texts share a block; positions of one text never see another's words
-            numbers = [ids.numbers(t) for t in texts]
-            sums = np.zeros(len(numbers))
-            ctx, target, owner, held = [], [], [], 0
-
-            def flush():
-                p = log_probabilities(net, np.concatenate(ctx), np.concatenate(target))
-                np.add.at(sums, np.concatenate(owner), p)
-                ctx.clear(), target.clear(), owner.clear()
-
-            for k, x in enumerate(numbers):
-                for i in range(0, len(x), 8192):
-                    at = np.arange(i, min(i + 8192, len(x)))
-                    ctx.append(contexts(x, at, pad))
-                    target.append(x[at])
-                    owner.append(np.full(len(at), k))
-                    held += len(at)
-                    if held >= 8192:
-                        flush()
-                        held = 0
-            if held:
-                flush()
-            yield pd.DataFrame({"n_words": [len(x) for x in numbers], "log_likelihood": sums})
+        for batch in batches:
+            parts = [score_texts(net, words, texts) for texts in chunks(batch)]
+            yield pd.DataFrame(
+                {
+                    "n_words": np.concatenate([n for n, _ in parts] or [np.zeros(0, np.int64)]),
+                    "log_likelihood": np.concatenate([p for _, p in parts] or [np.zeros(0)]),
+                }
+            )
 
     return docs.withColumn(name, score("text"))
