@@ -90,6 +90,17 @@ def both_ends(df: DataFrame, family: str, order: str, k: int, tiebreak: str = "f
     lo = Window.partitionBy(family).orderBy(F.col(order).asc(), F.col(tiebreak).asc())
     hi = Window.partitionBy(family).orderBy(F.col(order).desc(), F.col(tiebreak).desc())
     ranked = df.withColumn("_lo", F.row_number().over(lo)).withColumn("_hi", F.row_number().over(hi))
-    head = ranked.filter(F.col("_lo") <= k).withColumn("end", F.lit("low"))
-    tail = ranked.filter((F.col("_hi") <= k) & (F.col("_lo") > k)).withColumn("end", F.lit("high"))
-    return head.unionByName(tail).drop("_lo", "_hi")
+    end = F.when(F.col("_lo") <= k, F.lit("low")).otherwise(F.lit("high"))
+    return ranked.filter((F.col("_lo") <= k) | (F.col("_hi") <= k)).withColumn("end", end).drop("_lo", "_hi")
+
+
+def top_by_sign(df: DataFrame, family: str, order: str, k: int, tiebreak: str = "feature") -> DataFrame:
+    """Per family: the k largest positive and the k smallest negative rows, ``sign`` +1 / -1."""
+    signed = df.withColumn("sign", F.signum(order).cast("int")).filter("sign <> 0")
+    w = Window.partitionBy(family, "sign").orderBy(F.abs(order).desc(), tiebreak)
+    return signed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def strongest(df: DataFrame, order: str, k: int, *tiebreak: str) -> DataFrame:
+    """The k rows of the largest absolute value (top 25 pairs, strongest 6 links)."""
+    return df.orderBy(F.abs(order).desc(), *tiebreak).limit(k)

@@ -6,9 +6,8 @@
   i < j, across blocks keep every pair stored as (least, greatest).  No
   cartesian product, no broadcast nested-loop join; the pair count n(n-1)/2 is
   inherent to the operators that need pairs (Bray-Curtis, Mantel, PCoA).
-* Euclidean PERMANOVA never forms pairs: sum_{i<j} d_ij^2 / n equals
-  sum_i ||x_i - mean||^2, so SST and SSW are group aggregates, O(n d) per
-  permutation (group sums of vectors).
+* Euclidean PERMANOVA never forms pairs (:mod:`tessera.operators.permutation`):
+  sum_{i<j} d_ij^2 / n equals sum_i ||x_i - mean||^2.
 * Permutations are md5 label shuffles: in permutation k the sample at md5
   position r (key seed:k:id) takes the label of the sample at canonical
   position r -- reproducible and computable in SQL.
@@ -32,8 +31,18 @@ def braycurtis(a: Column, b: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def blocked_pairs(vectors: DataFrame, blocks: int = 8, key: str = "sample_id", vec: str = "vec") -> DataFrame:
-    """(i, j, vi, vj) for every unordered pair i < j."""
+#: Rows of one block of a blocked self-join aimed at.
+BLOCK_ROWS = 512
+
+
+def blocked_pairs(vectors: DataFrame, blocks: int | None = None, key: str = "sample_id", vec: str = "vec") -> DataFrame:
+    """(i, j, vi, vj) for every unordered pair i < j.
+
+    Without ``blocks`` their number follows the row count, at least 8, so a
+    block pair stays about BLOCK_ROWS x BLOCK_ROWS however many rows there are.
+    """
+    if blocks is None:
+        blocks = max(8, -(-vectors.count() // BLOCK_ROWS))
     v = vectors.select(F.col(key).alias("_id"), F.col(vec).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
     left = v.select(
         F.col("_id").alias("i0"), F.col("_v").alias("v0"), F.col("_b").alias("bp"),
@@ -54,7 +63,7 @@ def blocked_pairs(vectors: DataFrame, blocks: int = 8, key: str = "sample_id", v
     )
 
 
-def distance_pairs(vectors: DataFrame, metric: str = "euclidean", blocks: int = 8, key: str = "sample_id") -> DataFrame:
+def distance_pairs(vectors: DataFrame, metric: str = "euclidean", blocks: int | None = None, key: str = "sample_id") -> DataFrame:
     """(i, j, d) for i < j."""
     p = blocked_pairs(vectors, blocks, key)
     fn = {"euclidean": euclidean, "braycurtis": braycurtis}[metric]
@@ -62,13 +71,18 @@ def distance_pairs(vectors: DataFrame, metric: str = "euclidean", blocks: int =
 
 
 def group_mean_distances(pairs: DataFrame, labels: DataFrame, key: str = "sample_id", group: str = "grp") -> DataFrame:
-    """(g1, g2, mean_d, n_pairs) with g1 <= g2; the diagonal excludes self pairs."""
+    """(g1, g2, mean_d, n_pairs) with g1 <= g2; the diagonal excludes self pairs,
+    so a group of one sample has a diagonal row with a null mean."""
     l1 = labels.select(F.col(key).alias("i"), F.col(group).alias("_g1"))
     l2 = labels.select(F.col(key).alias("j"), F.col(group).alias("_g2"))
     j = pairs.join(l1, "i").join(l2, "j")
-    return j.groupBy(F.least("_g1", "_g2").alias("g1"), F.greatest("_g1", "_g2").alias("g2")).agg(
+    ends = pairs.select(F.col("i").alias(key)).union(pairs.select(F.col("j").alias(key))).distinct()
+    single = labels.join(ends, key, "left_semi").groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    means = j.groupBy(F.least("_g1", "_g2").alias("g1"), F.greatest("_g1", "_g2").alias("g2")).agg(
         F.avg("d").alias("mean_d"), F.count(F.lit(1)).alias("n_pairs")
     )
+    lone = single.select(F.col(group).alias("g1"), F.col(group).alias("g2"), F.lit(None).cast("double").alias("mean_d"), F.lit(0).cast("long").alias("n_pairs"))
+    return means.unionByName(lone)
 
 
 # ---- permutations ---------------------------------------------------------------------------
@@ -86,49 +100,6 @@ def permuted_labels(labels: DataFrame, permutations: int, seed: int, key: str =
     return observed.unionByName(shuffled)
 
 
-def euclidean_permanova(
-    vectors: DataFrame, labels: DataFrame, permutations: int = 999, seed: int = 42, key: str = "sample_id", group: str = "grp"
-) -> DataFrame:
-    """One row: n, a (groups), sst, ssw, f, r2, p.
-
-    SSW = sum_i ||x_i||^2 - sum_g ||S_g||^2 / n_g with S_g the vector sum of
-    group g; group sizes are invariant under permutation.
-    """
-    lab = labels.join(vectors.select(key), key, "left_semi").filter(F.col(group).isNotNull())
-    cells = vectors.join(lab.select(key), key, "left_semi").select(
-        key, F.inline(F.transform("vec", lambda x, i: F.struct(i.alias("dim"), x.alias("x"))))
-    )
-    sxx = cells.select(F.sum(F.col("x") * F.col("x"))).scalar()
-    n_all = cells.select(F.countDistinct(key)).scalar()
-    sgg = cells.groupBy("dim").agg(F.sum("x").alias("s")).select(F.sum(F.col("s") * F.col("s"))).scalar()
-    perms = permuted_labels(lab.select(key, group), permutations, seed, key, group)
-    sizes = lab.groupBy(group).agg(F.count(F.lit(1)).alias("ng"))
-    gsum = cells.join(perms, key).groupBy("perm", group, "dim").agg(F.sum("x").alias("s"))
-    between = gsum.groupBy("perm", group).agg(F.sum(F.col("s") * F.col("s")).alias("ss")).join(sizes, group).groupBy("perm").agg(
-        F.sum(F.col("ss") / F.col("ng")).alias("sb"), F.count(F.lit(1)).alias("a")
-    )
-    stats = between.withColumn("sxx", sxx).withColumn("n", n_all).withColumn("sgg", sgg)
-    n = F.col("n").cast("double")
-    sst = F.col("sxx") - F.col("sgg") / n
-    ssw = F.col("sxx") - F.col("sb")
-    f = ((sst - ssw) / (F.col("a") - 1)) / (ssw / (n - F.col("a")))
-    # one row per permutation (bounded by the permutation count): persisted
-    # because the observed statistic is read back as a scalar
-    per = stats.select("perm", "n", "a", sst.alias("sst"), ssw.alias("ssw"), F.round(f, 9).alias("f")).persist()
-    f_obs = per.filter(F.col("perm") == 0).select("f").scalar()
-    shuffled = per.filter(F.col("perm") > 0)
-    obs = (
-        per.filter(F.col("perm") == 0)
-        .withColumn("n_perm", shuffled.select(F.count(F.lit(1))).scalar())
-        .withColumn("n_ge", shuffled.select(F.count_if(F.col("f") >= f_obs)).scalar())
-    )
-    return obs.select(
-        "n", "a", "sst", "ssw", "f",
-        ((F.col("sst") - F.col("ssw")) / F.col("sst")).alias("r2"),
-        ((F.col("n_ge") + 1) / (F.col("n_perm") + 1)).alias("p"),
-    )
-
-
 def permdisp_centroid(vectors: DataFrame, labels: DataFrame, key: str = "sample_id", group: str = "grp") -> DataFrame:
     """Distances to the group centroid (Euclidean space), one-way ANOVA F on
     them: one row (n, a, f)."""

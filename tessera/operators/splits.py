@@ -70,3 +70,10 @@ def stratified_kfold(strata: DataFrame, stratum: str, k: int, seed: int, key: st
     folds = j.select(key, "_n", "_ord", "_off", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
     val = (F.col("_n") >= k) & (F.pmod(F.col("_ord") - 1 + F.col("_off"), F.lit(k)) == F.col("fold"))
     return folds.select(F.col("fold").cast("bigint").alias("fold"), key, F.when(val, F.lit("val")).otherwise(F.lit("train")).alias("role"))
+
+
+def missing_lists(a: DataFrame, b: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, list): samples of one modality that lack the other, to be imputed."""
+    only_b = b.select(key).join(a.select(key), key, "left_anti").select(key, F.lit("missing_a").alias("list"))
+    only_a = a.select(key).join(b.select(key), key, "left_anti").select(key, F.lit("missing_b").alias("list"))
+    return only_b.unionByName(only_a)

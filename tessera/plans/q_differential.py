@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.mathfn import rnd
-from tessera.operators.differential import both_ends, differential_abundance
+from tessera.operators.differential import both_ends, differential_abundance, top_by_sign
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
 from tessera.plans.sqlkit import CLOSE_CLR_HALFMIN, bh_sql, mwu_ctes
@@ -88,6 +88,22 @@ def srt2_top_bottom_k(spark, sf):
     )
 
 
+@register(
+    "srt2_top_by_sign",
+    with_fixtures(
+        """SELECT contrast, feature, CAST(sign(clr_diff) AS INTEGER) AS sign, round(clr_diff, 6) AS clr_diff FROM (
+  SELECT *, row_number() OVER (PARTITION BY contrast, sign(clr_diff) ORDER BY abs(clr_diff) DESC, feature) AS r FROM da WHERE clr_diff <> 0) q WHERE r <= 5""",
+        "fx_meta",
+        "fx_a",
+        extra=_DA_SQL_CTES.strip(),
+    ),
+)
+def srt2_top_by_sign(spark, sf):
+    """Per contrast the five strongest effects of each sign."""
+    t = top_by_sign(da_table(spark, sf), "contrast", "clr_diff", 5)
+    return t.select("contrast", "feature", "sign", rnd(F.col("clr_diff")).alias("clr_diff"))
+
+
 @register(
     "agg8_contrast_summary",
     with_fixtures(

@@ -14,6 +14,7 @@ from tessera.operators.splits import random_split, stratified_kfold, stratified_
 from tessera.operators.tokens import pool_tokens
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
+from tessera.session import maybe_broadcast
 from tessera.sources import fixtures as fx
 from tessera.sources.tables import table
 
@@ -155,6 +156,19 @@ def scl7_standardize_train_only(spark, sf):
     return z.select("sample_id", "feature", rnd(F.col("z")).alias("z"))
 
 
+@register(
+    "scl7_inverse",
+    with_fixtures("SELECT sample_id, feature, round(value, 4) AS value FROM fx_b", "fx_meta", "fx_b"),
+)
+def scl7_inverse(spark, sf):
+    """Standardise and invert again: z * scale + mean, then expm1, is the input."""
+    b = fx.b_long(spark, sf).withColumn("value", F.log1p("value"))
+    split = random_split(fx.b_vectors(spark, sf).select("sample_id"), 0.2, SEED)
+    params = C.fit_standardizer(b.join(split.filter(F.col("role") == "train"), "sample_id"))
+    back = C.invert_standardizer(C.apply_standardizer(b, params).select("sample_id", "feature", "z"), params)
+    return back.select("sample_id", "feature", F.round(F.expm1("value"), 4).alias("value"))
+
+
 @register(
     "scl8_zscore_cohort",
     with_fixtures(
@@ -168,7 +182,7 @@ def scl8_zscore_cohort(spark, sf):
     """Whole-cohort z-score (ddof=0); parameters by groupBy + broadcast join."""
     b = fx.b_long(spark, sf)
     p = b.groupBy("feature").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
-    return b.join(F.broadcast(p), "feature").select("sample_id", "feature", rnd((F.col("value") - F.col("mu")) / F.col("sd")).alias("z"))
+    return b.join(maybe_broadcast(p), "feature").select("sample_id", "feature", rnd((F.col("value") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
 # The reference's age and BMI bins (left-closed) and labels.
@@ -217,9 +231,9 @@ def scl9_binning(spark, sf):
     "scl10_14_name_cleaning",
     with_fixtures(
         r"""SELECT metabolome_column,
-       regexp_replace(regexp_replace(metabolome_column, '^[Ss][Ee][Rr][Uu][Mm]_[Aa][Bb][Ss]_', ''), '_[0-9]+$', '') AS cleaned,
-       trim(regexp_replace(lower(regexp_replace(regexp_replace(metabolome_column, '^[Ss][Ee][Rr][Uu][Mm]_[Aa][Bb][Ss]_', ''), '_[0-9]+$', '')), '[^0-9a-z]+', ' ', 'g')) AS canon,
-       array_to_string(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(metabolome_column, '^[Ss][Ee][Rr][Uu][Mm]_[Aa][Bb][Ss]_', ''), '_[0-9]+$', ''), '[^0-9a-zA-Z -]+', ' ', 'g')), '\s+'), lambda x: x <> ''), '+') AS query
+       regexp_replace(regexp_replace(metabolome_column, '(?i)^serum_abs_', ''), '_[0-9]+$', '') AS cleaned,
+       trim(regexp_replace(lower(regexp_replace(regexp_replace(metabolome_column, '(?i)^serum_abs_', ''), '_[0-9]+$', '')), '[^0-9a-z]+', ' ', 'g')) AS canon,
+       array_to_string(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(metabolome_column, '(?i)^serum_abs_', ''), '_[0-9]+$', ''), '[^0-9a-zA-Z -]+', ' ', 'g')), '\s+'), lambda x: x <> ''), '+') AS query
 FROM fx_names""",
         "fx_names",
     ),
@@ -385,6 +399,21 @@ def spl3_stratified_split(spark, sf):
     return stratified_split(lab, "label", 0.2, SEED, min_stratum_size=2)
 
 
+@register(
+    "spl3_spl4_missing_lists",
+    with_fixtures(
+        """SELECT sample_id, CASE WHEN NOT a_present THEN 'missing_a' ELSE 'missing_b' END AS list FROM fx_meta WHERE a_present <> b_present""",
+        "fx_meta",
+    ),
+)
+def spl3_spl4_missing_lists(spark, sf):
+    """The id lists that a split carries: samples that lack exactly one modality
+    (the same for every fold)."""
+    from tessera.operators.splits import missing_lists
+
+    return missing_lists(fx.a_vectors(spark, sf).select("sample_id"), fx.b_vectors(spark, sf).select("sample_id"))
+
+
 @register(
     "spl4_stratified_kfold",
     with_fixtures(

@@ -48,10 +48,10 @@ def mwu_ctes(src: str, keys: str, value: str, prefix: str = "mw") -> str:
 
 def bh_sql(src: str, family: str, p: str = "p", tiebreak: str = "feature") -> str:
     """SELECT src.*, fdr  (BH within family, cumulative min over rank)."""
-    return f"""SELECT *, least(1.0, min({p} * m / rk) OVER (PARTITION BY {family} ORDER BY rk DESC
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS fdr
-FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY {p}, {tiebreak}) AS rk,
-             count(*) OVER (PARTITION BY {family}) AS m FROM {src}) q"""
+    return f"""SELECT *, CASE WHEN {p} IS NOT NULL THEN least(1.0, min({p} * m / rk) OVER (PARTITION BY {family} ORDER BY rk DESC
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS fdr
+FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY {p} NULLS LAST, {tiebreak}) AS rk,
+             count({p}) OVER (PARTITION BY {family}) AS m FROM {src}) q"""
 
 
 def kw_ctes(src: str, keys: str, value: str, group: str, prefix: str = "kw") -> str:
