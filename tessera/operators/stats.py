@@ -10,17 +10,21 @@ scientific Python stack):
 * Mann-Whitney, two-sided, asymptotic normal approximation with tie and
   continuity correction: z = (max(U1, U2) - n1 n2 / 2 - 0.5) / sigma,
   sigma^2 = n1 n2 / 12 * ((n + 1) - sum(t^3 - t) / (n (n - 1))),
-  p = min(1, 2 * sf(z)).  The exact small-sample branch (a side <= 8 rows and
-  no ties) is not implemented: such rows carry ``method = 'asymptotic*'``.
+  p = min(1, 2 * sf(z)).  ``method='exact'`` takes p from the distribution of U
+  over all orders instead; it is the caller's choice, not a matter of size.
 * Kruskal-Wallis H with tie correction, chi-square tail with k - 1 df.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions.mathfn import chi2_sf, normal_two_sided_p
 from tessera.operators.ranking import tie_ranks
@@ -42,9 +46,37 @@ def contrast_rows(df: DataFrame, group: str, control: str, out: str = "contrast"
     ).withColumn("is_case", g != control)
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, is_case: Column, buckets: int = 16) -> DataFrame:
+def exact_u_tail(u: float, n1: int, n2: int) -> float:
+    """Two-sided p of U without ties: twice P(U >= max(u, n1 n2 - u)), at most 1."""
+    if n1 < 1 or n2 < 1:
+        return float("nan")
+    # orders by U: the coefficients of the Gaussian binomial, factor by factor
+    top = n1 * n2
+    ways = np.zeros(top + 1)
+    ways[0] = 1.0
+    for k in range(1, min(n1, n2) + 1):
+        step = max(n1, n2) + k
+        for i in range(top, step - 1, -1):
+            ways[i] -= ways[i - step]
+        for i in range(k, top + 1):
+            ways[i] += ways[i - k]
+    high = max(u, top - u)
+    return min(1.0, 2.0 * float(ways[int(math.ceil(high)) :].sum() / ways.sum()))
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([exact_u_tail(float(a), int(b), int(c)) for a, b, c in zip(u, n1, n2)], dtype="float64")
+
+
+def mann_whitney(
+    df: DataFrame, keys: Sequence[str], value: str, is_case: Column, buckets: int = 16, method: str = "asymptotic"
+) -> DataFrame:
     """keys + (n_case, n_control, u, p, rank_biserial, method).
 
+    ``method`` is ``asymptotic`` or ``exact`` for all rows; with ``exact`` a row
+    that holds ties has a null p.
+
     ``u`` is U of the case side; rank-biserial = 2U/(n1 n2) - 1 (+ = case higher).
     """
     keys = list(keys)
@@ -63,21 +95,27 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, is_case: Column
     var = n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1)))
     big_u = F.greatest(u1, n1 * n2 - u1)
     z = F.try_divide(big_u - mu - F.lit(0.5), F.sqrt(var))
+    if method == "asymptotic":
+        p = F.when(var > 0, F.least(F.lit(1.0), normal_two_sided_p(z)))
+    elif method == "exact":
+        p = F.when(F.col("tmax") == 1, _exact_p(u1, n1, n2))
+    else:
+        raise ValueError(f"unknown method {method!r}")
     return s.select(
         *keys,
         F.col("n1").alias("n_case"),
         (F.col("n") - F.col("n1")).alias("n_control"),
         u1.alias("u"),
-        F.when(var > 0, F.least(F.lit(1.0), normal_two_sided_p(z))).alias("p"),
+        p.alias("p"),
         (F.try_divide(2 * u1, n1 * n2) - F.lit(1.0)).alias("rank_biserial"),
-        F.when((F.least(n1, n2) <= 8) & (F.col("tmax") == 1), F.lit("asymptotic*")).otherwise(F.lit("asymptotic")).alias("method"),
+        F.lit(method).alias("method"),
     )
 
 
 def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, buckets: int = 16) -> DataFrame:
     """keys + (n, k, h, p): tie-corrected H, chi-square p with k - 1 df."""
     keys = list(keys)
-    r = tie_ranks(df, keys + [group], value, buckets=1).select(*keys, group, value, "t")
+    r = df.filter(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("t"))
     # ranks must be over the pooled key, so rank pooled distinct values first
     pooled = tie_ranks(df, keys, value, buckets=buckets).select(*keys, value, F.col("t").alias("tp"), "rank")
     g = r.join(pooled, keys + [value]).groupBy(*keys, group).agg(

@@ -19,7 +19,8 @@ from tessera.operators.ranking import bh_fdr
 from tessera.operators.stats import RANK_DECIMALS, alpha_diversity, contrast_rows, kruskal_wallis, mann_whitney
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
-from tessera.plans.sqlkit import CLOSE_CLR_HALFMIN, bh_sql, kw_ctes, mwu_ctes
+from tessera.plans.sqlkit import CLOSE_CLR_HALFMIN, bh_sql, kw_ctes, mwu_ctes, t_p_sql
+from tessera.session import cut_lineage
 from tessera.sources import fixtures as fx
 
 CONTROL = fx.CONTROL_GROUP
@@ -259,15 +260,14 @@ def agg7_null_tolerant_stats(spark, sf):
 
 
 # ---- cross-table associations ------------------------------------------------------------
-def _clr_a_common(spark, sf):
-    a = fx.a_vectors(spark, sf).join(fx.b_vectors(spark, sf).select("sample_id"), "sample_id", "left_semi")
-    a = a.withColumn("p", C.closure(F.col("vec")))
-    a = a.withColumn("_e", C.halfmin_pseudocount(a, "p")).withColumn("clr", C.clr_replace(F.col("p"), F.col("_e")))
-    return a.select("sample_id", F.inline(F.arrays_zip(F.col("features").alias("feature"), F.col("clr").alias("value"))))
-
-
-def _b_common(spark, sf):
-    return fx.b_long(spark, sf).join(fx.a_vectors(spark, sf).select("sample_id"), "sample_id", "left_semi")
+def _common(spark, sf):
+    """(CLR of A, B) in long form over complete samples; each modality is read once."""
+    a, b = cut_lineage(fx.a_vectors(spark, sf)), cut_lineage(fx.b_vectors(spark, sf))
+    both = a.join(b.select("sample_id"), "sample_id", "left_semi").withColumn("p", C.closure(F.col("vec")))
+    both = both.withColumn("_e", C.halfmin_pseudocount(both, "p")).withColumn("clr", C.clr_replace(F.col("p"), F.col("_e")))
+    clr = both.select("sample_id", F.inline(F.arrays_zip(F.col("features").alias("feature"), F.col("clr").alias("value"))))
+    other = b.join(a.select("sample_id"), "sample_id", "left_semi")
+    return clr, other.select("sample_id", F.inline(F.arrays_zip(F.col("features").alias("feature"), F.col("vec").alias("value"))))
 
 
 _SP_SQL = (
@@ -284,7 +284,7 @@ sp AS (SELECT feature_a, feature_b, count(*) AS n, corr(ra, rb) AS rho FROM ra J
 
 
 def _spearman(spark, sf):
-    return spearman_pairs(_clr_a_common(spark, sf), _b_common(spark, sf))
+    return spearman_pairs(*_common(spark, sf), aligned=True)
 
 
 @register(
@@ -303,16 +303,42 @@ def _spearman_tested(spark, sf):
     )
 
 
-@register("sta10_spearman_tested")
+_TESTED_SQL = _SP_SQL + f""",
+spp AS (SELECT *, {t_p_sql("rho", "n")} AS p FROM sp),
+spt AS ({bh_sql("(SELECT *, 1 AS _all FROM spp)", "_all", "p", "feature_a, feature_b")})"""
+
+
+@register(
+    "sta10_spearman_tested",
+    with_fixtures(
+        "SELECT feature_a, feature_b, n, round(rho, 6) AS rho, round(p, 6) AS p, round(fdr, 6) AS fdr, round(abs(rho), 6) AS abs_rho FROM spt",
+        "fx_meta",
+        "fx_a",
+        "fx_b",
+        extra=_TESTED_SQL,
+    ),
+)
 def sta10_spearman_tested(spark, sf):
     """rho, t-approximation p (n - 2 df, pandas UDF on the small pair table),
     BH over all pairs, |rho|."""
     return _spearman_tested(spark, sf).select(
-        "feature_a", "feature_b", "n", rnd(F.col("rho")).alias("rho"), "p", "fdr", rnd(F.col("abs_rho")).alias("abs_rho")
+        "feature_a", "feature_b", "n", rnd(F.col("rho")).alias("rho"), rnd(F.col("p")).alias("p"), rnd(F.col("fdr")).alias("fdr"), rnd(F.col("abs_rho")).alias("abs_rho")
     )
 
 
-@register("agg10_hub_counts")
+@register(
+    "agg10_hub_counts",
+    with_fixtures(
+        """SELECT feature, links, side FROM (
+  SELECT *, row_number() OVER (PARTITION BY side ORDER BY links DESC, feature) AS r FROM (
+    SELECT feature_a AS feature, count(*) AS links, 'a' AS side FROM spt WHERE fdr < 0.05 GROUP BY feature_a
+    UNION ALL SELECT feature_b, count(*), 'b' FROM spt WHERE fdr < 0.05 GROUP BY feature_b) u) q WHERE r <= 10""",
+        "fx_meta",
+        "fx_a",
+        "fx_b",
+        extra=_TESTED_SQL,
+    ),
+)
 def agg10_hub_counts(spark, sf):
     """Significant links per feature on both sides, top 10 each (name tie-break)."""
     s = _spearman_tested(spark, sf).filter(F.col("fdr") < 0.05)
@@ -324,7 +350,17 @@ def agg10_hub_counts(spark, sf):
     return a.unionByName(b).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 10).drop("r")
 
 
-@register("agg11_threshold_profile")
+@register(
+    "agg11_threshold_profile",
+    with_fixtures(
+        """SELECT count(*) AS n_pairs, count_if(fdr < 0.05) AS n_sig, count_if(abs(rho) > 0.3) AS n_gt_03, count_if(abs(rho) > 0.4) AS n_gt_04,
+       count_if(abs(rho) > 0.5) AS n_gt_05, round(max(abs(rho)), 6) AS max_abs_rho FROM spt""",
+        "fx_meta",
+        "fx_a",
+        "fx_b",
+        extra=_TESTED_SQL,
+    ),
+)
 def agg11_threshold_profile(spark, sf):
     """n pairs, n significant, n with |rho| above 0.3 / 0.4 / 0.5, max |rho|."""
     s = _spearman_tested(spark, sf)
@@ -371,9 +407,8 @@ def sta11_partial_spearman(spark, sf):
     """Residualise every feature on [1, age, gender] (complete covariates,
     closed-form OLS per feature), then Spearman of the residuals."""
     meta = fx.meta(spark, sf)
-    ra = residualize(_clr_a_common(spark, sf), meta, "age", "gender")
-    rb = residualize(_b_common(spark, sf), meta, "age", "gender")
-    s = spearman_pairs(ra, rb)
+    a, b = _common(spark, sf)
+    s = spearman_pairs(residualize(a, meta, "age", "gender"), residualize(b, meta, "age", "gender"), aligned=True)
     return s.select("feature_a", "feature_b", "n", rnd(F.col("rho")).alias("rho"))
 
 
@@ -430,10 +465,35 @@ GROUP BY feature_a, feature_b""",
 def sta13_binned_mutual_information(spark, sf):
     """Mutual information of 4 equal-frequency bins per feature (a binned
     estimator replacing the reference's nearest-neighbour one)."""
-    mi = binned_mutual_information(_clr_a_common(spark, sf), _b_common(spark, sf), bins=4)
+    mi = binned_mutual_information(*_common(spark, sf), bins=4)
     return mi.select("feature_a", "feature_b", rnd(F.col("mi")).alias("mi"))
 
 
+@register(
+    "sta13_within_table",
+    with_fixtures(
+        """SELECT feature_a, feature_b, CASE WHEN feature_a <> feature_b THEN
+  round(sum(CAST(nab AS DOUBLE) / n * ln(CAST(nab AS DOUBLE) * n / (CAST(na AS DOUBLE) * nb))), 6) END AS mi FROM (
+  SELECT *, sum(nab) OVER (PARTITION BY feature_a, feature_b) AS n,
+            sum(nab) OVER (PARTITION BY feature_a, feature_b, bin_a) AS na,
+            sum(nab) OVER (PARTITION BY feature_a, feature_b, bin_b) AS nb FROM (
+    SELECT x.feature AS feature_a, y.feature AS feature_b, x.bin AS bin_a, y.bin AS bin_b, count(*) AS nab FROM bn x JOIN bn y USING (sample_id)
+    GROUP BY x.feature, y.feature, x.bin, y.bin) j) k
+GROUP BY feature_a, feature_b""",
+        "fx_meta",
+        "fx_b",
+        extra="""bn AS (SELECT sample_id, feature, CAST(least(3, floor((rk - 1) * 4 / nf)) AS BIGINT) AS bin FROM
+  (SELECT *, rank() OVER (PARTITION BY feature ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY feature, round(value, 9)) - 1) / CAST(2 AS DOUBLE) AS rk,
+          count(*) OVER (PARTITION BY feature) AS nf FROM fx_b) q)""",
+    ),
+)
+def sta13_within_table(spark, sf):
+    """Mutual information between the features of one table, diagonal nulled."""
+    b = fx.b_long(spark, sf)
+    mi = binned_mutual_information(b, b, bins=4)
+    return mi.select("feature_a", "feature_b", F.when(F.col("feature_a") != F.col("feature_b"), rnd(F.col("mi"))).alias("mi"))
+
+
 @register(
     "sta14_box_stats",
     with_fixtures(

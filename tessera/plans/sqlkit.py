@@ -15,6 +15,17 @@ def chi2_sf_sql(x: str, df: str) -> str:
     return f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {df} >= 1 THEN least(1.0, {res}) END)"
 
 
+def t_p_sql(r: str, n: str) -> str:
+    """Two-sided Student p of a correlation from the finite series for whole degrees of freedom."""
+    v, c2, s = f"({n} - 2)", f"(1 - {r} * {r})", f"abs({r})"
+    even = f"list_sum([exp(lgamma(2 * k + 1.0) - 2 * k * ln(2.0) - 2 * lgamma(k + 1.0) + k * ln({c2})) for k in range(0, {v} // 2)])"
+    odd = f"list_sum([exp(2 * k * ln(2.0) + 2 * lgamma(k + 1.0) - lgamma(2 * k + 2.0) + (k + 0.5) * ln({c2})) for k in range(0, ({v} - 1) // 2)])"
+    return (
+        f"(CASE WHEN {v} % 2 = 0 THEN 1 - {s} * coalesce({even}, 0) "
+        f"ELSE 1 - 2 / pi() * (asin({s}) + {s} * coalesce({odd}, 0)) END)"
+    )
+
+
 def mwu_ctes(src: str, keys: str, value: str, prefix: str = "mw") -> str:
     """CTEs computing Mann-Whitney per ``keys`` from ``src`` (cols keys, value,
     is_case).  Final CTE ``{prefix}_res`` has keys, n_case, n_control, u, p,
@@ -42,7 +53,7 @@ def mwu_ctes(src: str, keys: str, value: str, prefix: str = "mw") -> str:
   SELECT {keys}, CAST(n1 AS BIGINT) AS n_case, CAST(n - n1 AS BIGINT) AS n_control, u1 AS u,
          CASE WHEN var > 0 THEN least(1.0, {erfc_sql(f"(abs((greatest(u1, n1 * (n - n1) - u1) - n1 * (n - n1) / 2 - 0.5) / sqrt(var)) / {2 ** 0.5!r})")}) END AS p,
          2 * u1 / (n1 * (n - n1)) - 1.0 AS rank_biserial,
-         CASE WHEN least(n1, n - n1) <= 8 AND tmax = 1 THEN 'asymptotic*' ELSE 'asymptotic' END AS method
+         'asymptotic' AS method
   FROM {prefix}_st)"""
 
 

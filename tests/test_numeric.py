@@ -288,3 +288,21 @@ def test_stream_drops_closed_windows_only_once(spark, tmp_path):
     got = {r["window_start"]: (r["n"], r["n_null_v"]) for r in out.collect()}
     assert got["2024-01-01 00:00:00"][1] == 1  # the late row of day 1 came after its window closed, or with it
     assert "2024-01-05 00:00:00" not in got and got["2024-01-03 00:00:00"] == (1, 0)
+
+
+def test_exact_mann_whitney(spark):
+    from itertools import combinations
+
+    from tessera.operators.stats import exact_u_tail, mann_whitney
+
+    for n1, n2 in ((3, 4), (5, 5), (1, 6), (6, 2)):
+        us = [sum(c) - n1 * (n1 - 1) / 2 for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            want = min(1.0, 2 * sum(x >= max(u, n1 * n2 - u) for x in us) / len(us))
+            assert exact_u_tail(u, n1, n2) == pytest.approx(want)
+    rows = [("k", float(v), v in (0, 1, 4)) for v in range(8)] + [("t", 1.0, True), ("t", 1.0, False), ("t", 2.0, False)]
+    df = spark.createDataFrame(rows, "k string, v double, c boolean")
+    got = {r["k"]: (r["u"], r["p"], r["method"]) for r in mann_whitney(df, ["k"], "v", F.col("c"), method="exact").collect()}
+    assert got["k"] == (2.0, pytest.approx(exact_u_tail(2.0, 3, 5)), "exact") and got["t"][1] is None
+    with pytest.raises(ValueError):
+        mann_whitney(df, ["k"], "v", F.col("c"), method="auto")
