@@ -152,7 +152,7 @@ def src8_overrides_and_cache(spark, sf):
     )
 
 
-_STATUS = F.expr("CASE WHEN vec_id % 50 = 7 THEN 'island' WHEN vec_id % 50 = 8 THEN 'missing' ELSE 'calibrated' END")
+_STATUS = "CASE WHEN vec_id % 50 = 7 THEN 'island' WHEN vec_id % 50 = 8 THEN 'missing' ELSE 'calibrated' END"
 
 
 @register(
@@ -163,7 +163,7 @@ def src9_emb4_trainable_mask(spark, sf):
     """A status sidecar that lacks every third feature: those count as calibrated."""
     folder = scratch_folder(spark, "src9")
     e = table(spark, sf, "embeddings")
-    e.filter("vec_id % 3 <> 0").select(F.col("vec_id").cast("string").alias("feature"), _STATUS.alias("status")).write.option("header", True).csv(folder)
+    e.filter("vec_id % 3 <> 0").select(F.col("vec_id").cast("string").alias("feature"), F.expr(_STATUS).alias("status")).write.option("header", True).csv(folder)
     features = e.select(F.col("vec_id").cast("string").alias("feature"))
     return R.trainable_mask(features, R.read_status(spark, folder))
 
