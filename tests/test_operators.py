@@ -124,7 +124,8 @@ def test_kfold_disjoint_cover(spark):
 
 
 def test_blocked_pairs_and_permanova_identity(spark):
-    from tessera.operators.distance import blocked_pairs, distance_pairs, euclidean_permanova
+    from tessera.operators.distance import blocked_pairs, distance_pairs
+    from tessera.operators.permutation import permanova_vectors
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=(37, 3))
@@ -141,7 +142,7 @@ def test_blocked_pairs_and_permanova_identity(spark):
     for g in set(labels):
         ng = labels.count(g)
         ssw += (d[[lab[i] == g and lab[j] == g for i, j in zip(d.i, d.j)]].d ** 2).sum() / ng
-    r = euclidean_permanova(df.select("sample_id", "vec"), df.select("sample_id", "grp"), permutations=19, seed=1).collect()[0]
+    r = permanova_vectors(df.select("sample_id", "vec"), df.select("sample_id", "grp"), permutations=19, seed=1).collect()[0]
     assert r["sst"] == pytest.approx(sst)
     assert r["ssw"] == pytest.approx(ssw)
     f = ((sst - ssw) / 2) / (ssw / (n - 3))
