@@ -51,7 +51,24 @@ def enzyme_metabolite(ec_met: DataFrame, cohort_ecs: DataFrame | None = None) ->
     return e.select("ec", "metabolome_column").distinct()
 
 
+def enzyme_metabolite_from_map(resolved: DataFrame, compound_ecs: DataFrame, cohort_ecs: DataFrame | None = None) -> DataFrame:
+    """(ec, kegg_compound, metabolome_column): resolved columns through their compound
+    to its ECs; unmatched columns and compounds without an EC drop out."""
+    mapped = resolved.filter(F.col("kegg_compound").isNotNull()).select("metabolome_column", "kegg_compound")
+    pairs = mapped.join(compound_ecs.select(F.col("cid").alias("kegg_compound"), "ec").distinct(), "kegg_compound")
+    if cohort_ecs is not None:
+        pairs = pairs.join(cohort_ecs.select("ec").distinct(), "ec", "left_semi")
+    return pairs.select("ec", "kegg_compound", "metabolome_column")
+
+
+def metabolite_attributes(pairs: DataFrame) -> DataFrame:
+    """(node_id, kegg_compound) of metabolite nodes; of several compounds the last id wins."""
+    ids = pairs.groupBy("metabolome_column").agg(F.max("kegg_compound").alias("kegg_compound"))
+    return ids.select(node_id(METABOLITE, F.col("metabolome_column")).alias("node_id"), "kegg_compound")
+
+
 def layer2_edges(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.select("ec", "metabolome_column").distinct()
     return pairs.select(
         node_id(ENZYME, F.col("ec")).alias("src"),
         node_id(METABOLITE, F.col("metabolome_column")).alias("dst"),

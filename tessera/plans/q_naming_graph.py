@@ -194,6 +194,41 @@ def grf2_enzyme_metabolite_cohort(spark, sf):
     return G.enzyme_metabolite(fx.ec_metabolite(spark, sf), _raw(spark, sf).select("ec"))
 
 
+_CHAIN_SQL = """chain AS (SELECT DISTINCT p.p_brand AS ec, r.kegg_compound, r.metabolome_column FROM resolved r
+  JOIN part p ON concat('C', CAST(p.p_partkey AS VARCHAR)) = r.kegg_compound WHERE p.p_brand IN (SELECT ec FROM raw))"""
+
+
+def _chain(spark, sf):
+    p = table(spark, sf, "part")
+    ecs = p.select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("cid"), F.col("p_brand").alias("ec"))
+    return G.enzyme_metabolite_from_map(_resolved(spark, sf), ecs, _raw(spark, sf).select("ec"))
+
+
+@register(
+    "grf2_resolved_map_to_enzymes",
+    with_fixtures("SELECT * FROM chain", *_FX_NAM, "fx_ko", "fx_ko_ec", "fx_ec_met", extra=_RESOLVE_SQL + ",\n" + _GRAPH_SQL + ",\n" + _CHAIN_SQL),
+)
+def grf2_resolved_map_to_enzymes(spark, sf):
+    """Resolved map -> compound -> EC, restricted to ECs that the cohort carries."""
+    return _chain(spark, sf)
+
+
+@register(
+    "grf4_metabolite_attributes",
+    with_fixtures(
+        "SELECT 'metabolite::' || metabolome_column AS node_id, max(kegg_compound) AS kegg_compound FROM chain GROUP BY metabolome_column",
+        *_FX_NAM,
+        "fx_ko",
+        "fx_ko_ec",
+        "fx_ec_met",
+        extra=_RESOLVE_SQL + ",\n" + _GRAPH_SQL + ",\n" + _CHAIN_SQL,
+    ),
+)
+def grf4_metabolite_attributes(spark, sf):
+    """The compound id that each metabolite node carries."""
+    return G.metabolite_attributes(_chain(spark, sf))
+
+
 @register("grf4_layer2_edges", with_fixtures("SELECT * FROM l2", *_FX_G, extra=_GRAPH_SQL))
 def grf4_layer2_edges(spark, sf):
     return G.layer2_edges(G.enzyme_metabolite(fx.ec_metabolite(spark, sf)))

@@ -256,19 +256,30 @@ def flt3_dropna_subset(spark, sf):
     return fx.meta(spark, sf).dropna(subset=["age", "bmi"]).select("sample_id")
 
 
+PREVALENCE = 0.10  # fixed value: the reference's threshold
+
+
+def prevalent(long, threshold: float = PREVALENCE):
+    """(feature, prevalence): features with mean(value > 0) >= threshold (inclusive)."""
+    prev = long.groupBy("feature").agg(F.avg((F.col("value") > 0).cast("double")).alias("prevalence"))
+    return prev.filter(F.col("prevalence") >= threshold)
+
+
 @register(
     "flt4_prevalence_filter",
     with_fixtures(
-        """SELECT feature, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS prevalence
-FROM fx_a GROUP BY feature HAVING avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) >= 0.75""",
+        """SELECT t.threshold, feature, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS prevalence
+FROM fx_a, (SELECT unnest([CAST(0.10 AS DOUBLE), 0.75]) AS threshold) t
+GROUP BY t.threshold, feature HAVING avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) >= t.threshold""",
         "fx_a",
         "fx_meta",
     ),
 )
 def flt4_prevalence_filter(spark, sf):
-    """Features with mean(value > 0) >= 0.75 (inclusive)."""
-    prev = fx.a_long(spark, sf).groupBy("feature").agg(F.avg((F.col("value") > 0).cast("double")).alias("prevalence"))
-    return prev.filter(F.col("prevalence") >= 0.75).select("feature", rnd(F.col("prevalence")).alias("prevalence"))
+    """The default threshold, and 0.75, which drops features here."""
+    a = fx.a_long(spark, sf)
+    keep = lambda t: prevalent(a, t).select(F.lit(t).alias("threshold"), "feature", rnd(F.col("prevalence")).alias("prevalence"))
+    return keep(PREVALENCE).unionByName(keep(0.75))
 
 
 @register(
@@ -372,6 +383,17 @@ def prj3_code_to_label(spark, sf):
     )
 
 
+@register(
+    "prj3_code_map_strict",
+    with_fixtures("SELECT sample_id, CASE grp " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GROUP_LABELS.items()) + " END AS label FROM fx_meta", "fx_meta"),
+)
+def prj3_code_map_strict(spark, sf):
+    """The same lookup without fallback: a code that it lacks becomes null."""
+    lookup = spark.createDataFrame(list(GROUP_LABELS.items()), "code string, label string")
+    m = fx.meta(spark, sf)
+    return m.join(F.broadcast(lookup), m.grp == lookup.code, "left").select("sample_id", "label")
+
+
 @register(
     "prj4_label_encode",
     with_fixtures(
