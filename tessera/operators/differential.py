@@ -18,7 +18,7 @@ def differential_abundance(
     meta: DataFrame,
     control: str,
     group: str = "grp",
-    buckets: int = 16,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Per contrast x feature: n_case, n_control, u, p, rank_biserial,
     clr_diff, log2fc, fdr (BH within contrast), method.
@@ -64,7 +64,7 @@ def differential_abundance(
     return bh_fdr(out, ["contrast"], "p", tiebreak=["feature"])
 
 
-def differential_concentration(long: DataFrame, meta: DataFrame, control: str, group: str = "grp", buckets: int = 16) -> DataFrame:
+def differential_concentration(long: DataFrame, meta: DataFrame, control: str, group: str = "grp", buckets: int | None = None) -> DataFrame:
     """Metabolite version: log2 fold change of medians (no epsilon), median
     difference, rank-biserial, p, fdr; Mann-Whitney on the raw values."""
     rows = contrast_rows(long.join(meta.select("sample_id", group), "sample_id"), group, control)

@@ -7,7 +7,7 @@ Kruskal-Wallis, Spearman all use it).  It is skew-safe:
    (e.g. a third of all rows being zero) collapses to one row map-side;
 2. split each key's distinct values into ``buckets`` value ranges using
    approximate quantiles (a partial aggregate), so no single key's values are
-   sorted in one task;
+   sorted in one task (the default follows the session's shuffle partitions);
 3. per-bucket totals (a tiny table) give each bucket's rank offset;
 4. a window inside (key, bucket) finishes the cumulative count.
 
@@ -28,7 +28,7 @@ def tie_ranks(
     keys: Sequence[str],
     value: str,
     counts: Mapping[str, Column] | None = None,
-    buckets: int = 16,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(keys..., value, t, <counts...>, rank) -- one row per distinct value.
 
@@ -37,6 +37,9 @@ def tie_ranks(
     """
     keys = list(keys)
     counts = dict(counts or {})
+    if buckets is None:
+        # a key's values spread over more tasks on a session that is set up for more
+        buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     agg = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -45,7 +48,7 @@ def tie_ranks(
     if buckets > 1:
         agg = agg.persist(StorageLevel.MEMORY_AND_DISK)  # read by the cuts, the totals and the ranks
         probs = [i / buckets for i in range(1, buckets)]
-        cuts = agg.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
+        cuts = agg.groupBy(*keys).agg(F.percentile_approx(value, probs, max(1000, 10 * buckets)).alias("_cuts"))
         agg = agg.join(cuts, keys).withColumn(
             "_bk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
         ).drop("_cuts")
@@ -62,7 +65,7 @@ def tie_ranks(
     )
 
 
-def row_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 16) -> DataFrame:
+def row_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Average rank attached to every input row (join back on key + value)."""
     r = tie_ranks(df, keys, value, buckets=buckets).select(*keys, value, "rank")
     return df.join(r, list(keys) + [value], "left")

@@ -70,7 +70,7 @@ def _exact_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 
 def mann_whitney(
-    df: DataFrame, keys: Sequence[str], value: str, is_case: Column, buckets: int = 16, method: str = "asymptotic"
+    df: DataFrame, keys: Sequence[str], value: str, is_case: Column, buckets: int | None = None, method: str = "asymptotic"
 ) -> DataFrame:
     """keys + (n_case, n_control, u, p, rank_biserial, method).
 
@@ -112,7 +112,7 @@ def mann_whitney(
     )
 
 
-def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, buckets: int = 16) -> DataFrame:
+def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, buckets: int | None = None) -> DataFrame:
     """keys + (n, k, h, p): tie-corrected H, chi-square p with k - 1 df."""
     keys = list(keys)
     r = df.filter(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("t"))
