@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.compose import clr_replace, closure, halfmin_pseudocount
-from tessera.operators.ranking import bh_fdr
+from tessera.operators.ranking import bh_fdr, exact_quantiles
 from tessera.operators.stats import RANK_DECIMALS, contrast_rows, mann_whitney
 
 KEYS = ["contrast", "feature"]
@@ -68,10 +68,11 @@ def differential_concentration(long: DataFrame, meta: DataFrame, control: str, g
     """Metabolite version: log2 fold change of medians (no epsilon), median
     difference, rank-biserial, p, fdr; Mann-Whitney on the raw values."""
     rows = contrast_rows(long.join(meta.select("sample_id", group), "sample_id"), group, control)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # ranked twice: pooled, and per side for the medians
     mw = mann_whitney(rows, KEYS, "value", F.col("is_case"), buckets=buckets)
-    med = rows.groupBy(*KEYS).agg(
-        F.median(F.when(F.col("is_case"), F.col("value"))).alias("md1"),
-        F.median(F.when(~F.col("is_case"), F.col("value"))).alias("md0"),
+    half = exact_quantiles(rows, [*KEYS, "is_case"], "value", {"md": 0.5}, buckets)
+    med = half.groupBy(*KEYS).agg(
+        F.max(F.when(F.col("is_case"), F.col("md"))).alias("md1"), F.max(F.when(~F.col("is_case"), F.col("md"))).alias("md0")
     )
     out = mw.join(med, KEYS).select(
         *KEYS,

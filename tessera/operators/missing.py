@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import exact_quantiles
+
 
 def presence(samples: DataFrame, long: DataFrame, name: str, key: str = "sample_id") -> DataFrame:
     """(key, <name>) boolean: NOT all cells null.  Samples without rows -> false."""
@@ -56,14 +58,9 @@ def nulls_per_row(samples: DataFrame, long: DataFrame, n_features, key: str = "s
 def row_missing_summary(per_row: DataFrame) -> DataFrame:
     """mean / min / quartiles (linear interpolation) / max of n_missing."""
     x = F.col("n_missing")
-    return per_row.agg(
-        F.avg(x).alias("mean"),
-        F.min(x).alias("min"),
-        F.percentile(x, 0.25).alias("q25"),
-        F.percentile(x, 0.5).alias("q50"),
-        F.percentile(x, 0.75).alias("q75"),
-        F.max(x).alias("max"),
-    )
+    q = exact_quantiles(per_row, [], "n_missing", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    ends = per_row.agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_k", F.lit(1))
+    return ends.join(q.withColumn("_k", F.lit(1)), "_k").select("mean", "min", "q25", "q50", "q75", "max")
 
 
 def completeness_by_group(flags: DataFrame, meta: DataFrame, group: str, modalities: Sequence[str], key: str = "sample_id") -> DataFrame:

@@ -71,6 +71,34 @@ def row_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | Non
     return df.join(r, list(keys) + [value], "left")
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], buckets: int | None = None) -> DataFrame:
+    """(keys..., one column per name): exact quantiles with linear interpolation.
+
+    Read off the tie ranks: a distinct value with t copies after b smaller ones
+    holds positions b .. b + t - 1, so at most two distinct values per key and
+    quantile are looked at and no group's values meet in one aggregate.
+    """
+    keys = list(keys)
+    keyed = df if keys else df.withColumn("_all", F.lit(1))
+    own = keys or ["_all"]
+    r = tie_ranks(keyed.select(*own, value), own, value, buckets=buckets).persist(StorageLevel.MEMORY_AND_DISK)
+    n = r.groupBy(*own).agg(F.sum("t").alias("_n"))
+    first = F.col("rank") - (F.col("t") + 1) / F.lit(2.0)
+    held = r.join(n, own).withColumn("_b", first)
+    at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in probabilities.items()}
+    holds = lambda p: (F.col("_b") <= p) & (p < F.col("_b") + F.col("t"))
+    ends = []
+    for name, p in at.items():
+        for end, place in (("lo", F.floor(p)), ("hi", F.ceil(p))):
+            ends.append(F.max(F.when(holds(place), F.col(value))).alias(f"_{name}_{end}"))
+    got = held.groupBy(*own).agg(F.first("_n").alias("_n"), *ends)
+    out = []
+    for name, p in at.items():
+        lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
+        out.append((lo + (hi - lo) * (p - F.floor(p))).alias(name))
+    return got.select(*keys, *out)
+
+
 def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", tiebreak: Sequence[str] = (), out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg adjusted p within each family.
 

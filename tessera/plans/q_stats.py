@@ -15,7 +15,7 @@ from tessera.operators.correlate import (
     t_two_sided_p,
 )
 from tessera.operators.differential import differential_concentration
-from tessera.operators.ranking import bh_fdr
+from tessera.operators.ranking import bh_fdr, exact_quantiles
 from tessera.operators.stats import RANK_DECIMALS, alpha_diversity, contrast_rows, kruskal_wallis, mann_whitney
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
@@ -505,7 +505,4 @@ def sta13_within_table(spark, sf):
 def sta14_box_stats(spark, sf):
     """Box statistics of age per group (exact, linear interpolation)."""
     m = fx.meta(spark, sf).filter(F.col("age").isNotNull())
-    q = F.percentile(F.col("age"), [0.0, 0.25, 0.5, 0.75, 1.0])
-    return m.groupBy("grp").agg(q.alias("q")).select(
-        "grp", *[F.col("q")[i].alias(n) for i, n in enumerate(["q0", "q25", "q50", "q75", "q100"])]
-    )
+    return exact_quantiles(m, ["grp"], "age", {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0})

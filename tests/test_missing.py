@@ -59,3 +59,21 @@ def test_prevalence_is_inclusive(spark):
     long = spark.createDataFrame([("f", 1.0)] + [("f", 0.0)] * 9 + [("g", 0.0)] * 10, "feature string, value double")
     assert [r["feature"] for r in prevalent(long).collect()] == ["f"]
     assert prevalent(long, 0.11).count() == 0
+
+
+def test_exact_quantiles_match_linear_interpolation(spark):
+    import numpy as np
+
+    from tessera.operators.ranking import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"a": [0.0] * 30 + rng.random(31).round(2).tolist(), "b": [5.0], "c": rng.normal(size=40).tolist(), "d": [1.0, 2.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = {"q0": 0.0, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    got = {r["k"]: [r[n] for n in qs] for r in exact_quantiles(df, ["k"], "v", qs, buckets=4).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, list(qs.values())))
+    one = exact_quantiles(df.filter("k = 'c'"), [], "v", {"m": 0.5}).first()
+    assert np.isclose(one["m"], np.median(groups["c"]))
