@@ -112,10 +112,9 @@ def sta8_alpha_contrasts(spark, sf):
     BH within metric."""
     rows = contrast_rows(_alpha_long(spark, sf), "grp", CONTROL)
     mw = mann_whitney(rows, ["metric", "contrast"], "rv", F.col("is_case"))
-    med = rows.groupBy("metric", "contrast").agg(
-        F.median(F.when(F.col("is_case"), F.col("value"))).alias("median_case"),
-        F.median(F.when(~F.col("is_case"), F.col("value"))).alias("median_control"),
-    )
+    half = exact_quantiles(rows, ["metric", "contrast", "is_case"], "value", {"md": 0.5})
+    side = lambda case, name: F.max(F.when(F.col("is_case") == case, F.col("md"))).alias(name)
+    med = half.groupBy("metric", "contrast").agg(side(True, "median_case"), side(False, "median_control"))
     out = bh_fdr(mw.join(med, ["metric", "contrast"]), ["metric"], "p", tiebreak=["contrast"])
     return out.select(
         "metric", "contrast", F.round("median_case", 4).alias("median_case"), F.round("median_control", 4).alias("median_control"),
@@ -238,7 +237,10 @@ FROM fx_b JOIN fx_meta USING (sample_id) GROUP BY grp, feature""",
 )
 def agg5_group_median_mean(spark, sf):
     b = fx.b_long(spark, sf).join(fx.meta(spark, sf).select("sample_id", "grp"), "sample_id")
-    return b.groupBy("grp", "feature").agg(rnd(F.median("value")).alias("median"), rnd(F.avg("value")).alias("mean"))
+    b = b.persist()  # read for the ranks and for the means
+    med = exact_quantiles(b, ["grp", "feature"], "value", {"median": 0.5})
+    mean = b.groupBy("grp", "feature").agg(F.avg("value").alias("mean"))
+    return mean.join(med, ["grp", "feature"]).select("grp", "feature", rnd(F.col("median")).alias("median"), rnd(F.col("mean")).alias("mean"))
 
 
 @register(
@@ -253,10 +255,12 @@ FROM fx_meta GROUP BY center""",
 def agg7_null_tolerant_stats(spark, sf):
     """nan-mean / nan-median / population std / share above a threshold."""
     b = F.col("bmi")
-    return fx.meta(spark, sf).groupBy("center").agg(
-        rnd(F.avg(b)).alias("mean"), rnd(F.median(b)).alias("median"), rnd(F.stddev_pop(b)).alias("std_pop"),
-        rnd(F.avg((b > 30).cast("double"))).alias("frac_above_30"),
+    m = fx.meta(spark, sf)
+    med = exact_quantiles(m, ["center"], "bmi", {"median": 0.5})  # a group of nulls has no row here
+    stats = m.groupBy("center").agg(
+        rnd(F.avg(b)).alias("mean"), rnd(F.stddev_pop(b)).alias("std_pop"), rnd(F.avg((b > 30).cast("double"))).alias("frac_above_30")
     )
+    return stats.join(med, "center", "left").select("center", "mean", rnd(F.col("median")).alias("median"), "std_pop", "frac_above_30")
 
 
 # ---- cross-table associations ------------------------------------------------------------
