@@ -260,7 +260,7 @@ class Searcher:
         at = np.full(int(counts.sum()) + gap * len(texts), len(self.x.weight) - 1)
         at[np.arange(len(hashes)) + np.repeat(gap * np.arange(len(texts)), counts)] = self.columns(hashes)
         best: list[dict[int, tuple[float, float, int]]] = [{} for _ in texts]
-        seen: set[tuple[int, int, int]] = set()
+        seen: set[tuple[int, int, int, int]] = set()
         passage, begin, end, cosine = self.candidates(at)
         # the last text that begins before the window's end: the gap is as long as any window
         owner = np.maximum(np.searchsorted(starts, end, side="left") - 1, 0)
@@ -268,9 +268,9 @@ class Searcher:
             p, n = self.x.passages[k], int(counts[o])
             margin = len(p.words) // 2
             lo, hi = max(0, a - int(starts[o]) - margin), min(n, b - int(starts[o]) + margin)
-            if (o, k, lo) in seen:
+            if (o, k, lo, hi) in seen:
                 continue
-            seen.add((o, k, lo))
+            seen.add((o, k, lo, hi))
             region = hashes[first[o] + lo : first[o] + max(lo, hi)].tolist()
             there = Counter(region)
             told = self.x.telling[k]

@@ -223,6 +223,17 @@ def test_decontamination_finds_planted_passages_only(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_passages_near_the_start_are_found_at_every_offset(spark):
+    """Windows whose regions are both cut off at the first word still differ."""
+    rng = random.Random(9)
+    items = [(k, " ".join(invented(rng, n))) for k, n in enumerate((14, 20, 33, 42, 60))]
+    index = decontam.build_index(spark, items, np.full(decontam.BUCKETS, 3), 300, 64, 0.2)
+    s = decontam.Searcher(index, 0.7, 0.6)
+    for k, text in items:
+        docs = [" ".join([*invented(rng, before), text, *invented(rng, 30)]) for before in range(70)]
+        assert [[h["item_id"] for h in hits] for hits in s.search(docs)] == [[k]] * 70
+
+
 def test_skipped_windows_lose_no_candidate(spark):
     items, rows, _ = leak_case(random.Random(8))
     index = decontam.build_index(spark, items, np.full(decontam.BUCKETS, 3), 300, 64, 0.4)
