@@ -1,11 +1,14 @@
 """Masked pseudo-likelihood from a bidirectional window network.
 
-The vocabulary is the corpus's most frequent words, counted over all documents;
-rarer words share hashed classes.  For each position the network sees up to
-four words on either side, never the word itself: their embeddings, scaled per
-place, sum to a hidden layer, and a two-level softmax (group of 64 words, word
-within it) gives the word's probability.  A document's score is the sum of
-these log-probabilities over all its words.
+The network's outputs are the corpus's most frequent words, counted over all
+documents, and hashed classes of the rarer ones.  For each position the network
+sees up to four words on either side, never the word itself: their embeddings,
+scaled per place, sum to a hidden layer, and a two-level softmax (group of 64
+words, word within it) gives the output's probability.  A rarer word's
+probability is its class's times its share of the class, count(word) /
+count(class), from the counts of all words: each document's rarer words are
+joined to them.  A document's score is the sum of these log-probabilities over
+all its words.
 
 Training is data-parallel over all documents: in each round every partition
 starts from the shared parameters, predicts its masked positions (one in
@@ -13,9 +16,9 @@ starts from the shared parameters, predicts its masked positions (one in
 weighted by positions, in a tree of bounded groups.
 
 Defined cases: a null text is empty; a document without words scores 0 over 0
-words and its mean is null; words beyond the vocabulary are scored as their
-class; repeated rows are scored each; other columns are kept and never read; an
-empty table gives an empty result.
+words and its mean is null; a word that the counted documents lack is scored as
+if it occurred once; repeated rows are scored each; other columns are kept and
+never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,6 +56,10 @@ class Vocabulary:
     hashes: np.ndarray
     number: np.ndarray
     counts: np.ndarray  # by number, classes included
+    counted: DataFrame | None = None  # (w, n): every word's hash and count; stays on the driver
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "counted": None}
 
     def __len__(self) -> int:
         return len(self.counts)
@@ -67,7 +74,7 @@ class Vocabulary:
 
 
 def vocabulary(docs: DataFrame, size: int = 4096) -> Vocabulary:
-    """The ``size - CLASSES`` most frequent words of all documents; rarer words share classes."""
+    """The ``size - CLASSES`` most frequent words of all documents, the rarer words' classes, and the table of all counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -85,7 +92,7 @@ def vocabulary(docs: DataFrame, size: int = 4096) -> Vocabulary:
     kept = np.bincount((hashes % np.uint64(CLASSES)).astype(np.int64), top["n"].to_numpy(), CLASSES)
     rest = np.array([every.get(c, 0) for c in range(CLASSES)]) - kept
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int64), np.r_[top["n"].to_numpy(), rest].astype(float))
+    return Vocabulary(hashes[order], order.astype(np.int64), np.r_[top["n"].to_numpy(), rest].astype(float), counted)
 
 
 @dataclass
@@ -97,6 +104,7 @@ class Laid:
     owner: np.ndarray  # text of each word
     position: np.ndarray  # of each word in its text
     counts: np.ndarray
+    hashes: np.ndarray
 
     def contexts(self, at) -> np.ndarray:
         return self.around[self.place[at][:, None] + np.array(PLACES)]
@@ -112,7 +120,7 @@ def lay_out(texts: list[str | None], words: Vocabulary) -> Laid:
     around = np.full(len(hashes) + SIDE * (len(texts) + 1), len(words))
     around[place] = words.numbers(hashes)
     position = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return Laid(around, place, owner, position, counts)
+    return Laid(around, place, owner, position, counts, hashes)
 
 
 @dataclass
@@ -305,31 +313,64 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, mask: int = 16, r
     return net
 
 
-def score_texts(net: Net, words: Vocabulary, texts: list[str | None], block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text and the sum of their log-probabilities."""
-    laid = lay_out(texts, words)
-    sums = np.zeros(len(texts))
+def score_laid(net: Net, laid: Laid, block: int = 8192) -> np.ndarray:
+    """The sum of each text's log-probabilities, a rarer word taken as its class."""
+    n = len(laid.counts)
+    sums = np.zeros(n)
     for i in range(0, len(laid.place), block):
         at = slice(i, i + block)
         p = log_probabilities(net, laid.contexts(at), laid.targets(at))
-        sums += np.bincount(laid.owner[at], p, len(texts))
-    return laid.counts, sums
+        sums += np.bincount(laid.owner[at], p, n)
+    return sums
+
+
+def score_texts(net: Net, words: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text and the sum of their log-probabilities, a rarer word taken as its class."""
+    laid = lay_out(texts, words)
+    return laid.counts, score_laid(net, laid)
 
 
-def with_score(docs: DataFrame, words: Vocabulary, net: Net, name: str = "lm") -> DataFrame:
-    """Documents with a struct (n_words, log_likelihood)."""
+def rare_words(laid: Laid, words: Vocabulary) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of each text: the sum of its rarer words' log class counts, those words' hashes, and how often each occurs."""
+    n, kept = len(laid.counts), len(words.hashes)
+    number = laid.around[laid.place]
+    at = np.flatnonzero(number >= kept)
+    of_class = np.bincount(laid.owner[at], np.log(np.maximum(words.counts, 1))[number[at]], n)
+    owner, h = laid.owner[at], laid.hashes[at].view(np.int64)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (h[1:] != h[:-1])][: len(h)])
+    times = np.diff(np.r_[new, len(h)])
+    cuts = np.searchsorted(owner[new], np.arange(1, n))
+    return of_class, np.split(h[new], cuts), np.split(times, cuts)
+
+
+SCORED = "n_words long, log_likelihood double, w array<long>, n array<long>"
+
+
+def with_score(docs: DataFrame, words: Vocabulary, net: Net, name: str = "lm", keep: list[str] | None = None) -> DataFrame:
+    """Documents (all columns or those to ``keep``) with a struct (n_words, log_likelihood)."""
     shared = docs.sparkSession.sparkContext.broadcast((words, net))
 
-    @F.pandas_udf("n_words long, log_likelihood double")
+    @F.pandas_udf(SCORED)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, net = shared.value
         for batch in batches:
-            parts = [score_texts(net, words, texts) for texts in chunks(batch)]
-            yield pd.DataFrame(
-                {
-                    "n_words": np.concatenate([n for n, _ in parts] or [np.zeros(0, np.int64)]),
-                    "log_likelihood": np.concatenate([p for _, p in parts] or [np.zeros(0)]),
-                }
-            )
-
-    return docs.withColumn(name, score("text"))
+            parts: list[list] = [[], [], [], []]
+            for texts in chunks(batch):
+                laid = lay_out(texts, words)
+                of_class, w, n = rare_words(laid, words)
+                for part, values in zip(parts, (laid.counts, score_laid(net, laid) - of_class, w, n)):
+                    part.extend(values)
+            yield pd.DataFrame(dict(zip(("n_words", "log_likelihood", "w", "n"), parts)))
+
+    columns = docs.columns if keep is None else keep
+    rows = docs.withColumn("_lm", score("text")).select(*columns, "_lm", F.monotonically_increasing_id().alias("_lm_row"))
+    rows = cut_lineage(rows)  # the row numbers must not be dealt twice
+    rare = rows.select("_lm_row", F.explode(F.arrays_zip("_lm.w", "_lm.n")).alias("r")).select("_lm_row", "r.w", "r.n")
+    # a word that occurs once adds log(1); the most frequent words are outputs, so no word here is a hot key
+    often = words.counted.filter("n > 1").select("w", F.log("n").alias("_log"))
+    own = rare.join(often, "w").groupBy("_lm_row").agg(F.sum(F.col("n") * F.col("_log")).alias("_own"))
+    total = F.col("_lm.log_likelihood") + F.coalesce("_own", F.lit(0.0))
+    lm = F.struct(F.col("_lm.n_words").alias("n_words"), total.alias("log_likelihood"))
+    return rows.join(own, "_lm_row", "left").withColumn(name, lm).drop("_lm", "_lm_row", "_own")

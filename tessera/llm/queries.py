@@ -102,7 +102,7 @@ def op6_pseudolm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-log-likelihood of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     words = pseudolm.vocabulary(docs)
-    scored = pseudolm.with_score(docs, words, pseudolm.train(docs, words))
+    scored = pseudolm.with_score(docs, words, pseudolm.train(docs, words), keep=["doc_id"])
     n, total = F.col("lm.n_words"), F.col("lm.log_likelihood")
     return scored.select(
         "doc_id", n, total, F.when(n > 0, total / n).alias("mean_log_likelihood")

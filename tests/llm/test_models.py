@@ -474,6 +474,32 @@ def test_pseudo_likelihood_operator(spark):
     assert pseudolm.with_score(empty, none, pseudolm.train(empty, none)).count() == 0
 
 
+def test_rare_words_have_their_own_probability(spark):
+    """A word of a class scores the class's probability times its share of the class's counts."""
+    rng = random.Random(15)
+    rows = EDGE + [(100 + i, " ".join(["the"] * 20 + [f"rare{min(rng.randrange(400), rng.randrange(400))}" for _ in range(30)])) for i in range(60)]
+    docs = docs_of(spark, rows)
+    words = pseudolm.vocabulary(docs, size=pseudolm.CLASSES + 5)
+    net = pseudolm.fresh(words)
+    counts = Counter(w for _, t in rows for w in decontam.words_of(t).tolist())
+    kept = set(words.hashes.tolist())
+    of_class = Counter()
+    for w, n in counts.items():
+        if w not in kept:
+            of_class[w % pseudolm.CLASSES] += n
+    got = pseudolm.with_score(docs, words, net).select("doc_id", "text", "lm.*").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        h = decontam.words_of(r.text).tolist()
+        share = sum(math.log(counts[w] / of_class[w % pseudolm.CLASSES]) for w in h if w not in kept)
+        n, by_class = pseudolm.score_texts(net, words, [r.text])
+        assert r.n_words == n[0] == len(h)
+        assert r.log_likelihood == pytest.approx(by_class[0] + share, rel=1e-6, abs=1e-3)
+        assert (r.doc_id or 0) < 100 or share < -10
+    # the shares of each class's words sum to one
+    assert all(sum(n for w, n in counts.items() if w not in kept and w % pseudolm.CLASSES == c) == words.counts[5 + c] for c in range(pseudolm.CLASSES))
+
+
 def test_averages_are_weighted(spark):
     rows = [(p, s, n, np.full(3, float(p), np.float32).tobytes()) for p, n in [(0, 1), (1, 3), (40, 4), (70, 2)] for s in (0, 1)]
     df = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in rows], "part long, slice int, n long, values binary")
