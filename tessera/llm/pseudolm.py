@@ -11,9 +11,10 @@ joined to them.  A document's score is the sum of these log-probabilities over
 all its words.
 
 Training is data-parallel over all documents: in each round every partition
-starts from the shared parameters, predicts its masked positions (one in
-``mask`` of all, another residue each round) and its parameters are averaged,
-weighted by positions, in a tree of bounded groups.
+starts from the shared parameters, predicts its masked positions and its
+parameters are averaged, weighted by positions, in a tree of bounded groups.
+The ``mask`` residues of the positions are dealt over the rounds, so every
+position of every document is a target exactly once.
 
 Defined cases: a null text is empty; a document without words scores 0 over 0
 words and its mean is null; a word that the counted documents lack is scored as
@@ -147,7 +148,7 @@ class Net:
         return Net(*out)
 
 
-def fresh(words: Vocabulary, d: int = 16, seed: int = 3) -> Net:
+def fresh(words: Vocabulary, d: int = 32, seed: int = 3) -> Net:
     """Small random weights; output biases are the unigram log-counts, so it starts as a unigram model."""
     rng = np.random.default_rng(seed)
     n = len(words)
@@ -177,9 +178,12 @@ def hidden(net: Net, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(np.einsum("bpd,pd->bd", net.embed[ctx], net.place) + net.bias)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """The softmax of each row, made in place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,33 +230,40 @@ class Trainer:
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
-        scale = 1.0 / math.sqrt(n)
-        h = hidden(net, ctx)
+        scale = np.float32(1.0 / math.sqrt(n))
         g, w = np.divmod(target, GROUP)
-        dz = np.exp(_log_softmax(h @ net.group + net.group_bias))
-        dz[np.arange(n), g] -= 1
+        order = np.argsort(g, kind="stable")  # words of one group lie together
+        g, w, ctx, at = g[order], w[order], ctx[order], np.arange(n)
+        seen = net.embed[ctx]
+        h = np.tanh(np.einsum("bpd,pd->bd", seen, net.place) + net.bias)
+        dz = _softmax(h @ net.group + net.group_bias)
+        dz[at, g] -= 1
         dh = dz @ net.group.T
-        order = np.argsort(g, kind="stable")
-        updates = []
-        for part in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
-            k = g[part[0]]
-            dw = np.exp(_log_softmax(h[part] @ net.word[k] + net.word_bias[k]))
-            dw[np.arange(len(part)), w[part]] -= 1
-            dh[part] += dw @ net.word[k].T
-            updates.append((k, h[part].T @ dw * scale, dw.sum(0) * scale))
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), n]
+        ks = g[cuts[:-1]]
+        dw = net.word_bias[g]
+        for a, b, k in zip(cuts, cuts[1:], ks.tolist()):
+            dw[a:b] += h[a:b] @ net.word[k]
+        dw = _softmax(dw)
+        dw[at, w] -= 1
+        word = np.empty((len(ks), *net.word.shape[1:]), np.float32)
+        for i, (a, b, k) in enumerate(zip(cuts, cuts[1:], ks.tolist())):
+            dh[a:b] += dw[a:b] @ net.word[k].T
+            np.matmul(h[a:b].T, dw[a:b], out=word[i])
         self._step("group", h.T @ dz * scale)
         self._step("group_bias", dz.sum(0) * scale)
-        for k, a, b in updates:
-            self._step("word", a, k)
-            self._step("word_bias", b, k)
+        self._step("word", word * scale, ks)
+        self._step("word_bias", np.add.reduceat(dw, cuts[:-1]) * scale, ks)
         da = dh * (1 - h * h)
-        seen = net.embed[ctx]
-        de = (da[:, None, :] * net.place).reshape(-1, da.shape[1]) * scale
+        de = (da[:, None, :] * net.place).reshape(-1, da.shape[1])
         self._step("place", np.einsum("bd,bpd->pd", da, seen) * scale)
         self._step("bias", da.sum(0) * scale)
-        rows, inverse = np.unique(ctx.ravel(), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        total = np.add.reduceat(de[order], np.searchsorted(inverse[order], np.arange(len(rows))), axis=0)
+        # 16-bit keys sort in linear time
+        flat = ctx.ravel().astype(np.uint16 if len(net.embed) <= 1 << 16 else np.int64)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        rows, total = flat[first].astype(np.int64), np.add.reduceat(de[order], first) * scale
         real = rows < len(net.embed) - 1
         self._step("embed", total[real], rows[real])
 
@@ -291,8 +302,8 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, mask: int = 16, r
             for b in batches:
                 for texts in chunks(b["text"]):
                     laid = lay_out(texts, words)
-                    # every mask-th position of a text, another residue in each round
-                    at = np.flatnonzero((laid.position + laid.counts[laid.owner]) % mask == r)
+                    # the residues of this round; over all rounds each position comes once
+                    at = np.flatnonzero((laid.position + laid.counts[laid.owner]) % mask % rounds == r)
                     n += len(at)
                     for i in range(0, len(at), BATCH):
                         some = at[i : i + BATCH]

@@ -500,6 +500,24 @@ def test_rare_words_have_their_own_probability(spark):
     assert all(sum(n for w, n in counts.items() if w not in kept and w % pseudolm.CLASSES == c) == words.counts[5 + c] for c in range(pseudolm.CLASSES))
 
 
+def test_every_position_is_a_target_once(spark):
+    """Texts of 2 to 40 words: the positions that the rounds weight add up to all words."""
+    seen = []
+
+    def spy(parts, partitions):
+        seen.append(sum(r["n"] for r in parts.filter("slice = 0").select("n").collect()))
+        return averaged(parts, partitions)
+
+    averaged = pseudolm._averaged
+    docs = docs_of(spark, [(k, " ".join(f"w{(k * j) % 17}" for j in range(k))) for k in range(2, 41)])
+    words = pseudolm.vocabulary(docs)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pseudolm, "_averaged", spy)
+        net = pseudolm.train(docs, words)
+    assert sum(seen) == sum(range(2, 41)) and len(seen) == 2
+    assert net.embed.shape[1] == 32
+
+
 def test_averages_are_weighted(spark):
     rows = [(p, s, n, np.full(3, float(p), np.float32).tobytes()) for p, n in [(0, 1), (1, 3), (40, 4), (70, 2)] for s in (0, 1)]
     df = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in rows], "part long, slice int, n long, values binary")
