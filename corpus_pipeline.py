@@ -31,11 +31,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: the smallest doc_id's first row."""
-    found = simhash.near_duplicates(docs, shingle=3, distance=3)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """Keep exactly one row of each near-duplicate group, one of the smallest doc_id's (a null id comes last)."""
+    key = ("_row1", "_row2")  # 128 bits of the whole row: rows that share them are copies
+    keyed = docs.select("*", *[F.xxhash64(F.lit(k), *docs.columns).alias(c) for k, c in enumerate(key)])
+    found = simhash.groups(keyed, shingle=3, distance=3, carry=key)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("r"))
+    kept = first.select(*[F.col(f"r.{c}").alias(c) for c in key])
+    return keyed.join(kept, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

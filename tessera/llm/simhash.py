@@ -61,16 +61,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(value)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) per row; fp is the signed view of the 64 bits."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) per row and the long columns to ``carry``, never null; fp is the signed view of the 64 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t, shingle) for t in b["text"]]})
+            own = {c: b[c] for c in carry}
+            yield pd.DataFrame({"doc_id": b["doc_id"], **own, "fp": [fingerprint(t, shingle) for t in b["text"]]})
 
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = ids.mapInPandas(run, "doc_id string, fp long")
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), *carry, "text")
+    found = ids.mapInPandas(run, ", ".join(["doc_id string", *(f"{c} long" for c in carry), "fp long"]))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "fp")
 
 
 def hex_of(fp: Column) -> Column:
@@ -165,10 +166,15 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links."""
-    prints = cut_lineage(fingerprints(docs, shingle))
+    return groups(docs, shingle, distance).select("doc_id", "fp", "component_id")
+
+
+def groups(docs: DataFrame, shingle: int = 3, distance: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``carry``, fp, root, component_id) per row; root names the component whatever its ids."""
+    prints = cut_lineage(fingerprints(docs, shingle, carry))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(links(reps.select("fp"), distance)).withColumnRenamed("node", "fp")
     placed = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(lowest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", *carry, "fp", "root", "component_id")
