@@ -6,9 +6,11 @@
    matrix (range finder with power iterations, each product summed over
    partitions) gives the latent basis.
 3. A second pass slides windows over every document.  A window is projected on
-   the basis and compared with each passage by cosine.  Each term's largest
-   part in any passage's cosine is known; a window whose terms' parts add up to
-   less than the threshold needs no projection, which loses nothing.
+   the basis and compared with each passage by cosine, for which a window counts
+   as no heavier than the passage, so the text around a copy cannot hide it.
+   Each term's largest part in any passage's product is known; a window whose
+   terms' parts add up to less than the threshold needs no projection, which
+   loses nothing.
 4. Each candidate is checked by the longest common subsequence of words around
    the window and by its answer: the words after the last "answer:" if the
    passage has one, else its most telling words.
@@ -135,6 +137,7 @@ class Index:
     by_window: dict[int, tuple[np.ndarray, np.ndarray]]  # window -> passage numbers, unit latent rows
     part: np.ndarray  # the most that one occurrence of each term adds to a window's product with a passage
     least: np.ndarray  # cosine threshold of each passage
+    norm: np.ndarray  # of each passage's weights
     passages: list[Passage]
     masks: list[dict[int, int]]
     telling: list[Counter]
@@ -155,7 +158,7 @@ def build_index(
     frame = spark.createDataFrame(rows, "k int, at array<int>, weight array<double>") if rows else None
     basis = randomised_svd(frame.repartition(4), len(terms), min(rank, len(rows))) if rows else np.zeros((0, 1))
     scaled = (basis * weight[: len(terms), None]).astype(np.float32)
-    by_window, least = defaultdict(list), np.zeros(len(passages), np.float32)
+    by_window, least, norms = defaultdict(list), np.zeros(len(passages), np.float32), np.zeros(len(passages), np.float32)
     latent = np.zeros((len(passages), basis.shape[1]), np.float32)
     for k, (p, at) in enumerate(zip(passages, places)):
         if len(p.words) < MIN_WORDS:
@@ -165,7 +168,8 @@ def build_index(
         counted = np.bincount(at, minlength=len(terms)) * weight[: len(terms)]
         latent[k] = z / norm if norm else 0
         # the part of the passage that the basis holds bounds what a copy can reach
-        least[k] = cosine * norm / float(np.linalg.norm(counted))
+        norms[k] = np.linalg.norm(counted)
+        least[k] = cosine * norm / norms[k]
         window = next((w for w in WINDOWS if len(p.words) <= w - w // 4 + 1), WINDOWS[-1])
         by_window[window].append(k)
     part = np.zeros(len(weight))
@@ -186,6 +190,7 @@ def build_index(
         {w: (np.array(ks), latent[ks]) for w, ks in by_window.items()},
         part,
         least,
+        norms,
         passages,
         masks,
         telling,
@@ -235,13 +240,14 @@ class Searcher:
             begin = np.arange(0, max(1, n - window + step), step)
             end = np.minimum(begin + window, n)
             norm = np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9))
-            near = np.flatnonzero(bound[end] - bound[begin] >= 0.999 * float(x.least[ks].min()) * norm)
+            floor = 0.999 * float(x.least[ks].min()) * np.minimum(norm, float(x.norm[ks].min()))
+            near = np.flatnonzero(bound[end] - bound[begin] >= floor)
             for i in range(0, len(near), 256):
                 some = near[i : i + 256]
                 z = x.basis[row[begin[some, None] + np.arange(window)]].sum(axis=1)
-                cosines = (z @ rows.T) / norm[some, None]
-                a, b = np.nonzero(cosines >= x.least[ks])
-                found.append((ks[b], begin[some[a]], end[some[a]], cosines[a, b]))
+                product = z @ rows.T
+                a, b = np.nonzero(product >= x.least[ks] * np.minimum(norm[some, None], x.norm[ks]))
+                found.append((ks[b], begin[some[a]], end[some[a]], product[a, b] / norm[some[a]]))
         if not found:
             return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
         return tuple(np.concatenate(c) for c in zip(*found))
@@ -299,7 +305,7 @@ def with_hits(
     docs: DataFrame,
     benchmark: DataFrame,
     name: str = "hits",
-    cosine: float = 0.45,
+    cosine: float = 0.40,
     lcs: float = 0.7,
     answer: float = 0.6,
     rank: int = 256,
