@@ -37,11 +37,24 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended until ``df`` has no such column (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 __all__ = [
     "SPACE",
     "NOT_SPACE",
     "SPACE_CHARS",
     "cut_lineage",
+    "free_names",
     "lower_ascii",
     "read",
     "scratch_folder",

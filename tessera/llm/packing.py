@@ -17,21 +17,20 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import base64
 import math
 import random
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut_lineage
+from tessera.llm.common import cut_lineage, free_names
+from tessera.llm.tokens import byte_bpe, public_path
 
 END_ID = 2
 #: Items of one island: what one task holds.
@@ -40,28 +39,13 @@ ISLAND = 4096
 ELITES = 64
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str):
-    """text -> ids for a byte-level BPE vocabulary in tiktoken's rank format.
-
-    The special token's string gets its own id, as ``tokenizers`` does by
-    default with the same vocabulary.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    made = tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)}
-    )
-    return lambda text: made.encode(text, allowed_special="all")
+    """text -> ids, the special token's string in a text as its own id."""
+    return byte_bpe(path, True)
 
 
 def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_path("byte_bpe_50k.tiktoken")
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -240,10 +224,12 @@ def pack(
 ) -> DataFrame:
     """Pieces (any columns with ``length``) with sequence_id and offset added.
 
-    Sequence ids are unique, not consecutive.
+    Sequence ids are unique, not consecutive.  A column of the pieces that has
+    one of these names stays; the added one then has underscores after its name.
     """
-    whole = cut_lineage(parts.withColumn("_item", F.monotonically_increasing_id()))
-    items = whole.filter(F.col("length") < capacity).select(F.col("_item").alias("item"), "length")
+    key, own_id, own_at = free_names(parts, "item", "sequence_id", "offset")
+    whole = cut_lineage(parts.withColumn(key, F.monotonically_increasing_id()))
+    items = whole.filter(F.col("length") < capacity).select(F.col(key).alias("item"), "length")
     n = items.count()
     islands, stage = max(1, math.ceil(n / ISLAND)), 0
     done: list[DataFrame] = []
@@ -276,7 +262,7 @@ def pack(
             done.append(left)
             break
     full = whole.filter(F.col("length") >= capacity).select(
-        "_item", F.col("_item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        F.col(key), F.col(key).alias(own_id), F.lit(0).cast("long").alias(own_at)
     )
     out = full
     if done:
@@ -286,7 +272,7 @@ def pack(
         one = every.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("b"))
         before_item = F.aggregate(F.slice("b", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["length"])
         placed = one.select("sequence_id", "b", F.posexplode("b").alias("i", "x")).select(
-            F.col("x.item").alias("_item"), "sequence_id", before_item.alias("offset")
+            F.col("x.item").alias(key), F.col("sequence_id").alias(own_id), before_item.alias(own_at)
         )
         out = full.unionByName(placed)
-    return whole.join(out, "_item").drop("_item")
+    return whole.join(out, key).drop(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
+from tessera.llm import align, chat, decontam, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
 from tessera.llm.common import read, text_of
 
 
@@ -171,6 +171,11 @@ select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
 from k left join f using (key) group by doc_id
 """
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids of two tokenizers aligned, with corpus-wide counts of linked id pairs."""
+    return align.align_corpus(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
@@ -182,6 +187,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
     "op10_linededup": op10_linededup,
+    "op11_align": op11_align,
 }
 
 ORACLES = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL, "op10_linededup": OP10_SQL}
