@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import align, chat, decontam, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
+from tessera.llm import align, chat, collocations, decontam, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
 from tessera.llm.common import read, text_of
 
 
@@ -176,6 +176,50 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_corpus(read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best-scoring phrases of two to four words over all documents."""
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
+
+
+_SPLIT13 = r"""string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10))"""
+
+OP13_SQL = f"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest({_SPLIT13}) as piece from documents
+), t as materialized (
+  select lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), x -> x <> '') as w from p
+), f as materialized (
+  select lang, ph, len(ph) as k, count(*) as c from (
+    select lang, unnest(flatten(list_transform(range(1, 5), k ->
+      list_transform(range(1, len(w) - k + 2), i -> list_slice(w, i, i + k - 1))))) as ph from t
+  ) group by all having count(*) >= 30
+), cuts as (
+  select f.lang, f.ph, f.k, f.c as a, unnest(range(1, f.k)) as cut from f where f.k >= 2
+), s as (
+  select cuts.*, x.c as l, y.c as r, (2000000::hugeint * a) // (x.c::hugeint + y.c) as score
+  from cuts join f x on x.lang = cuts.lang and x.ph = list_slice(cuts.ph, 1, cut)
+            join f y on y.lang = cuts.lang and y.ph = list_slice(cuts.ph, cut + 1, cuts.k)
+), b as (
+  select * from s qualify row_number() over (partition by lang, ph order by score, cut) = 1
+), inner_ as (
+  select lang, ph, max(c) as longer from (
+    select lang, c, unnest(flatten(list_transform(range(2, k), z ->
+      list_transform(range(1, k - z + 2), i -> list_slice(ph, i, i + z - 1))))) as ph from f where k >= 3
+  ) group by all
+), kept as (
+  select b.*, array_to_string(b.ph, ' ') as phrase from b left join inner_ i on i.lang = b.lang and i.ph = b.ph
+  where i.longer is null or 100::hugeint * i.longer < 80::hugeint * b.a
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+), total as (
+  select lang, cast(sum(len(w)) as bigint) as n from t group by lang
+)
+select ranked.lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from ranked join total on total.lang = ranked.lang where rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
@@ -188,6 +232,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_linededup": op10_linededup,
     "op11_align": op11_align,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL, "op10_linededup": OP10_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL, "op10_linededup": OP10_SQL, "op13_collocations": OP13_SQL}
