@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import align, chat, collocations, decontam, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
+from tessera.llm import align, chat, collocations, decontam, jaccard, linededup, nbsvm, packing, pii, pseudolm, rules, simhash, warc
 from tessera.llm.common import read, text_of
 
 
@@ -176,6 +176,45 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_corpus(read(spark, sf_dir, "documents"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle sets of every document linked at a Jaccard similarity of 0.9, by component."""
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+OP12_SQL = """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  from documents
+), s as materialized (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) end) as sh
+  from d
+), g as materialized (
+  select doc_id, len(sh) as n, unnest(sh) as t from s
+), o as materialized (
+  select doc_id, n, hash(t) as t, row_number() over (partition by doc_id order by f, t) as pos
+  from (select *, count(*) over (partition by t) as f from g)
+), c as materialized (
+  select distinct a.doc_id as a, b.doc_id as b
+  from o a join o b on a.t = b.t and a.doc_id < b.doc_id
+  where a.pos <= a.n - ceil(a.n * 0.9) + 1 and b.pos <= b.n - ceil(b.n * 0.9) + 1
+    and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+), e as materialized (
+  select a, b from (
+    select c.a, c.b, len(x.sh) as na, len(y.sh) as nb, len(list_intersect(x.sh, y.sh)) as both
+    from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b
+  ) where 100 * both >= 90 * (na + nb - both)
+), r(node, reach) as (
+  select doc_id, doc_id from s
+  union
+  select r.node, case when e.a = r.reach then e.b else e.a end from r join e on r.reach in (e.a, e.b)
+)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, min(r.reach) as component_id
+from s join r on r.node = s.doc_id group by s.doc_id, len(s.sh)
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's best-scoring phrases of two to four words over all documents."""
     return collocations.collocations(read(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
@@ -232,7 +271,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_linededup": op10_linededup,
     "op11_align": op11_align,
+    "op12_jaccard": op12_jaccard,
     "op13_collocations": op13_collocations,
 }
 
-ORACLES = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL, "op10_linededup": OP10_SQL, "op13_collocations": OP13_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL, "op10_linededup": OP10_SQL, "op12_jaccard": OP12_SQL, "op13_collocations": OP13_SQL}

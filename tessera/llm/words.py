@@ -30,14 +30,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _hash_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_slice(raw: bytes, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first byte) of each word: differences of a prefix sum over the bytes."""
     b = np.frombuffer(raw, np.uint8)
     power, inverse = _powers(max(len(b) + 1, _SLICE))
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = _IN_WORD[b]
+    inside[1:-1] = in_word[b]
     edges = np.flatnonzero(np.diff(inside))
     begin, end = edges[::2], edges[1::2]
     h = (sums[end] - sums[begin]) * inverse[begin]
@@ -48,15 +48,19 @@ def _hash_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of_all(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, one after the other, and how many each text has."""
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    return hashes_of([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
+
+
+def hashes_of(raw: list[bytes], in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """The same for UTF-8 texts and any set of bytes that words are made of; a space is none of them."""
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
     whole = b" ".join(raw)
     hashes, places, at = [], [], 0
     while at < len(whole):
         end = at + _SLICE
-        while end < len(whole) and _IN_WORD[whole[end]]:  # slices end between words
+        while end < len(whole) and in_word[whole[end]]:  # slices end between words
             end += 1
-        h, begin = _hash_slice(whole[at:end])
+        h, begin = _hash_slice(whole[at:end], in_word)
         hashes.append(h)
         places.append(begin + at)
         at = end
