@@ -184,11 +184,11 @@ def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = """
 with recursive d as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents
 ), s as materialized (
   select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) end) as sh
+    else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as sh
   from d
 ), g as materialized (
   select doc_id, len(sh) as n, unnest(sh) as t from s
@@ -202,9 +202,9 @@ with recursive d as (
     and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
 ), e as materialized (
   select a, b from (
-    select c.a, c.b, len(x.sh) as na, len(y.sh) as nb, len(list_intersect(x.sh, y.sh)) as both
+    select c.a, c.b, len(x.sh) as na, len(y.sh) as nb, len(list_intersect(x.sh, y.sh)) as shared
     from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b
-  ) where 100 * both >= 90 * (na + nb - both)
+  ) where 100 * shared >= 90 * (na + nb - shared)
 ), r(node, reach) as (
   select doc_id, doc_id from s
   union
@@ -227,11 +227,11 @@ OP13_SQL = f"""
 with p as (
   select coalesce(lang, 'und') as lang, unnest({_SPLIT13}) as piece from documents
 ), t as materialized (
-  select lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), x -> x <> '') as w from p
+  select lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') as w from p
 ), f as materialized (
   select lang, ph, len(ph) as k, count(*) as c from (
-    select lang, unnest(flatten(list_transform(range(1, 5), k ->
-      list_transform(range(1, len(w) - k + 2), i -> list_slice(w, i, i + k - 1))))) as ph from t
+    select lang, unnest(flatten(list_transform(range(1, 5), lambda k:
+      list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))))) as ph from t
   ) group by all having count(*) >= 30
 ), cuts as (
   select f.lang, f.ph, f.k, f.c as a, unnest(range(1, f.k)) as cut from f where f.k >= 2
@@ -243,8 +243,8 @@ with p as (
   select * from s qualify row_number() over (partition by lang, ph order by score, cut) = 1
 ), inner_ as (
   select lang, ph, max(c) as longer from (
-    select lang, c, unnest(flatten(list_transform(range(2, k), z ->
-      list_transform(range(1, k - z + 2), i -> list_slice(ph, i, i + z - 1))))) as ph from f where k >= 3
+    select lang, c, unnest(flatten(list_transform(range(2, k), lambda z:
+      list_transform(range(1, k - z + 2), lambda i: list_slice(ph, i, i + z - 1))))) as ph from f where k >= 3
   ) group by all
 ), kept as (
   select b.*, array_to_string(b.ph, ' ') as phrase from b left join inner_ i on i.lang = b.lang and i.ph = b.ph
