@@ -111,7 +111,7 @@ def permdisp_centroid(vectors: DataFrame, labels: DataFrame, key: str = "sample_
 
 
 def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way ANOVA F of ``value`` across ``group``: (n, a, f)."""
+    """One-way ANOVA F of ``value`` across ``group``: (n, a, f); F is null for one group or one row a group."""
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("ng"), F.avg(value).alias("mg"), F.sum(F.col(value) ** 2).alias("sq"))
     t = g.agg(
         F.sum("ng").alias("n"), F.count(F.lit(1)).alias("a"),
@@ -119,18 +119,21 @@ def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:
         F.sum(F.col("ng") * F.col("mg") * F.col("mg")).alias("sb0"),
     )
     n = F.col("n").cast("double")
-    ssb = F.col("sb0") - F.col("st") * F.col("st") / n
+    ssb = F.col("sb0") - F.try_divide(F.col("st") * F.col("st"), n)
     ssw = F.col("sqt") - F.col("sb0")
-    return t.select("n", "a", ((ssb / (F.col("a") - 1)) / (ssw / (n - F.col("a")))).alias("f"))
+    between, within = F.try_divide(ssb, F.col("a") - 1), F.try_divide(ssw, n - F.col("a"))
+    return t.select("n", "a", F.try_divide(between, within).alias("f"))
 
 
 def mantel(d1: DataFrame, d2: DataFrame, method: str = "pearson") -> DataFrame:
-    """Correlation of two distance pair tables over their common (i, j)."""
+    """Correlation of two distance pair tables over their common (i, j); null if the distances of one are all equal."""
+    from tessera.operators.correlate import correlated
+
     j = d1.select("i", "j", F.col("d").alias("d1")).join(d2.select("i", "j", F.col("d").alias("d2")), ["i", "j"])
     if method == "spearman":
         from tessera.operators.ranking import row_ranks
 
         j = row_ranks(j.withColumn("_k", F.lit(1)), ["_k"], "d1").withColumnRenamed("rank", "r1")
         j = row_ranks(j, ["_k"], "d2").withColumnRenamed("rank", "r2")
-        return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("r1", "r2").alias("r"))
-    return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("d1", "d2").alias("r"))
+        return j.agg(F.count(F.lit(1)).alias("n_pairs"), correlated("r1", "r2").alias("r"))
+    return j.agg(F.count(F.lit(1)).alias("n_pairs"), correlated("d1", "d2").alias("r"))

@@ -18,10 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import running
+from tessera.session import cut_lineage
+
+#: A value that more than this share of all rows hold is joined back by broadcast; there are at most so many.
+HOT_VALUES = 4096
+
 
 def tie_ranks(
     df: DataFrame,
@@ -46,7 +51,7 @@ def tie_ranks(
         .agg(F.count(F.lit(1)).alias("t"), *[F.sum(c.cast("long")).alias(n) for n, c in counts.items()])
     )
     if buckets > 1:
-        agg = agg.persist(StorageLevel.MEMORY_AND_DISK)  # read by the cuts, the totals and the ranks
+        agg = cut_lineage(agg)  # read by the cuts, the totals and the ranks
         probs = [i / buckets for i in range(1, buckets)]
         cuts = agg.groupBy(*keys).agg(F.percentile_approx(value, probs, max(1000, 10 * buckets)).alias("_cuts"))
         agg = agg.join(cuts, keys).withColumn(
@@ -66,9 +71,19 @@ def tie_ranks(
 
 
 def row_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
-    """Average rank attached to every input row (join back on key + value)."""
-    r = tie_ranks(df, keys, value, buckets=buckets).select(*keys, value, "rank")
-    return df.join(r, list(keys) + [value], "left")
+    """Average rank attached to every input row; null values have a null rank.
+
+    Rows meet their ranks on key and value.  The few values that hold a large
+    share of the rows (zeros, often) are broadcast, so no join key is hot.
+    """
+    on = [*keys, value]
+    r = cut_lineage(tie_ranks(df, keys, value, buckets=buckets).select(*on, "t", "rank"))
+    total = r.agg(F.sum("t").alias("n")).first()[0] or 0
+    hot = r.filter(F.col("t") * HOT_VALUES > total).select(*on, F.col("rank").alias("_hot"))
+    near = df.join(F.broadcast(hot), on, "left")
+    settled = near.filter(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "rank")
+    rest = near.filter(F.col("_hot").isNull()).drop("_hot").join(r.filter(F.col("t") * HOT_VALUES <= total).select(*on, "rank"), on, "left")
+    return settled.unionByName(rest)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], buckets: int | None = None) -> DataFrame:
@@ -81,7 +96,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     keys = list(keys)
     keyed = df if keys else df.withColumn("_all", F.lit(1))
     own = keys or ["_all"]
-    r = tie_ranks(keyed.select(*own, value), own, value, buckets=buckets).persist(StorageLevel.MEMORY_AND_DISK)
+    r = tie_ranks(keyed.select(*own, value), own, value, buckets=buckets)
+    r = cut_lineage(r)
     n = r.groupBy(*own).agg(F.sum("t").alias("_n"))
     first = F.col("rank") - (F.col("t") + 1) / F.lit(2.0)
     held = r.join(n, own).withColumn("_b", first)
@@ -99,17 +115,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     return got.select(*keys, *out)
 
 
-def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", tiebreak: Sequence[str] = (), out: str = "fdr") -> DataFrame:
+def bh_fdr(
+    df: DataFrame, family: Sequence[str], p: str = "p", tiebreak: Sequence[str] = (), out: str = "fdr", long: bool = False
+) -> DataFrame:
     """Benjamini-Hochberg adjusted p within each family.
 
     q_(i) = min_{k >= i} p_(k) * m / k, capped at 1.  The cumulative minimum
-    runs over the rank (not over p), so tied p-values end equal.  Families
-    are result tables (features x contrasts), bounded by the feature count.
-    Null p-values are left null and do not count towards m.
+    runs over the rank (not over p), so tied p-values end equal.  Null p-values
+    are left null and do not count towards m.  Families of feature x contrast
+    tables are bounded by the feature count and go through one window each;
+    ``long`` ones (feature pairs) are scanned by ranges of p, by many tasks.
     """
     fam = list(family)
     order = [F.col(p).asc()] + [F.col(c).asc() for c in tiebreak]
     valid = F.col(p).isNotNull()
+    if long:
+        sizes = df.filter(valid).groupBy(*fam).agg(F.count(F.lit(1)).alias("_m"))
+        placed = running(df.filter(valid), fam, order, {"_rk": ("sum", F.lit(1).cast("long"))})
+        sized = placed.join(sizes, fam) if fam else placed.withColumn("_m", sizes.select("_m").scalar())
+        scaled = sized.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rk"))
+        least = running(scaled, fam, [F.col("_rk").desc()], {"_low": ("min", F.col("_q"))})
+        adjusted = least.withColumn(out, F.least(F.lit(1.0), F.col("_low"))).drop("_rk", "_m", "_q", "_low")
+        return adjusted.unionByName(df.filter(~valid).withColumn(out, F.lit(None).cast("double")))
     w_rank = Window.partitionBy(*fam, valid).orderBy(*order)
     w_all = Window.partitionBy(*fam, valid)
     ranked = df.withColumn("_rk", F.row_number().over(w_rank)).withColumn("_m", F.count(F.lit(1)).over(w_all))

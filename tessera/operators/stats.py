@@ -13,6 +13,7 @@ scientific Python stack):
   p = min(1, 2 * sf(z)).  ``method='exact'`` takes p from the distribution of U
   over all orders instead; it is the caller's choice, not a matter of size.
 * Kruskal-Wallis H with tie correction, chi-square tail with k - 1 df.
+* A statistic that is not defined (all values equal, one row, one group) is null.
 """
 
 from __future__ import annotations
@@ -56,10 +57,12 @@ def exact_u_tail(u: float, n1: int, n2: int) -> float:
     ways[0] = 1.0
     for k in range(1, min(n1, n2) + 1):
         step = max(n1, n2) + k
-        for i in range(top, step - 1, -1):
-            ways[i] -= ways[i - step]
-        for i in range(k, top + 1):
-            ways[i] += ways[i - k]
+        if step <= top:
+            ways[step:] -= ways[:-step].copy()
+        # dividing by 1 - x^k sums every k-th coefficient from the start
+        padded = np.zeros(-(-(top + 1) // k) * k)
+        padded[: top + 1] = ways
+        ways = padded.reshape(-1, k).cumsum(axis=0).ravel()[: top + 1]
     high = max(u, top - u)
     return min(1.0, 2.0 * float(ways[int(math.ceil(high)) :].sum() / ways.sum()))
 
@@ -92,7 +95,7 @@ def mann_whitney(
     n2 = n - n1
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     mu = n1 * n2 / 2
-    var = n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1)))
+    var = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1)))
     big_u = F.greatest(u1, n1 * n2 - u1)
     z = F.try_divide(big_u - mu - F.lit(0.5), F.sqrt(var))
     if method == "asymptotic":
@@ -127,7 +130,7 @@ def kruskal_wallis(df: DataFrame, keys: Sequence[str], value: str, group: str, b
     ties = pooled.groupBy(*keys).agg(F.sum(F.pow(F.col("tp").cast("double"), 3) - F.col("tp")).alias("tie"))
     n = F.col("n").cast("double")
     h_raw = F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    corr = F.lit(1.0) - F.col("tie") / (n * n * n - n)
+    corr = F.lit(1.0) - F.try_divide(F.col("tie"), n * n * n - n)
     h = F.try_divide(h_raw, corr)
     out = per.join(ties, keys).select(*keys, "n", "k", h.alias("h"))
     return out.withColumn("p", F.when(F.col("h").isNotNull(), chi2_sf(F.col("h"), F.col("k") - 1)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.mathfn import rnd
 from tessera.operators import missing as M
+from tessera.operators.products import cross_moments
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
 from tessera.sources import fixtures as fx
@@ -504,12 +505,9 @@ FROM fx_a a JOIN fx_b b USING (sample_id) GROUP BY a.feature, b.feature""",
     ),
 )
 def jon7_cross_feature_products(spark, sf):
-    """Feature x feature statistics via a join on sample_id (no cross join)."""
-    a = fx.a_long(spark, sf).select("sample_id", F.col("feature").alias("feature_a"), F.col("value").alias("va"))
-    b = fx.b_long(spark, sf).select("sample_id", F.col("feature").alias("feature_b"), F.col("value").alias("vb"))
-    return a.join(b, "sample_id").groupBy("feature_a", "feature_b").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("va") * F.col("vb")), 2).alias("sum_ab")
-    )
+    """Feature x feature statistics as blocked products of the sample vectors."""
+    moments = cross_moments(fx.a_long(spark, sf), fx.b_long(spark, sf))
+    return moments.select("feature_a", "feature_b", "n", F.round("sab", 2).alias("sum_ab"))
 
 
 # ---- set operations ------------------------------------------------------------------

@@ -9,6 +9,7 @@ from tessera.functions.mathfn import rnd
 from tessera.operators import compose as C
 from tessera.operators.correlate import (
     binned_mutual_information,
+    correlated,
     ranked,
     residualize,
     spearman_pairs,
@@ -237,7 +238,7 @@ FROM fx_b JOIN fx_meta USING (sample_id) GROUP BY grp, feature""",
 )
 def agg5_group_median_mean(spark, sf):
     b = fx.b_long(spark, sf).join(fx.meta(spark, sf).select("sample_id", "grp"), "sample_id")
-    b = b.persist()  # read for the ranks and for the means
+    b = cut_lineage(b)  # read for the ranks and for the means
     med = exact_quantiles(b, ["grp", "feature"], "value", {"median": 0.5})
     mean = b.groupBy("grp", "feature").agg(F.avg("value").alias("mean"))
     return mean.join(med, ["grp", "feature"]).select("grp", "feature", rnd(F.col("median")).alias("median"), rnd(F.col("mean")).alias("mean"))
@@ -302,9 +303,7 @@ def sta10_spearman_rho(spark, sf):
 
 def _spearman_tested(spark, sf):
     s = _spearman(spark, sf).withColumn("p", t_two_sided_p(F.col("rho"), F.col("n")))
-    return bh_fdr(s.withColumn("_all", F.lit(1)), ["_all"], "p", tiebreak=["feature_a", "feature_b"]).drop("_all").withColumn(
-        "abs_rho", F.abs("rho")
-    )
+    return bh_fdr(s, [], "p", tiebreak=["feature_a", "feature_b"], long=True).withColumn("abs_rho", F.abs("rho"))
 
 
 _TESTED_SQL = _SP_SQL + f""",
@@ -440,7 +439,7 @@ def sta12_spearman_of_scores(spark, sf):
     one = F.lit("all")
     rg = ranked(g.withColumn("sample_id", F.col("feature")).withColumn("feature", one)).select(F.col("sample_id").alias("f"), F.col("rank").alias("rb"))
     rl = ranked(loc.withColumn("sample_id", F.col("feature")).withColumn("feature", one)).select(F.col("sample_id").alias("f"), F.col("rank").alias("ra"))
-    return rl.join(rg, "f").agg(F.count(F.lit(1)).alias("n"), rnd(F.corr("ra", "rb")).alias("rho"))
+    return rl.join(rg, "f").agg(F.count(F.lit(1)).alias("n"), rnd(correlated("ra", "rb")).alias("rho"))
 
 
 @register(
