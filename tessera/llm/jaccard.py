@@ -13,14 +13,14 @@ set computed before: only the shingles by which the two differ are counted.
 
 Lists are joined in two passes.  The first takes each set's two foremost
 shingles and finds most links, so that components are nearly whole; the second
-takes all lists, leaves out those whose sets already lie in one component, lists
-of equal members but the foremost one, and sets whose prefixes alone show that
-they link with none.  Sets of a list that have the same shingle before its own
-met on that shingle's list, so here they only meet the others.  A long list is
-dealt into chunks, and each pair of chunks that has to meet is a cell of its
-own; only a spanning forest of the links leaves a task.  A pair already
-connected isn't compared again, so no link between two components is lost and
-groups of thousands of copies don't cost all pairs.
+takes all lists but those whose sets already lie in one component.  Of lists with
+equal members only the foremost is joined, and sets whose prefixes alone show
+that they link with none are left out.  Sets of a list that have the same
+shingle before its own met on that shingle's list, so here they only meet the
+others.  A long list is dealt into chunks, and each pair of chunks that has to
+meet is a cell of its own; only a spanning forest of the links leaves a task.  A
+pair already connected isn't compared again, so no link between two components
+is lost and groups of thousands of copies don't cost all pairs.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a text
 without a word, empty or null, has an empty set and links with nothing; repeated
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE_CHARS, cut_lineage
@@ -164,17 +164,19 @@ def bucket_loads(found: DataFrame) -> Broadcast:
 def distinct_sets(docs: DataFrame, load: Broadcast, shingle: int, percent: int) -> DataFrame:
     """(sid, f1, f2, n, row, prefix) of each distinct set that isn't empty; the prefix is in the global order."""
 
-    @F.pandas_udf("n long, f1 long, f2 long, prefix array<long>")
-    def run(text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for texts in text_chunks(text):
-            sets = shingle_sets(texts, shingle)
-            for s, (f1, f2) in zip(sets, fingerprints(sets).tolist()):
-                first = in_order(s, load.value)[: prefix_length(len(s), percent)] if len(s) else s
-                rows.append((len(s), f1, f2, first.view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "f1", "f2", "prefix"])
-
-    every = _rows(docs).select("row", run("text").alias("s")).select("row", "s.*").filter("n > 0")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = 0
+            for texts in text_chunks(b["text"]):
+                rows = b["row"].iloc[at : at + len(texts)]
+                at += len(texts)
+                sets = shingle_sets(texts, shingle)
+                first = [in_order(s, load.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s for s in sets]
+                f = fingerprints(sets)
+                out = pd.DataFrame({"row": rows.to_numpy(), "n": list(map(len, sets)), "f1": f[:, 0], "f2": f[:, 1], "prefix": first})
+                yield out[out["n"] > 0]
+
+    every = _rows(docs).select("row", "text").mapInPandas(run, "row long, n long, f1 long, f2 long, prefix array<long>")
     one = every.groupBy("f1", "f2").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     return cut_lineage(one.withColumn("sid", F.monotonically_increasing_id()))
 
@@ -190,18 +192,19 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     mask[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(mask.view(np.uint64))
 
-    @F.pandas_udf("f1 long, f2 long, shingles binary")
-    def run(row: pd.Series, text: pd.Series) -> pd.DataFrame:
-        at = row.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        use = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        found = []
-        for texts in text_chunks(text[use]):
-            sets = shingle_sets(texts, shingle)
-            found += [(f1, f2, s.tobytes()) for s, (f1, f2) in zip(sets, fingerprints(sets).tolist())]
-        got = iter(found)
-        return pd.DataFrame([next(got) if u else (0, 0, None) for u in use], columns=["f1", "f2", "shingles"])
-
-    read = _rows(docs).select("row", run("row", "text").alias("s")).select("row", "s.*").filter("shingles is not null")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = b["row"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            use = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            rows, at = b["row"][use], 0
+            for texts in text_chunks(b["text"][use]):
+                sets = shingle_sets(texts, shingle)
+                f = fingerprints(sets)
+                own = rows.iloc[at : at + len(texts)].to_numpy()
+                at += len(texts)
+                yield pd.DataFrame({"row": own, "f1": f[:, 0], "f2": f[:, 1], "shingles": [s.tobytes() for s in sets]})
+
+    read = _rows(docs).select("row", "text").mapInPandas(run, "row long, f1 long, f2 long, shingles binary")
     met = read.join(wanted, ["row", "f1", "f2"]).select("sid", "shingles")
     return met.groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
@@ -210,40 +213,64 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def index_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, sid, n, pos, prev) of every list on which some pair could meet: two sets or more, one by its lead.
+    """(token, sid, n, pos, prev) of the lists on which some pair could meet; ``prev`` is the shingle before in the set.
 
-    ``prev`` is the shingle before this one in the set's order.
+    Left out are lists of one set, lists on which no set is by its lead, of lists
+    with equal members all but the one foremost in the sets, and lists of two sets
+    that sizes, positions or the number of shingles their prefixes share rule out.
     """
-    lead = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    lead = F.col("n") - _ceil(F.lit(2 * percent) * F.col("n"), 100 + percent) + 1
     entries = sets.select("sid", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "sid", "n", "pos", F.get("prefix", F.col("pos") - 1).alias("prev")
     )
-    lists = entries.groupBy("token").agg(
+    size = entries.groupBy("token").agg(
         F.count("*").alias("c"),
         F.max((F.col("pos") < lead).cast("int")).alias("lead"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
         F.min(F.col("n") - F.col("pos")).alias("left"),
     )
-    # of two sets, sizes and positions decide at once
-    need = F.ceil(F.lit(percent) * (F.col("least") + F.col("most")) / (100 + percent))
-    open_ = (F.col("c") > 2) | ((100 * F.col("least") >= percent * F.col("most")) & (need <= F.col("left")))
-    return entries.join(lists.filter((F.col("c") > 1) & (F.col("lead") == 1) & open_).select("token"), "token")
+    need = _ceil(F.lit(percent) * (F.col("least") + F.col("most")), 100 + percent)
+    similar = 100 * F.col("least") >= percent * F.col("most")
+    open_ = (F.col("lead") == 1) & ((F.col("c") > 2) | (need <= F.col("left")))
+    shared_lists = size.filter((F.col("c") > 1) & ((F.col("c") > 2) | similar)).select("token", "c", open_.alias("open"))
+    found = cut_lineage(entries.join(shared_lists, "token"))
+    # two sets share at most the lists they have to themselves and the longer ones that the one in fewer is in
+    longer = found.filter("c > 2").groupBy("sid").agg(F.count("*").alias("longer"))
+    member = [F.xxhash64(F.lit(k), "sid").cast("decimal(38,0)") for k in (1, 2)]
+    said = (
+        found.join(longer, "sid", "left")
+        .groupBy("token", "c", "open")
+        .agg(
+            F.sum(member[0]).alias("m1"),
+            F.sum(member[1]).alias("m2"),
+            F.sum("pos").alias("depth"),
+            F.min("n").alias("least"),
+            F.max("n").alias("most"),
+            F.min(F.coalesce("longer", F.lit(0))).alias("longer"),
+        )
+    )
+    foremost = said.groupBy("c", "m1", "m2").agg(
+        F.min(F.struct("depth", "token", "open")).alias("f"),
+        F.count("*").alias("times"),
+        *[F.max(x).alias(x) for x in ("least", "most", "longer")],
+    )
+    # whichever prefix ends first is seen whole, so beyond what they share in prefixes only so much is left
+    shared = need - _ceil(F.lit(percent) * F.col("most"), 100) + 1
+    kept = foremost.filter(F.col("f.open") & ((F.col("c") > 2) | (F.col("times") + F.col("longer") >= shared)))
+    return found.drop("c", "open").join(kept.select(F.col("f.token").alias("token")), "token", "left_semi")
+
+
+def _ceil(x: Column, by: int) -> Column:
+    """The quotient of whole numbers, rounded up."""
+    up = x + F.lit(by - 1)
+    return ((up - F.pmod(up, F.lit(by))) / by).cast("long")
 
 
 def _unsettled(lists: DataFrame) -> DataFrame:
-    """Lists that hold sets of two components, and of lists with equal members the one foremost in the sets."""
-    member = [F.xxhash64(F.lit(k), "sid").cast("decimal(38,0)") for k in (1, 2)]
-    said = lists.groupBy("token").agg(
-        F.min("root").alias("lo"),
-        F.max("root").alias("hi"),
-        F.count("*").alias("c"),
-        F.sum(member[0]).alias("m1"),
-        F.sum(member[1]).alias("m2"),
-        F.sum("pos").alias("depth"),
-    )
-    foremost = said.filter("lo < hi").groupBy("c", "m1", "m2").agg(F.min(F.struct("depth", "token")).alias("f"))
-    return lists.join(foremost.select(F.col("f.token").alias("token")), "token", "left_semi")
+    """Lists that hold sets of two components."""
+    said = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return lists.join(said.filter("lo < hi").select("token"), "token", "left_semi")
 
 
 def cells(lists: DataFrame) -> DataFrame:
