@@ -25,6 +25,12 @@ def uniform(seed, *parts: Column | str) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def fine_uniform(seed, *parts: Column | str) -> Column:
+    """u in [0, 1) from the first 52 bits of md5(seed:parts): shares down to 2^-52 are drawn."""
+    h = md5_key(seed, *parts)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def normal(seed, *parts: Column | str) -> Column:
     """Standard normal by Box-Muller from two independent md5 uniforms."""
     u1 = uniform(seed, *parts, F.lit("u1"))

@@ -8,11 +8,14 @@ lineage with reliable checkpoints into the shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.draws import uniform
+from tessera.functions.draws import fine_uniform
 from tessera.functions.text import strip_prefix
+from tessera.operators.scan import running
 from tessera.session import cut_lineage
 
 MICROBE, ENZYME, METABOLITE = "microbe", "enzyme", "metabolite"
@@ -140,25 +143,25 @@ def islands(edges: DataFrame) -> DataFrame:
     )
 
 
-#: Draws of a step are dealt to so many buckets of [0, 1); a node's slices go to the buckets they touch,
-#: so the walkers standing on a hub are spread over that many tasks.
-DRAW_BUCKETS = 64
-
-
 def transition_table(edges: DataFrame) -> DataFrame:
     """First-order (p = q = 1) transition CDF per node: (src, dst, lo, hi)
     with [lo, hi) the slice of [0, 1) owned by the neighbour.  Slices touch:
-    ``lo`` is the previous ``hi`` and the last ``hi`` is exactly 1."""
+    ``lo`` is the previous ``hi`` and the last ``hi`` is exactly 1.  A hub's
+    neighbours are summed by many tasks."""
     n = neighbours(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    tot = n.groupBy("src").agg(F.sum("weight").alias("_t"))
-    w = Window.partitionBy("src").orderBy("dst")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = n.join(tot, "src").withColumn("_hi", F.sum("weight").over(upto) / F.col("_t")).withColumn("_last", F.lead("dst").over(w).isNull())
+    scanned = running(
+        n,
+        ["src"],
+        [F.col("dst").asc()],
+        {"_upto": ("sum", F.col("weight")), "_before": ("sum", F.col("weight"), "before"), "_at": ("sum", F.lit(1).cast("long"))},
+    )
+    whole = scanned.groupBy("src").agg(F.max("_at").alias("_deg"), F.max_by("_upto", "_at").alias("_t"))
+    c = scanned.join(whole, "src")
     return c.select(
         "src",
         "dst",
-        F.coalesce(F.lag("_hi").over(w), F.lit(0.0)).alias("lo"),
-        F.when(F.col("_last"), F.lit(1.0)).otherwise(F.col("_hi")).alias("hi"),
+        (F.coalesce("_before", F.lit(0.0)) / F.col("_t")).alias("lo"),
+        F.when(F.col("_at") == F.col("_deg"), F.lit(1.0)).otherwise(F.col("_upto") / F.col("_t")).alias("hi"),
     )
 
 
@@ -177,56 +180,85 @@ def second_order_probabilities(edges: DataFrame, p: float, q: float) -> DataFram
     return paths.join(tot, ["prev", "cur"]).select("prev", "cur", "nxt", (F.col("_w") / F.col("_t")).alias("prob"))
 
 
-def _slices(cdf: DataFrame, keys: list[str]) -> DataFrame:
-    """Each slice [lo, hi) once per draw bucket that it touches."""
-    first = F.floor(F.col("lo") * DRAW_BUCKETS)
-    last = F.least(F.ceil(F.col("hi") * DRAW_BUCKETS) - 1, F.lit(DRAW_BUCKETS - 1))
-    return cdf.filter(F.col("hi") > F.col("lo")).select(
-        *keys, "dst", "lo", "hi", F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))).alias("bucket")
-    )
+def guide_table(edges: DataFrame) -> DataFrame:
+    """(src, slot, dst, lo, hi, dst_slots): each slice once per slot that it touches.
+
+    A node has as many slots of equal width as neighbours, rounded up to a power
+    of two (so that slot numbers are exact), hence at most three rows a neighbour
+    in all and, whatever the weights, about three in the slot that a draw
+    hits.  A hub's draws spread over its slots.
+    """
+    t = cut_lineage(transition_table(edges))
+    slots = t.groupBy("src").agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.count(F.lit(1))))).cast("long").alias("slots"))
+    held = t.filter(F.col("hi") > F.col("lo")).join(slots, "src")
+    first = F.floor(F.col("lo") * F.col("slots"))
+    last = F.greatest(first, F.least(F.ceil(F.col("hi") * F.col("slots")), F.col("slots")) - 1)
+    cut = held.select("src", "dst", "lo", "hi", F.explode(F.sequence(first, last)).alias("slot"))
+    return cut.join(slots.select(F.col("src").alias("dst"), F.col("slots").alias("dst_slots")), "dst")
+
+
+def _proposed(walkers: DataFrame, guide: DataFrame, seed: int, t: int, first: int, tries: int) -> DataFrame:
+    """Each walker's neighbours drawn by first-order weight in tries ``first`` .. ``first + tries - 1``."""
+    drawn = walkers.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+    drawn = drawn.withColumn("u", fine_uniform(seed, F.col("walk_id"), F.lit(t), F.lit("to"), F.col("try")))
+    here = drawn.withColumn("slot", F.floor(F.col("u") * F.col("slots"))).withColumnRenamed("node", "src")
+    met = here.join(guide, ["src", "slot"]).filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return met.select("walk_id", "start", "try", "prev", "src", "dst", "dst_slots")
 
 
 def random_walks(
     edges: DataFrame, num_walks: int, walk_length: int, seed: int, p: float = 1.0, q: float = 1.0, checkpoint_every: int = 5
 ) -> DataFrame:
     """(walk_id, start, step, node): ``num_walks`` weighted walks from every
-    node, ``walk_length`` nodes each.  Step t draws u = md5(seed:walk:t) and
-    follows the neighbour whose CDF slice contains u: one equi-join on the
-    current node (and, for p or q other than 1, the previous one) and the draw's
-    bucket, plus a range filter, per step."""
-    trans = cut_lineage(_slices(transition_table(edges), ["src"]))
-    second = None
-    if p != 1.0 or q != 1.0:
-        probs = second_order_probabilities(edges, p, q)
-        w = Window.partitionBy("prev", "cur").orderBy("nxt")
-        hi = F.sum("prob").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cdf = probs.withColumn("_hi", hi).select(
-            "prev",
-            F.col("cur").alias("src"),
-            F.col("nxt").alias("dst"),
-            F.coalesce(F.lag("_hi").over(w), F.lit(0.0)).alias("lo"),
-            F.when(F.lead("nxt").over(w).isNull(), F.lit(1.0)).otherwise(F.col("_hi")).alias("hi"),
-        )
-        second = cut_lineage(_slices(cdf, ["prev", "src"]))
-    nodes = graph_nodes(edges).select(F.col("node_id").alias("start"))
-    walks = nodes.select("start", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("rep")).select(
-        F.concat_ws(":", "start", "rep").alias("walk_id"), "start", F.lit(0).alias("step"), F.col("start").alias("node"),
-        F.lit(None).cast("string").alias("_prev"),
+    node, ``walk_length`` nodes each.
+
+    Step t draws u from md5(seed:walk:t:try) and follows the neighbour whose slice
+    of the first-order CDF holds u: one equi-join on node and slot.  With p or q
+    other than 1, such a neighbour is a proposal: it is accepted with its bias
+    (1/p back to the node before, 1 if next to that one, 1/q elsewhere) over the
+    largest bias, where an edge lookup tells what is next to it.  Walkers that
+    accepted none of a round's proposals go on to the next round, until all have.
+    No table of node triples is made, so a hub costs its edges, not their square.
+    """
+    guide = cut_lineage(guide_table(edges))
+    slots = guide.select(F.col("dst").alias("start"), F.col("dst_slots").alias("slots")).distinct()
+    nodes = graph_nodes(edges).select(F.col("node_id").alias("start")).join(slots, "start")
+    cur = nodes.select("start", "slots", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("rep")).select(
+        F.concat_ws(":", "start", "rep").alias("walk_id"), "start", F.lit(0).alias("step"), F.col("start").alias("node"), "slots",
+        F.lit(None).cast("string").alias("prev"),
     )
-    cur, out = walks, walks
+    biases = {"back": 1.0 / p, "near": 1.0, "far": 1.0 / q}
+    most, least = max(biases.values()), min(biases.values())
+    near = None
+    if most != least:
+        near = cut_lineage(neighbours(edges).select(F.col("src").alias("prev"), "dst").distinct().withColumn("near", F.lit(True)))
+    out = cur
     for t in range(1, walk_length):
-        u = uniform(seed, F.col("walk_id"), F.lit(t))
-        drawn = cur.withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * DRAW_BUCKETS).cast("int"))
-        here = drawn.withColumnRenamed("node", "src")
-        if second is not None and t > 1:
-            found = here.withColumnRenamed("_prev", "prev").join(second, ["prev", "src", "bucket"])
+        if near is None or t == 1:
+            took = _proposed(cur, guide, seed, t, 0, 1)
+            if t % checkpoint_every == 0:
+                took = cut_lineage(took)
         else:
-            found = here.join(trans, ["src", "bucket"])
-        nxt = found.filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(
-            "walk_id", "start", F.lit(t).alias("step"), F.col("dst").alias("node"), F.col("src").alias("_prev")
-        )
-        if t % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        cur = nxt
-        out = out.unionByName(nxt)
-    return out.drop("_prev")
+            took = _accepted(cut_lineage(cur), guide, near, biases, seed, t)
+        cur = took.select("walk_id", "start", F.lit(t).alias("step"), F.col("dst").alias("node"), F.col("dst_slots").alias("slots"), F.col("src").alias("prev"))
+        out = out.unionByName(cur)
+    return out.select("walk_id", "start", "step", "node")
+
+
+def _accepted(walkers: DataFrame, guide: DataFrame, near: DataFrame, biases: dict[str, float], seed: int, t: int) -> DataFrame:
+    """The first accepted proposal of every walker."""
+    most, least = max(biases.values()), min(biases.values())
+    # so many tries leave one walker in twenty at the worst; later rounds have few walkers and more tries
+    tries, first, out = math.ceil(3.0 * most / least), 0, None
+    bias = F.when(F.col("prev") == F.col("dst"), biases["back"]).when(F.col("near"), biases["near"]).otherwise(biases["far"])
+    while True:
+        drawn = _proposed(walkers, guide, seed, t, first, tries).join(near, ["prev", "dst"], "left")
+        level = fine_uniform(seed, F.col("walk_id"), F.lit(t), F.lit("take"), F.col("try")) * F.lit(most)
+        good = drawn.filter(level < bias)
+        one = good.groupBy("walk_id").agg(F.min(F.struct("try", "start", "src", "dst", "dst_slots")).alias("w"))
+        got = cut_lineage(one.select("walk_id", "w.start", "w.src", "w.dst", "w.dst_slots"))
+        out = got if out is None else out.unionByName(got)
+        walkers = cut_lineage(walkers.join(got.select("walk_id"), "walk_id", "left_anti"))
+        if walkers.isEmpty():
+            return out
+        first, tries = first + tries, tries * 4

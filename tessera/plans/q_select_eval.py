@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.mathfn import rnd
+from tessera.operators.scan import running
 from tessera.operators.splits import random_split
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
@@ -81,13 +82,12 @@ WHERE pos >= {MIN_EPOCHS} AND pos - last_imp >= {PATIENCE} GROUP BY run""",
 )
 def win4_early_stop(spark, sf):
     """First epoch (>= min_epochs) with patience epochs since the last
-    improvement; runs that never stop have no row."""
-    h = _hist(spark, sf)
-    w = Window.partitionBy("run").orderBy("pos")
-    h = h.withColumn("pos", F.row_number().over(Window.partitionBy("run").orderBy("epoch")))
-    prev_best = F.max(-F.col("val_mse")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    h = h.withColumn("improved", F.coalesce(-F.col("val_mse") > prev_best, F.lit(True)))
-    h = h.withColumn("last_imp", F.max(F.when(F.col("improved"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    improvement; runs that never stop have no row.  A run of any length is
+    scanned by many tasks."""
+    by_epoch = [F.col("epoch").asc()]
+    h = running(_hist(spark, sf), ["run"], by_epoch, {"pos": ("sum", F.lit(1).cast("long")), "best": ("max", -F.col("val_mse"), "before")})
+    h = h.withColumn("improved", F.coalesce(-F.col("val_mse") > F.col("best"), F.lit(True)))
+    h = running(h, ["run"], by_epoch, {"last_imp": ("max", F.when(F.col("improved"), F.col("pos")))})
     stop = h.filter((F.col("pos") >= MIN_EPOCHS) & (F.col("pos") - F.col("last_imp") >= PATIENCE))
     return stop.groupBy("run").agg(F.min("epoch").alias("stop_epoch"))
 

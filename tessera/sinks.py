@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import numbered
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -39,12 +40,10 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") ->
 def write_embeddings(vectors: DataFrame, folder: str, version: str, p: float, q: float, d: int, length: int, num_walks: int) -> str:
     """One self-describing dataset per configuration: (node_id, node_type, row_no,
     vector), partitioned by the hyperparameters; row_no is the vocabulary."""
-    from pyspark.sql import Window
-
-    # one row per node of the graph: the vocabulary is numbered by node id
-    numbered = vectors.withColumn("row_no", F.row_number().over(Window.orderBy("node_id")) - 1)
+    # the vocabulary is numbered by node id, by many tasks
+    numbers = numbered(vectors, [], [F.col("node_id").asc()], "row_no").withColumn("row_no", F.col("row_no") - 1)
     keys = {"version": version, "p": p, "q": q, "d": d, "l": length, "num_walks": num_walks}
-    out = numbered.withColumns({k: F.lit(v) for k, v in keys.items()})
+    out = numbers.withColumns({k: F.lit(v) for k, v in keys.items()})
     out.write.mode("append").partitionBy(*keys).parquet(folder)
     return folder
 
