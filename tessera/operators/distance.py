@@ -86,18 +86,22 @@ def group_mean_distances(pairs: DataFrame, labels: DataFrame, key: str = "sample
 
 
 # ---- permutations ---------------------------------------------------------------------------
-def permuted_labels(labels: DataFrame, permutations: int, seed: int, key: str = "sample_id", group: str = "grp") -> DataFrame:
-    """(perm, key, grp): perm 0 is the observed labelling, perms 1..P are md5
-    shuffles of the same label multiset."""
+def permuted_labels(
+    labels: DataFrame, permutations: int, seed: int, key: str = "sample_id", group: str = "grp", first: int = 0
+) -> DataFrame:
+    """(perm, key, grp) of shuffles ``first`` to ``permutations``: 0 is the observed
+    labelling, the others are md5 shuffles of the same label multiset."""
     base = ordinal_by_hash(labels.withColumn("_h", md5_key(seed, F.lit("base"), key)), [], "_h", "_pos").select(
         F.col("_pos"), F.col(group).alias("_lab")
     )
-    reps = labels.select(key, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    observed = labels.select(F.lit(0).cast("bigint").alias("perm"), key, group)
+    if permutations < max(first, 1):
+        return observed
+    reps = labels.select(key, F.explode(F.sequence(F.lit(max(first, 1)), F.lit(permutations))).alias("perm"))
     reps = reps.withColumn("_h", md5_key(seed, F.col("perm"), key))
     pos = ordinal_by_hash(reps, ["perm"], "_h", "_pos")
     shuffled = pos.join(base, "_pos").select(F.col("perm").cast("bigint").alias("perm"), key, F.col("_lab").alias(group))
-    observed = labels.select(F.lit(0).cast("bigint").alias("perm"), key, group)
-    return observed.unionByName(shuffled)
+    return observed.unionByName(shuffled) if first == 0 else shuffled
 
 
 def permdisp_centroid(vectors: DataFrame, labels: DataFrame, key: str = "sample_id", group: str = "grp") -> DataFrame:

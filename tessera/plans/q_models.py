@@ -10,6 +10,7 @@ from tessera.functions.mathfn import rnd
 from tessera.operators import compose as C
 from tessera.operators import ordination as O
 from tessera.operators import ridge as R
+from tessera.operators.forest import fit_forests, predict_forests
 from tessera.operators.distance import distance_pairs, mantel
 from tessera.operators.splits import merge_rare_strata, random_split, stratified_kfold
 from tessera.operators.tokens import pool_tokens
@@ -184,34 +185,43 @@ def snk1_imputed_tables(spark, sf):
     return out
 
 
-@register("mod2_random_forest")
-def mod2_random_forest(spark, sf):
-    """One forest of 100 trees per target (a third of the features per split),
-    inputs = CLR fractions and one-hot centre; scored like the ridges."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
+# The reference's forest settings (fixed values): trees of a forest, share of the features tried at a node.
+FOREST_TREES, FOREST_SHARE = 100, 0.33
 
+
+def _forest_rows(spark, sf):
+    """Complete samples with one-hot centre (its first level left out) beside either table's features."""
     rows, _, _ = prepare_data(spark, sf)
     meta = fx.meta(spark, sf).select("sample_id", "center")
-    coded = StringIndexer(inputCol="center", outputCol="ci", handleInvalid="keep")
-    joined = rows.join(meta, "sample_id")
-    indexed = coded.fit(joined).transform(joined)
-    n_levels = int(indexed.agg(F.max("ci")).first()[0] or 0) + 1
-    one_hot = F.transform(F.sequence(F.lit(0), F.lit(n_levels - 1)), lambda k: (F.col("ci") == k).cast("double"))
-    ready = cut_lineage(indexed.select("sample_id", "role", "b", array_to_vector(F.concat("a_clr", one_hot)).alias("features")))
-    n_targets = len(ready.select("b").first()[0])
-    val = ready.filter("role = 'val'")
-    for t in range(n_targets):
-        labelled = ready.filter("role = 'train'").withColumn("label", F.get("b", F.lit(t)))
-        forest = RandomForestRegressor(numTrees=100, featureSubsetStrategy="0.33", maxDepth=10, seed=SEED, predictionCol=f"p{t}")
-        val = forest.fit(labelled).transform(val)
-    pred = val.select("sample_id", F.col("b").alias("y"), F.array(*[f"p{t}" for t in range(n_targets)]).alias("pred"))
-    fill = np.array(R.column_moments(ready.filter("role = 'train'"), "b")[0])
-    s = R.summary(R.score(pred, fill=fill))
+    levels = meta.select(F.array_sort(F.collect_set("center")).alias("l")).scalar()
+    one_hot = F.transform(F.slice("levels", 2, F.greatest(F.size("levels") - 1, F.lit(0))), lambda c: (F.col("center") == c).cast("double"))
+    coded = rows.join(meta, "sample_id").withColumn("levels", levels)
+    return cut_lineage(coded.select("sample_id", "role", "a", "b", "a_clr", one_hot.alias("coded")))
+
+
+def _forest_scores(spark, sf, x, y):
+    rows = _forest_rows(spark, sf)
+    ready = rows.select("sample_id", "role", F.concat(x, "coded").alias("x"), F.col(y).alias("y"))
+    train, val = ready.filter("role = 'train'"), ready.filter("role = 'val'")
+    forests = fit_forests(train, trees=FOREST_TREES, share=FOREST_SHARE, seed=SEED)
+    pred = predict_forests(val, forests).join(val.select("sample_id", "y"), "sample_id")
+    s = R.summary(R.score(pred, fill=np.array(R.column_moments(train, "y")[0])))
     return s.select(*[rnd(F.col(c)).alias(c) for c in s.columns])
 
 
+@register("mod2_random_forest")
+def mod2_random_forest(spark, sf):
+    """One forest of 100 trees per metabolite (a third of the features per split),
+    inputs = CLR fractions and one-hot centre; scored like the ridges."""
+    return _forest_scores(spark, sf, "a_clr", "b")
+
+
+@register("mod2_random_forest_to_a")
+def mod2_random_forest_to_a(spark, sf):
+    """The other direction: modality B and one-hot centre to the fractions of A."""
+    return _forest_scores(spark, sf, "b", "a")
+
+
 # ---- ordination ---------------------------------------------------------------------------
 @register("ord1_pca_scores")
 def ord1_pca_scores(spark, sf):
