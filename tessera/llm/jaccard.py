@@ -11,16 +11,19 @@ skipped whole where sizes or positions leave too little to share.  Of the sets a
 set still has to meet, the overlaps are derived from those of the most similar
 set computed before: only the shingles by which the two differ are counted.
 
-Lists are joined in two passes.  The first takes each set's two foremost
-shingles and finds most links, so that components are nearly whole; the second
-takes all lists but those whose sets already lie in one component.  Of lists with
-equal members only the foremost is joined, and sets whose prefixes alone show
-that they link with none are left out.  Sets of a list that have the same
-shingle before its own met on that shingle's list, so here they only meet the
-others.  A long list is dealt into chunks, and each pair of chunks that has to
-meet is a cell of its own; only a spanning forest of the links leaves a task.  A
-pair already connected isn't compared again, so no link between two components
-is lost and groups of thousands of copies don't cost all pairs.
+A first pass over the lists carries only the shingles that sets share with any
+other and a few marks of their prefixes, and leaves out pairs that these rule
+out.  What is left connects candidate groups, and a group of bounded size is a
+cell of its own in which its whole sets meet once.  The sets of a larger group
+meet on its lists, in two rounds: each set's two foremost shingles find most
+links, so that components are nearly whole, and then all lists are joined but
+those whose sets already lie in one component.  Of lists with equal members only
+the foremost is joined.  Sets of a list that have the same shingle before its
+own met on that shingle's list, so here they only meet the others.  A long list
+is dealt into chunks, and each pair of chunks that has to meet is a cell; only a
+spanning forest of the links leaves a task.  A pair already connected isn't
+compared again, so no link between two components is lost and groups of
+thousands of copies don't cost all pairs.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a text
 without a word, empty or null, has an empty set and links with nothing; repeated
@@ -51,8 +54,10 @@ FILTER_BITS = 24
 #: A chunk of a list holds about this many sets and shingles.
 CHUNK = 512
 CHUNK_SHINGLES = 1 << 18
-#: Foremost shingles whose lists the first pass joins.
+#: Foremost shingles whose lists the first round joins.
 FOREMOST = 2
+#: Places of a set's prefix that the first pass carries, evenly spread and both ends among them.
+MARKS = 9
 #: A set is derived from a more similar one if they differ in at most this share of it.
 DERIVE = 0.5
 
@@ -113,9 +118,10 @@ def lead_length(n: int, percent: int) -> int:
     return n - least_overlap(n, n, percent) + 1
 
 
-def in_order(s: np.ndarray, load: np.ndarray) -> np.ndarray:
-    """The sorted set in the global order: by its buckets' loads, then by hash."""
-    return s[np.argsort(load[bucket_of(s)], kind="stable")]
+def in_order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The set as sorted order keys: a shingle's bucket, numbered by load, before the rest of its hash."""
+    rest = np.uint64(64 - BUCKET_BITS)
+    return np.sort(rank[bucket_of(s)] << rest | s & np.uint64((1 << int(rest)) - 1))
 
 
 # ---- readings of the texts
@@ -152,16 +158,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return own.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def bucket_loads(found: DataFrame) -> Broadcast:
-    """How many shingles each bucket holds: an array of fixed size."""
+def bucket_ranks(found: DataFrame) -> Broadcast:
+    """The buckets' places by how many shingles they hold: an array of fixed size."""
     spark = found.sparkSession
     rows = found.filter("bucket >= 0").groupBy("bucket").agg(F.sum("load").alias("load")).toPandas()
     load = np.zeros(1 << BUCKET_BITS, np.int64)
     load[rows["bucket"].to_numpy(np.int64)] = rows["load"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(load)
+    rank = np.empty(len(load), np.uint64)
+    rank[np.argsort(load, kind="stable")] = np.arange(len(load), dtype=np.uint64)
+    return spark.sparkContext.broadcast(rank)
 
 
-def distinct_sets(docs: DataFrame, load: Broadcast, shingle: int, percent: int) -> DataFrame:
+def distinct_sets(docs: DataFrame, rank: Broadcast, shingle: int, percent: int) -> DataFrame:
     """(sid, f1, f2, n, row, prefix) of each distinct set that isn't empty; the prefix is in the global order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +179,7 @@ def distinct_sets(docs: DataFrame, load: Broadcast, shingle: int, percent: int)
                 rows = b["row"].iloc[at : at + len(texts)]
                 at += len(texts)
                 sets = shingle_sets(texts, shingle)
-                first = [in_order(s, load.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s for s in sets]
+                first = [in_order(s, rank.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s for s in sets]
                 f = fingerprints(sets)
                 out = pd.DataFrame({"row": rows.to_numpy(), "n": list(map(len, sets)), "f1": f[:, 0], "f2": f[:, 1], "prefix": first})
                 yield out[out["n"] > 0]
@@ -212,8 +220,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 # ---- lists and cells
 
 
-def index_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, sid, n, pos, prev) of the lists on which some pair could meet; ``prev`` is the shingle before in the set.
+def index_lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists on which some pair could meet, (token, sid, n, pos, prev), ``prev`` the shingle before
+    in the set; and (sid, shared), the shingles of each set's prefix that are on any other's.
 
     Left out are lists of one set, lists on which no set is by its lead, of lists
     with equal members all but the one foremost in the sets, and lists of two sets
@@ -258,7 +267,8 @@ def index_lists(sets: DataFrame, percent: int) -> DataFrame:
     # whichever prefix ends first is seen whole, so beyond what they share in prefixes only so much is left
     shared = need - _ceil(F.lit(percent) * F.col("most"), 100) + 1
     kept = foremost.filter(F.col("f.open") & ((F.col("c") > 2) | (F.col("times") + F.col("longer") >= shared)))
-    return found.drop("c", "open").join(kept.select(F.col("f.token").alias("token")), "token", "left_semi")
+    lists = found.drop("c", "open").join(kept.select(F.col("f.token").alias("token")), "token", "left_semi")
+    return lists, found.groupBy("sid").agg(F.collect_list("token").alias("shared"))
 
 
 def _ceil(x: Column, by: int) -> Column:
@@ -397,41 +407,36 @@ def join_cell(cell: Cell, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def hopeful(cell: Cell, load: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of a cell that carries prefixes could link with another, in the cell's order.
+def hopeful(cell: Cell, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest (sids) of the pairs that could link by what the cell's rows carry.
 
-    Up to the lesser of two prefixes' ends all common shingles are seen; beyond
-    it, the sets can share at most what is left of the smaller one.
+    That is, the first ``MARKS`` of a row, order keys at even places of its prefix,
+    and then the prefix's shingles that any other set shares.  Up to the lesser of
+    two prefixes' ends all common shingles are seen; beyond it, the sets can share
+    at most what is left of the smaller one.
     """
-    keep = np.zeros(len(cell.n), bool)
+    out: list[tuple[int, int]] = []
     held: list[Overlaps] = []
-    ranks: list[np.ndarray] = []
+    marks = np.stack([c[:MARKS] for c in cell.carried])
+    shared = [np.sort(c[MARKS:]) for c in cell.carried]
+    length = cell.n - -(-percent * cell.n // 100) + 1
     for k, met in cell.partners(percent):
-        if keep[k]:
-            met = met[~keep[met]]
         if not len(met):
             continue
-        if not ranks:
-            # places of all shingles in the global order
-            every = np.concatenate(cell.carried)
-            rows = np.lexsort((every, load[bucket_of(every)]))
-            place = np.empty(len(rows), np.int64)
-            place[rows] = np.cumsum(np.r_[0, every[rows][1:] != every[rows][:-1]])
-            bounds = np.cumsum([0, *map(len, cell.carried)])
-            ranks = [place[a:b] for a, b in zip(bounds, bounds[1:])]
-            step = len(every) + 1
-            flat = place + np.repeat(np.arange(len(ranks)), np.diff(bounds)) * step
-            ends = place[bounds[1:] - 1]
-        common = _common(ranks, k, met, held)
-        last = np.minimum(ends[k], ends[met])
-        seen_k = np.searchsorted(ranks[k], last, side="right")
-        seen_met = np.searchsorted(flat, met * step + last, side="right") - bounds[met]
-        most = common + np.minimum(cell.n[k] - seen_k, cell.n[met] - seen_met)
-        hit = met[most >= -(-percent * (cell.n[k] + cell.n[met]) // (100 + percent))]
-        if len(hit):
-            keep[hit] = True
-            keep[k] = True
-    return keep
+        common = _common(shared, k, met, held)
+        last = np.minimum(marks[k, -1], marks[met, -1])
+        most = common + np.minimum(cell.n[k] - _seen(marks[[k]], length[[k]], last), cell.n[met] - _seen(marks[met], length[met], last))
+        for i in met[most >= -(-percent * (cell.n[k] + cell.n[met]) // (100 + percent))].tolist():
+            if cell.comp[i] != cell.comp[k]:
+                out.append((int(cell.sid[i]), int(cell.sid[k])))
+                cell.comp[cell.comp == cell.comp[i]] = cell.comp[k]
+    return out
+
+
+def _seen(marks: np.ndarray, length: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """At least so many of a prefix's shingles lie up to ``last``."""
+    passed = (marks <= last[:, None]).sum(axis=1)
+    return np.where(passed > 0, (passed - 1) * (length - 1) // (MARKS - 1) + 1, 0)
 
 
 def _by_cell(batches: Iterator[pd.DataFrame], carried: str) -> Iterator[tuple[int, dict[str, np.ndarray], list]]:
@@ -465,24 +470,21 @@ def _dealt(rows: DataFrame, carried: str) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").select("cell", *_OWN, carried)
 
 
-def keep_hopeful(dealt: DataFrame, sets: DataFrame, load: Broadcast, percent: int) -> DataFrame:
-    """The rows of cells whose sets could link with another of the cell by their prefixes."""
+def hopeful_links(dealt: DataFrame, sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of each cell's pairs that could link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[np.ndarray] = []
-        for name, columns, carried in _by_cell(batches, "prefix"):
-            cell = Cell(columns, [np.asarray(p, np.int64).view(np.uint64) for p in carried])
-            rows = cell.order[hopeful(cell, load.value, percent)]
-            if len(rows):
-                kept.append(np.stack([np.full(len(rows), name), *[columns[c][rows] for c in _OWN]], axis=1))
-            if len(kept) >= 4096:
-                yield pd.DataFrame(np.concatenate(kept), columns=["cell", *_OWN])
-                kept = []
-        if kept:
-            yield pd.DataFrame(np.concatenate(kept), columns=["cell", *_OWN])
-
-    rows = _dealt(dealt.join(sets.select("sid", "prefix"), "sid"), "prefix")
-    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in ("cell", *_OWN)))
+        found: list[tuple[int, int]] = []
+        for _, columns, carried in _by_cell(batches, "known"):
+            found += hopeful(Cell(columns, [np.asarray(c, np.int64).view(np.uint64) for c in carried]), percent)
+            if len(found) >= 1 << 16:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+    place = F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), lambda i: F.get("prefix", F.floor(i * (F.size("prefix") - 1) / (MARKS - 1)).cast("int")))
+    known = sets.select("sid", place.alias("marks")).join(shared, "sid").select("sid", F.concat("marks", "shared").alias("known"))
+    return _dealt(dealt.join(known, "sid"), "known").mapInPandas(run, "a long, b long")
 
 
 def cell_links(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -504,22 +506,26 @@ def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return named.withColumn("root", F.coalesce("root", "sid"))
 
 
-def links(docs: DataFrame, sets: DataFrame, load: Broadcast, shingle: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between distinct sets that connect all sets above the threshold."""
-    lists = cut_lineage(index_lists(sets, percent))
-
-    def step(chosen: DataFrame, whole: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = cut_lineage(keep_hopeful(cells(_unsettled(chosen)), sets, load, percent))
-        wanted = sets.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", "row", "f1", "f2")
-        if whole is not None:
-            wanted = wanted.join(whole.select("sid"), "sid", "left_anti")
-        more = cut_lineage(whole_sets(docs, cut_lineage(wanted), shingle))
-        every = more if whole is None else whole.unionByName(more)
-        return cut_lineage(cell_links(rows, every, percent)), every
-
-    first, whole = step(_rooted(lists.filter(F.col("pos") < FOREMOST), None), None)
-    second, _ = step(_rooted(lists, components(first)), whole)
-    return first.unionByName(second)
+    lists, shared = index_lists(sets, percent)
+    lists = cut_lineage(lists)
+    maybe = cut_lineage(hopeful_links(cells(_rooted(lists, None)), sets, shared, percent))
+    grouped = cut_lineage(components(maybe).withColumnRenamed("node", "sid").join(sets.select("sid", "n", "row", "f1", "f2"), "sid"))
+    size = grouped.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    small = (F.col("c") <= CHUNK) & (F.col("s") <= CHUNK_SHINGLES)
+    marked = cut_lineage(grouped.join(size.select("root", small.alias("small")), "root"))
+    whole = cut_lineage(whole_sets(docs, marked.select("sid", "row", "f1", "f2"), shingle))
+    zero = F.lit(0).cast("long")
+    alone = marked.filter("small").select(F.col("root").alias("cell"), (zero - 1).alias("half"), "sid", "n", zero.alias("pos"), F.col("sid").alias("root"))
+    found = cut_lineage(cell_links(alone, whole, percent))
+    rest = marked.filter("not small").select("sid")
+    if rest.isEmpty():
+        return found
+    large = cut_lineage(lists.join(rest, "sid", "left_semi"))
+    first = cut_lineage(cell_links(cells(_unsettled(_rooted(large.filter(F.col("pos") < FOREMOST), None))), whole, percent))
+    second = cut_lineage(cell_links(cells(_unsettled(_rooted(large, components(first)))), whole, percent))
+    return found.unionByName(first).unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -527,9 +533,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not 1 <= percent <= 100:
         raise ValueError("percent lies between 1 and 100")
     found = cut_lineage(sketches(docs, shingle))
-    load = bucket_loads(found)
-    sets = distinct_sets(docs, load, shingle, percent)
-    roots = components(links(docs, sets, load, shingle, percent))
+    sets = distinct_sets(docs, bucket_ranks(found), shingle, percent)
+    roots = components(links(docs, sets, shingle, percent))
     rows = found.filter("bucket < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "f1", "f2")
     ids = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
     placed = (

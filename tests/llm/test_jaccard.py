@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -93,7 +94,7 @@ def test_empty_table(spark):
 def test_cells_find_all_pairs_and_hope_is_never_lost(percent):
     """One list over all sets, position zero: block skips, derived overlaps and prefix bounds lose nothing."""
     rng = np.random.default_rng(percent)
-    load = rng.integers(1, 50, 1 << jaccard.BUCKET_BITS)
+    rank = rng.permutation(1 << jaccard.BUCKET_BITS).astype(np.uint64)
     for _ in range(25):
         base = rng.integers(0, 1 << 63, int(rng.integers(2, 90)), dtype=np.uint64)
         sets = []
@@ -113,17 +114,23 @@ def test_cells_find_all_pairs_and_hope_is_never_lost(percent):
         ]
         got = jaccard.join_cell(jaccard.Cell(columns, sets), percent)
         assert set(map(frozenset, got)) <= set(map(frozenset, pairs))
-        parent = list(range(len(sets)))
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in got:
-            parent[find(a)] = find(b)
-        assert all(find(a) == find(b) for a, b in pairs)
-        prefixes = [jaccard.in_order(s, load)[: jaccard.prefix_length(len(s), percent)] for s in sets]
-        cell = jaccard.Cell(columns, prefixes)
-        kept = set(cell.sid[jaccard.hopeful(cell, load, percent)].tolist())
-        assert {x for p in pairs for x in p} <= kept
+        assert connects(got, pairs, len(sets))
+        prefixes = [jaccard.in_order(s, rank)[: jaccard.prefix_length(len(s), percent)] for s in sets]
+        at = [[i * (len(p) - 1) // (jaccard.MARKS - 1) for i in range(jaccard.MARKS)] for p in prefixes]
+        many = Counter(t for p in prefixes for t in p.tolist())
+        known = [np.r_[p[a], [t for t in p.tolist() if many[t] > 1]].astype(np.uint64) for p, a in zip(prefixes, at)]
+        assert connects(jaccard.hopeful(jaccard.Cell(columns, known), percent), pairs, len(sets))
+
+
+def connects(links, pairs, n):
+    """Whether the links connect both ends of every pair."""
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return all(find(a) == find(b) for a, b in pairs)
