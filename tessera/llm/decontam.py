@@ -20,7 +20,8 @@ task holds is bounded; each block is one pass over the documents.
 
 Defined cases: null or empty texts match nothing; a passage of fewer than
 ``MIN_WORDS`` words must occur word for word; rows that repeat a doc_id or an
-item_id are searched each; long items are searched as passages of at most
+item_id are searched each; items without an id are searched too and show up in a
+document as one hit with a null item_id; long items are searched as passages of at most
 ``PASSAGE`` words, any of which counts; other columns are kept and never read;
 an empty table gives an empty result.
 """
@@ -294,10 +295,15 @@ class Searcher:
                 if i + len(words) <= first[o + 1]:
                     best[o][self.x.passages[k].item] = (1.0, 1.0, i - int(first[o]))
         return [
-            [{"item_id": i, "lcs": s, "cosine": c, "first_word": lo} for i, (s, c, lo) in sorted(b.items())] for b in best
+            [{"item_id": i, "lcs": s, "cosine": c, "first_word": lo} for i, (s, c, lo) in sorted(b.items(), key=_item_order)] for b in best
         ]
 
 
+def _item_order(row: tuple) -> tuple:
+    """By item, those without an id last, then by what follows."""
+    return row[0] is None, row[0] or 0, row[1:]
+
+
 HITS = "array<struct<item_id:long,lcs:double,cosine:double,first_word:int>>"
 
 
@@ -313,7 +319,7 @@ def with_hits(
 ) -> DataFrame:
     """Documents with an array of the benchmark items found in each."""
     spark = docs.sparkSession
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     n_items = items.count()
     blocks = max(1, math.ceil(n_items / block_items))
     counts, n_docs = document_frequencies(docs)
@@ -324,7 +330,7 @@ def with_hits(
         rows = [(r["item_id"], r["text"]) for r in dealt.filter(F.col("_block") == block).collect()]
         if not rows:
             continue
-        index = build_index(spark, sorted(rows), counts, n_docs, rank, cosine)
+        index = build_index(spark, sorted(rows, key=_item_order), counts, n_docs, rank, cosine)
         found = _finder(spark.sparkContext.broadcast(index), lcs, answer)
         out = out.withColumn(name, F.concat(name, found("text")))
     return out

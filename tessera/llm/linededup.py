@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import SPACE_CHARS, cut_lineage, lower_ascii, text_of
 
 #: Tasks that the occurrences of one frequent line are dealt to when they are marked.
-SALTS = 32
+SALTS = 32  # at least; a session of more shuffle partitions deals to as many
 
 
 def line_key(line: Column) -> Column:
@@ -47,15 +47,16 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
         )
     )
     ranged = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     in_doc = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")
     firsts = ranged.withColumn("_first", F.row_number().over(in_doc) == 1)
     frequent = (
         firsts.groupBy("h1", "h2")
         .agg(F.sum(F.col("_first").cast("long")).alias("n"))
         .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+        .select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
     )
-    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts))
     dropped = hashed.withColumn("_salt", salt).join(frequent, ["h1", "h2", "_salt"], "left_semi")
     words = dropped.groupBy("doc_id", "_th", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")
@@ -63,40 +64,42 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     return words.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("word", "bits")).alias("bits"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Documents with ``text`` reduced to the kept lines, plus n_lines and n_dropped."""
-    b = bitmaps.select(
-        F.col("doc_id").alias("_doc"), F.col("_th").alias("_hash"), F.map_from_entries("bits").alias("_bits")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """Documents with ``text`` reduced to the kept lines, plus how many lines there were and were dropped.
+
+    The document travels in one struct, so its columns may have any names; ``counts``
+    names the two new ones.
+    """
+    b = bitmaps.select(F.col("doc_id").alias("of"), F.col("_th").alias("of_hash"), F.map_from_entries("bits").alias("bits"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64(text_of()).alias("hash"),
+        F.split(text_of(), "\n").alias("lines"),
     )
-    keyed = docs.withColumn("_th", F.xxhash64(text_of()))
-    joined = keyed.join(b, keyed["doc_id"].eqNullSafe(b["_doc"]) & (keyed["_th"] == b["_hash"]), "left")
-    split = joined.withColumn("_lines", F.split(text_of(), "\n"))
-    dense = split.withColumn(
-        "_bits",
+    joined = keyed.join(b, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    dense = joined.withColumn(
+        "words",
         F.when(
-            F.col("_bits").isNotNull(),
+            F.col("bits").isNotNull(),
             F.transform(
-                F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / 64).cast("int")),
-                lambda w: F.coalesce(F.try_element_at("_bits", w), F.lit(0).cast("long")),
+                F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 64).cast("int")),
+                lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long")),
             ),
         ),
     )
 
     def stays(_: Column, i: Column) -> Column:
-        return F.getbit(F.get("_bits", F.floor(i / 64).cast("int")), i % 64) == 0
-
-    kept = dense.withColumn(
-        "_kept", F.when(F.col("_bits").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    )
-    out = kept.withColumns(
-        {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
-            "text": F.array_join("_kept", "\n"),
-        }
+        return F.getbit(F.get("words", F.floor(i / 64).cast("int")), i % 64) == 0
+
+    kept = dense.withColumn("kept", F.when(F.col("words").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    whole = [F.array_join("kept", "\n").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return kept.select(
+        *whole,
+        F.size("lines").cast("long").alias(counts[0]),
+        (F.size("lines") - F.size("kept")).cast("long").alias(counts[1]),
     )
-    return out.drop("_doc", "_hash", "_th", "_bits", "_lines", "_kept")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_docs, min_chars))
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    return apply_bitmaps(docs, drop_bitmaps(docs, min_docs, min_chars), counts)

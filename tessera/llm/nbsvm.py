@@ -177,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
     def found(text: pd.Series) -> pd.Series:
         return pd.Series([features(t).tobytes() for t in text])
 
-    # at most fit_rows ids and labels: a proven bound
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = sample.select("doc_id", "_y", found("text").alias("f")).toPandas()
+    # at most fit_rows ids and labels, and of the rows that share an id the one of the least text hash: a proven bound
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    got = sample.select("doc_id", "_y", found("r.text").alias("f")).toPandas()
     got = got.sort_values("doc_id", kind="stable")
     return fit([np.frombuffer(f, np.int32) for f in got["f"]], got["_y"].to_numpy())
 
