@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linededup, nbsvm, packing, simhash
-from tessera.llm.common import read, scratch_folder
+from tessera.llm.common import free_names, read, scratch_folder
 
 ORACLE_SQL = None  # a learned classifier and a genetic algorithm: tested against a brute-force version instead
 
@@ -20,19 +20,21 @@ ORACLE_SQL = None  # a learned classifier and a genetic algorithm: tested agains
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects (score under 0.5)."""
     model = nbsvm.train(docs, read(spark, sf_dir, "labels"))
-    return nbsvm.with_score(docs, model, "_score").filter("_score >= 0.5").drop("_score")
+    (score,) = free_names(docs, "score")
+    return nbsvm.with_score(docs, model, score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the lines that ten or more documents share; n_chars follows the text."""
-    out = linededup.dedup_lines(docs)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(docs.columns)
+    names = free_names(docs, "n_lines", "n_dropped")
+    out = linededup.dedup_lines(docs, counts=tuple(names))
+    n_chars = F.when(F.col(names[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep exactly one row of each near-duplicate group, one of the smallest doc_id's (a null id comes last)."""
-    key = ("_row1", "_row2")  # 128 bits of the whole row: rows that share them are copies
+    key = tuple(free_names(docs, "row1", "row2"))  # 128 bits of the whole row: rows that share them are copies
     keyed = docs.select("*", *[F.xxhash64(F.lit(k), *docs.columns).alias(c) for k, c in enumerate(key)])
     found = simhash.groups(keyed, shingle=3, distance=3, carry=key)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("r"))
@@ -42,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    found = decontam.with_hits(docs, read(spark, sf_dir, "benchmark"), "_hits")
-    return found.filter(F.size("_hits") == 0).drop("_hits")
+    (hits,) = free_names(docs, "hits")
+    found = decontam.with_hits(docs, read(spark, sf_dir, "benchmark"), hits)
+    return found.filter(F.size(hits) == 0).drop(hits)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
