@@ -72,7 +72,7 @@ def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """How many tokens of A and of B precede each byte offset where tokens of both end."""
     at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
     at_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
+    common = sorted(filter(at_a.__contains__, at_b))  # the keys of both, found by hash
     return (
         np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)),
         np.fromiter(map(at_b.__getitem__, common), np.int64, len(common)),
