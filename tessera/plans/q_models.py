@@ -11,9 +11,10 @@ from tessera.operators import compose as C
 from tessera.operators import ordination as O
 from tessera.operators import ridge as R
 from tessera.operators.forest import fit_forests, predict_forests
-from tessera.operators.distance import distance_pairs, mantel
+from tessera.operators.distance import distance_pairs
 from tessera.operators.splits import merge_rare_strata, random_split, stratified_kfold
-from tessera.operators.tokens import pool_tokens
+from tessera.operators.token_head import fit_token_head, predict_token_head
+from tessera.operators.tokens import FUSIONS, pool_tokens
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
 from tessera.session import cut_lineage
@@ -105,20 +106,40 @@ def mod4_ridge_directions(spark, sf):
     return out.select("direction", *[rnd(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
+def _b_tokens(spark, sf):
+    """Vectors of modality B's features in their order, and which of them may be
+    trained: every sixth has no vector and starts from a random one (EMB3-4)."""
+    from tessera.operators.embeddings import align_with_status
+
+    order = fx.b_vectors(spark, sf).limit(1).select(F.posexplode("features").alias("pos", "feature"))
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    known = order.filter("pos % 6 <> 5").join(emb, "pos").select("feature", "embedding")
+    aligned = align_with_status(order.select("feature"), known, order.select("feature").limit(0))
+    got = order.join(aligned, "feature").orderBy("pos").collect()
+    return np.array([r["embedding"] for r in got]), np.array([r["status"] != "calibrated" for r in got])
+
+
+def _token_head_b(rows, tokens, fusion, y):
+    """(model, validation predictions) of the imputer of A from B's features and tokens."""
+    pairs = cut_lineage(rows.select("sample_id", "role", F.col("b").alias("x"), F.col(y).alias("y")))
+    model = fit_token_head(pairs.filter("role = 'train'"), *tokens, fusion)
+    return model, predict_token_head(pairs.filter("role = 'val'"), model)
+
+
 @register("mod5_token_head")
 def mod5_token_head(spark, sf):
     """Learned imputers A and B re-aimed as ridge heads over [features, pooled
-    token vectors], scale fusion, with the CLR target left as it is."""
+    token vectors], scale fusion, with the CLR target left as it is.  A's vectors
+    are fixed; B's features without one have theirs trained."""
     rows, _, _ = prepare_data(spark, sf)
     emb = table(spark, sf, "embeddings").select(F.concat(F.lit("Brand#"), F.col("vec_id").cast("string")).alias("feature"), F.col("embedding").cast("array<double>").alias("e"))
     a = fx.a_vectors(spark, sf).select("sample_id", "features", C.clr_additive(C.closure(F.col("vec"))).alias("vec"))
     pooled = pool_tokens(a, emb, "scale")
     joined = cut_lineage(rows.join(pooled, "sample_id").withColumn("xa", F.concat("a_clr", "pooled")))
-    out = None
-    for name, x, y in (("A", "xa", "b"), ("B", "b", "a_clr")):
-        model, pred = _fit_predict(joined, x, y)
-        s = R.summary(R.score(pred, fill=model.intercept)).select(F.lit(name).alias("direction"), "*")
-        out = s if out is None else out.unionByName(s)
+    model, pred = _fit_predict(joined, "xa", "b")
+    head, pred_b = _token_head_b(rows, _b_tokens(spark, sf), "scale", "a_clr")
+    score = lambda name, p, fill: R.summary(R.score(p, fill=fill)).select(F.lit(name).alias("direction"), "*")
+    out = score("A", pred, model.intercept).unionByName(score("B", pred_b, head.head.intercept))
     return out.select("direction", *[rnd(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
@@ -341,16 +362,18 @@ def evl6_experiment_grid(spark, sf):
     """Transform on or off x fusion x direction, tabulated, and the best
     configuration of each direction marked."""
     rows, _, _ = prepare_data(spark, sf)
-    emb, out = _embeddings(spark, sf), []
-    for fusion in ("scale", "add", "affine"):
+    emb, tokens, out = _embeddings(spark, sf), _b_tokens(spark, sf), []
+    for k, fusion in enumerate(FUSIONS):
         data = _pooled_rows(spark, sf, rows, emb, fusion)
         for transform, a in (("raw", "a"), ("clr", "a_clr")):
-            joined = data.withColumn("xa", F.concat(a, "pooled"))
-            for name, x, y in (("A", "xa", "b"), ("B", "b", a)):
-                _, pred = _fit_predict(joined, x, y)
-                out.append((name, transform, fusion, float(R.summary(R.score(pred)).first()["mean_r"])))
-    d = spark.createDataFrame(out, "direction string, transform string, fusion string, mean_r double")
-    best = d.groupBy("direction").agg(F.max_by(F.struct("transform", "fusion"), F.struct("mean_r", "transform", "fusion")).alias("b"))
+            _, pred_a = _fit_predict(data.withColumn("xa", F.concat(a, "pooled")), "xa", "b")
+            _, pred_b = _token_head_b(rows, tokens, fusion, a)
+            for name, pred in (("A", pred_a), ("B", pred_b)):
+                out.append((name, transform, fusion, k, float(R.summary(R.score(pred)).first()["mean_r"])))
+    d = spark.createDataFrame(out, "direction string, transform string, fusion string, k int, mean_r double")
+    # of tied configurations the first: raw before CLR, fusions in their order
+    order = F.struct(F.round("mean_r", 9), F.col("transform") == "raw", -F.col("k"))
+    best = d.groupBy("direction").agg(F.max_by(F.struct("transform", "fusion"), order).alias("b"))
     j = d.join(best, "direction")
     return j.select("direction", "transform", "fusion", rnd(F.col("mean_r")).alias("mean_r"), ((F.col("transform") == F.col("b.transform")) & (F.col("fusion") == F.col("b.fusion"))).alias("best"))
 
@@ -373,5 +396,3 @@ def evl7_embedding_ablation(spark, sf):
         out = s if out is None else out.unionByName(s)
     return out
 
-
-__all__ = ["impute_missing", "mantel", "prepare_data"]

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import numbered
+
 from tessera.frames import wide_to_long
 from tessera.functions.text import strip_prefix
 
@@ -67,22 +69,29 @@ def _field(record, tag: str):
 
 
 def read_compounds(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-line records ending in ``///`` -> (cid, names ordered, primary_name,
-    ecs): the primary name is the first one, else the id.  One record per row by
-    the reader's line separator, so records are parsed by many tasks."""
-    records = spark.read.option("lineSep", "///\n").text(path).select(F.regexp_replace("value", r"(?s)(///\s*)$", "").alias("r"))
+    """Multi-line records ending in a line ``///`` -> (rec_no, cid, names ordered,
+    primary_name, ecs): the primary name is the first one, else the id.
+
+    Lines may end in LF or CRLF.  Records are the reader's rows, so many tasks
+    parse them; ``rec_no`` counts them in file order, by file, block and row."""
+    raw = spark.read.option("lineSep", "\n///").text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    # what follows the separator is the end of its own line; a longer line of slashes belongs to the record before
+    body = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\r$", "")
+    records = raw.select(F.regexp_replace(body, r"^[/ \t]*(?:\n|$)", "").alias("r"), place.alias("place"))
     # records are first parted into fields, each of which ends where a line begins without indent
     r = F.col("r")
     clean = lambda x: F.trim(F.regexp_replace(x, ";$", ""))
     names = F.filter(F.transform(F.split(_field(r, "NAME"), "\n"), lambda x: clean(F.trim(x))), lambda x: x != "")
     ecs = F.array_distinct(F.filter(F.split(F.trim(_field(r, "ENZYME")), r"\s+"), lambda x: x != ""))
-    parsed = records.select(F.split(F.trim(_field(r, "ENTRY")), r"\s+")[0].alias("cid"), names.alias("names"), ecs.alias("ecs"))
-    return parsed.filter(F.col("cid") != "").select("cid", "names", F.coalesce(F.get("names", F.lit(0)), F.col("cid")).alias("primary_name"), "ecs")
+    parsed = records.select("place", F.split(F.trim(_field(r, "ENTRY")), r"\s+")[0].alias("cid"), names.alias("names"), ecs.alias("ecs"))
+    kept = numbered(parsed.filter(F.col("cid") != ""), [], [F.col("place").asc()], "rec_no")
+    return kept.select("rec_no", "cid", "names", F.coalesce(F.get("names", F.lit(0)), F.col("cid")).alias("primary_name"), "ecs")
 
 
 def synonym_rows(compounds: DataFrame) -> DataFrame:
-    """(rec_no, pos, cid, name) for :mod:`tessera.operators.naming`; records count in id order."""
-    return compounds.select(F.col("cid").alias("rec_no"), "cid", F.posexplode("names").alias("pos", "name"))
+    """(rec_no, pos, cid, name) for :mod:`tessera.operators.naming`; records count in file order."""
+    return compounds.select("rec_no", "cid", F.posexplode("names").alias("pos", "name"))
 
 
 def read_ko_table(spark: SparkSession, path: str) -> DataFrame:
