@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.compose import clr_replace, closure, halfmin_pseudocount
 from tessera.operators.ranking import bh_fdr, exact_quantiles
 from tessera.operators.stats import RANK_DECIMALS, contrast_rows, mann_whitney
+from tessera.session import cut_lineage
 
 KEYS = ["contrast", "feature"]
 
@@ -39,7 +39,7 @@ def differential_abundance(
         F.inline(F.arrays_zip(F.col("features").alias("feature"), "p", "clr")),
     )
     # reused by the contrast list, the ranks and the means: compute once
-    long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    long = cut_lineage(long)
     rows = contrast_rows(long, group, control).withColumn("rv", F.round("clr", RANK_DECIMALS))
     mw = mann_whitney(rows, KEYS, "rv", F.col("is_case"), buckets=buckets)
     case, ctrl = F.col("is_case"), ~F.col("is_case")
@@ -68,7 +68,7 @@ def differential_concentration(long: DataFrame, meta: DataFrame, control: str, g
     """Metabolite version: log2 fold change of medians (no epsilon), median
     difference, rank-biserial, p, fdr; Mann-Whitney on the raw values."""
     rows = contrast_rows(long.join(meta.select("sample_id", group), "sample_id"), group, control)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # ranked twice: pooled, and per side for the medians
+    rows = cut_lineage(rows)  # ranked twice: pooled, and per side for the medians
     mw = mann_whitney(rows, KEYS, "value", F.col("is_case"), buckets=buckets)
     half = exact_quantiles(rows, [*KEYS, "is_case"], "value", {"md": 0.5}, buckets)
     med = half.groupBy(*KEYS).agg(

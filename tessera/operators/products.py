@@ -17,20 +17,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.scan import numbered
-
 #: Bytes of sums that a task holds.
 BLOCK_BYTES = 32 << 20
 _SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
-def _feature_numbers(long: DataFrame) -> DataFrame:
-    return numbered(long.select("feature").distinct(), [], [F.col("feature").asc()], "i").withColumn("i", F.col("i") - 1)
+def _feature_numbers(features: DataFrame) -> tuple[DataFrame, int]:
+    """(feature, i) and how many there are: as wide as the schema, whatever the rows."""
+    names = sorted(r[0] for r in features.select("feature").distinct().collect())
+    return features.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, i int"), len(names)
 
 
 def _arrays(long: DataFrame, numbers: DataFrame, key: str, out: str) -> DataFrame:
     """(key, out_i, out_v): feature numbers and values of each sample; null values are absent."""
-    entries = long.filter(F.col("value").isNotNull()).join(numbers, "feature")
+    entries = long.filter(F.col("value").isNotNull()).join(F.broadcast(numbers), "feature")
     held = entries.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", F.col("value").cast("double").alias("v")))).alias("e"))
     return held.select(key, F.col("e.i").alias(f"{out}_i"), F.col("e.v").alias(f"{out}_v"))
 
@@ -45,13 +45,15 @@ def _dense(numbers: pd.Series, values: pd.Series, first: int, width: int) -> tup
     return x, m
 
 
-def cross_moments(a: DataFrame, b: DataFrame, key: str = "sample_id", centre: float = 0.0) -> DataFrame:
+def cross_moments(
+    a: DataFrame, b: DataFrame, key: str = "sample_id", centre: float = 0.0, features: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """(feature_a, feature_b, n, sa, sb, saa, sbb, sab) over the samples that have both values.
 
     ``a`` and ``b`` are (key, feature, value); sums are of values less ``centre``.
+    ``features`` are tables to read the feature names from, if that is cheaper.
     """
-    number_a, number_b = _feature_numbers(a), _feature_numbers(b)
-    count_a, count_b = number_a.count(), number_b.count()
+    (number_a, count_a), (number_b, count_b) = (_feature_numbers(x) for x in features or (a, b))
     width = max(1, min(max(count_a, 1), BLOCK_BYTES // (8 * len(_SUMS) * max(count_b, 1))))
     slices = -(-count_a // width)
     met = _arrays(a, number_a, key, "xa").join(_arrays(b, number_b, key, "xb"), key)
@@ -91,7 +93,7 @@ def cross_moments(a: DataFrame, b: DataFrame, key: str = "sample_id", centre: fl
     total = parts.groupBy("ia", "ib").agg(*[F.sum(c).alias(c) for c in _SUMS]).withColumn("n", F.col("n").cast("long"))
     named_a = number_a.select(F.col("feature").alias("feature_a"), F.col("i").alias("ia"))
     named_b = number_b.select(F.col("feature").alias("feature_b"), F.col("i").alias("ib"))
-    return total.join(named_a, "ia").join(named_b, "ib").select("feature_a", "feature_b", *_SUMS)
+    return total.join(F.broadcast(named_a), "ia").join(F.broadcast(named_b), "ib").select("feature_a", "feature_b", *_SUMS)
 
 
 def correlation(moments: DataFrame) -> DataFrame:

@@ -78,11 +78,12 @@ def row_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | Non
     """
     on = [*keys, value]
     r = cut_lineage(tie_ranks(df, keys, value, buckets=buckets).select(*on, "t", "rank"))
-    total = r.agg(F.sum("t").alias("n")).first()[0] or 0
-    hot = r.filter(F.col("t") * HOT_VALUES > total).select(*on, F.col("rank").alias("_hot"))
+    of_all = r.withColumn("_n", r.agg(F.sum("t")).scalar())
+    hot = of_all.filter(F.col("t") * HOT_VALUES > F.col("_n")).select(*on, F.col("rank").alias("_hot"))
+    cold = of_all.filter(F.col("t") * HOT_VALUES <= F.col("_n")).select(*on, "rank")
     near = df.join(F.broadcast(hot), on, "left")
     settled = near.filter(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "rank")
-    rest = near.filter(F.col("_hot").isNull()).drop("_hot").join(r.filter(F.col("t") * HOT_VALUES <= total).select(*on, "rank"), on, "left")
+    rest = near.filter(F.col("_hot").isNull()).drop("_hot").join(cold, on, "left")
     return settled.unionByName(rest)
 
 
