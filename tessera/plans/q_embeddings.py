@@ -10,7 +10,6 @@ from tessera.plans.q_naming_graph import _edges
 from tessera.plans.registry import register
 from tessera.session import cut_lineage
 from tessera.sinks import scratch_folder, write_aligned, write_embeddings
-from tessera.sources import fixtures as fx
 from tessera.sources.tables import table
 
 P, Q, DIMENSIONS, WALK_LENGTH, NUM_WALKS = 0.5, 2.0, 32, 10, 5
@@ -76,6 +75,3 @@ def snk4_embedding_dataset(spark, sf):
     folder = write_embeddings(e, scratch_folder(spark, "runs"), "v1", P, Q, DIMENSIONS, WALK_LENGTH, NUM_WALKS)
     back = spark.read.parquet(folder).filter("version = 'v1' AND num_walks = 5")
     return back.groupBy("version", "node_type").agg(F.countDistinct("row_no").alias("n"))
-
-
-__all__ = ["fx"]

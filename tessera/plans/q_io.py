@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import naming as N
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.q_naming_graph import _edges, _FX_G, _FX_NAM, _GRAPH_SQL, _resolved, _RESOLVE_SQL
 from tessera.operators import graph as G
 from tessera.plans.registry import register
-from tessera.sinks import scratch_folder, write_tables, write_wide
+from tessera.sinks import scratch_folder, write_tables
 from tessera.sources import fixtures as fx
 from tessera.sources import readers as R
 from tessera.sources.tables import table
@@ -203,6 +202,3 @@ def snk3_graph_tables(spark, sf):
     n = spark.read.parquet(f"{folder}/nodes").select(F.col("node_id").alias("id"), F.col("node_type").alias("attr"), F.lit(0.0).alias("weight"))
     d = spark.read.parquet(f"{folder}/edges").select(F.concat_ws(" > ", "src", "dst").alias("id"), F.col("edge_type").alias("attr"), F.round("weight", 6).alias("weight"))
     return n.unionByName(d)
-
-
-__all__ = ["N", "write_wide"]

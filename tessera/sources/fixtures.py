@@ -83,13 +83,6 @@ def b_long(spark: SparkSession, sf: str) -> DataFrame:
     return vectors_to_long(b_vectors(spark, sf))
 
 
-def a_wide_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """All samples in long form with NULL values where modality A is absent
-    (the shape of the reference's wide CSV after unpivot)."""
-    m = meta(spark, sf).select("sample_id")
-    return m.join(a_long(spark, sf), "sample_id", "left")
-
-
 def ko_table(spark: SparkSession, sf: str) -> DataFrame:
     """KO copy-number table (taxonomic_label, ko, copy_number)."""
     li = table(spark, sf, "lineitem")
@@ -166,16 +159,6 @@ def ec_metabolite(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b).distinct()
 
 
-def training_history(spark: SparkSession, sf: str) -> DataFrame:
-    """(run, epoch, val_mse): one run per event type, event ids as epochs."""
-    e = table(spark, sf, "events")
-    return e.select(
-        F.col("event_type").alias("run"),
-        F.col("event_id").alias("epoch"),
-        F.col("value").cast("double").alias("val_mse"),
-    )
-
-
 def embedding_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings table as (sample_id, grp, vec ARRAY<DOUBLE>)."""
     e = table(spark, sf, "embeddings")
