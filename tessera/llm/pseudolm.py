@@ -10,31 +10,36 @@ count(class), from the counts of all words: each document's rarer words are
 joined to them.  A document's score is the sum of these log-probabilities over
 all its words.
 
-Training is data-parallel over all documents: in each round every partition
-starts from the shared parameters, predicts its masked positions and its
-parameters are averaged, weighted by positions, in a tree of bounded groups.
-The ``mask`` residues of the positions are dealt over the rounds, so every
-position of every document is a target exactly once.
+Training is data-parallel over all documents.  Their word numbers are written
+once, dealt to shards by a hash of doc_id and text; the number of shards follows
+the words of the corpus (``shard_words`` each) and rows within a shard are in the
+order of the hash, so neither depends on how the table is split.  In each round
+every shard starts from the shared parameters and predicts its masked positions;
+the shards' parameters are averaged, weighted by positions, in a tree of bounded
+groups.  The ``mask`` residues of the positions are dealt over the rounds, so
+every position of every document is a target exactly once.
 
 Defined cases: a null text is empty; a document without words scores 0 over 0
 words and its mean is null; a word that the counted documents lack is scored as
 if it occurred once; repeated rows are scored each; other columns are kept and
-never read; an empty table gives an empty result.
+never read, but one called as the result is replaced; a table without doc_id is
+dealt by its texts alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut_lineage
+from tessera.llm.common import cut_lineage, free_names
 from tessera.llm.words import chunks, words_of_all
 
 GROUP = 64  # words of a group
@@ -44,6 +49,8 @@ PLACES = [-4, -3, -2, -1, 1, 2, 3, 4]
 BATCH = 1024
 #: Rows and values of one averaging group.
 FAN, SLICE = 32, 8192
+#: Words laid out together in training, and tasks of a round at most (beyond, a task trains several shards).
+LAID, TASKS = 1 << 18, 100_000
 
 
 @dataclass
@@ -65,6 +72,11 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.counts)
 
+    @property
+    def stored(self) -> type:
+        """The integers that hold a word number (and the padding's)."""
+        return np.uint16 if len(self) < 1 << 16 else np.uint32
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         out = len(self.hashes) + (hashes % np.uint64(CLASSES)).astype(np.int64)
         if len(self.hashes):
@@ -105,7 +117,7 @@ class Laid:
     owner: np.ndarray  # text of each word
     position: np.ndarray  # of each word in its text
     counts: np.ndarray
-    hashes: np.ndarray
+    hashes: np.ndarray | None = None
 
     def contexts(self, at) -> np.ndarray:
         return self.around[self.place[at][:, None] + np.array(PLACES)]
@@ -114,14 +126,18 @@ class Laid:
         return self.around[self.place[at]]
 
 
+def lay_numbers(numbers: np.ndarray, counts: np.ndarray, padding: int, hashes: np.ndarray | None = None) -> Laid:
+    owner = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(numbers)) + SIDE * (owner + 1)
+    around = np.full(len(numbers) + SIDE * (len(counts) + 1), padding)
+    around[place] = numbers
+    position = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return Laid(around, place, owner, position, counts, hashes)
+
+
 def lay_out(texts: list[str | None], words: Vocabulary) -> Laid:
     hashes, counts = words_of_all(texts)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(len(hashes)) + SIDE * (owner + 1)
-    around = np.full(len(hashes) + SIDE * (len(texts) + 1), len(words))
-    around[place] = words.numbers(hashes)
-    position = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return Laid(around, place, owner, position, counts, hashes)
+    return lay_numbers(words.numbers(hashes), counts, len(words), hashes)
 
 
 @dataclass
@@ -272,6 +288,7 @@ def _averaged(parts: DataFrame, partitions: int) -> DataFrame:
     """(part, slice, n, values) -> one row per slice: means weighted by n, in groups of at most FAN rows."""
 
     def mean(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("part")  # sums in one order
         n = d["n"].to_numpy()
         each = [np.frombuffer(v, np.float32) for v in d["values"]]
         value = sum(float(k) * v.astype(float) for k, v in zip(n, each)) / max(1, n.sum())
@@ -288,35 +305,72 @@ def _averaged(parts: DataFrame, partitions: int) -> DataFrame:
     return parts
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = 2, mask: int = 16, rate: float = 0.15) -> Net:
-    net = fresh(words)
+def dealt(docs: DataFrame, words: Vocabulary, shard_words: int) -> tuple[DataFrame, int]:
+    """(shard, h, numbers): the word numbers of every text with words, written in the shards' order; and the number of shards."""
+    shards = max(1, math.ceil(words.counts.sum() / shard_words))
+    known = docs.sparkSession.sparkContext.broadcast(words)
+    by = [c for c in ("doc_id", "text") if c in docs.columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = known.value
+        for b in batches:
+            h, at = b["h"].to_numpy(), 0
+            for texts in chunks(b["text"]):
+                hashes, counts = words_of_all(texts)
+                each = np.split(words.numbers(hashes).astype(words.stored), np.cumsum(counts)[:-1])
+                some = np.flatnonzero(counts)
+                yield pd.DataFrame({"h": h[at + some], "numbers": [each[i].tobytes() for i in some]})
+                at += len(texts)
+
+    rows = docs.select(F.xxhash64(*by).alias("h"), "text").mapInPandas(run, "h long, numbers binary")
+    rows = rows.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "numbers")
+    rows = rows.repartitionById(min(shards, TASKS), "shard").sortWithinPartitions("shard", "h", "numbers")
+    return cut_lineage(rows), shards
+
+
+def _together(rows: Iterable[np.ndarray], size: int = LAID) -> Iterator[list[np.ndarray]]:
+    """Consecutive rows of about ``size`` words together."""
+    held, n = [], 0
+    for x in rows:
+        held.append(x)
+        n += len(x)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def train(
+    docs: DataFrame, words: Vocabulary, rounds: int = 2, mask: int = 16, rate: float = 0.15, shard_words: int = 1 << 21
+) -> Net:
+    net, padding, stored = fresh(words), len(words), words.stored
     sc = docs.sparkSession.sparkContext
-    texts = docs.select("text")
-    partitions = texts.rdd.getNumPartitions()
+    rows, shards = dealt(docs, words, shard_words)
     for r in range(rounds):
-        shared = sc.broadcast((words, net))
+        shared = sc.broadcast(net)
 
         def run(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
-            words, net = shared.value
-            trainer, n = Trainer(net, rate), 0
-            for b in batches:
-                for texts in chunks(b["text"]):
-                    laid = lay_out(texts, words)
+            every = (x for b in batches for x in zip(b["shard"].tolist(), b["numbers"]))
+            for shard, own in groupby(every, itemgetter(0)):
+                trainer, n = Trainer(shared.value, rate), 0
+                for some in _together(np.frombuffer(x, stored) for _, x in own):
+                    laid = lay_numbers(np.concatenate(some), np.array([len(x) for x in some]), padding)
                     # the residues of this round; over all rounds each position comes once
                     at = np.flatnonzero((laid.position + laid.counts[laid.owner]) % mask % rounds == r)
                     n += len(at)
                     for i in range(0, len(at), BATCH):
-                        some = at[i : i + BATCH]
-                        trainer.step(laid.contexts(some), laid.targets(some))
-            if n:
-                flat, part = trainer.net.flat(), TaskContext.get().partitionId()
-                cut = range(0, len(flat), SLICE)
-                yield pd.DataFrame(
-                    {"part": part, "slice": list(range(len(cut))), "n": n, "values": [flat[i : i + SLICE].tobytes() for i in cut]}
-                )
-
-        parts = texts.mapInPandas(run, "part long, slice int, n long, values binary")
-        got = _averaged(parts, partitions).collect()  # one set of parameters
+                        batch = at[i : i + BATCH]
+                        trainer.step(laid.contexts(batch), laid.targets(batch))
+                if n:
+                    flat = trainer.net.flat()
+                    cut = range(0, len(flat), SLICE)
+                    yield pd.DataFrame(
+                        {"part": shard, "slice": list(range(len(cut))), "n": n, "values": [flat[i : i + SLICE].tobytes() for i in cut]}
+                    )
+
+        parts = rows.select("shard", "numbers").mapInPandas(run, "part long, slice int, n long, values binary")
+        got = _averaged(parts, shards).collect()  # one set of parameters
         if got:
             got.sort(key=lambda x: x["slice"])
             net = net.filled(np.concatenate([np.frombuffer(x["values"], np.float32) for x in got]))
@@ -356,7 +410,7 @@ def rare_words(laid: Laid, words: Vocabulary) -> tuple[np.ndarray, list[np.ndarr
     return of_class, np.split(h[new], cuts), np.split(times, cuts)
 
 
-SCORED = "n_words long, log_likelihood double, w array<long>, n array<long>"
+SCORED = "n_words long, log_likelihood double, w array<long>, n array<int>"
 
 
 def with_score(docs: DataFrame, words: Vocabulary, net: Net, name: str = "lm", keep: list[str] | None = None) -> DataFrame:
@@ -376,12 +430,13 @@ def with_score(docs: DataFrame, words: Vocabulary, net: Net, name: str = "lm", k
             yield pd.DataFrame(dict(zip(("n_words", "log_likelihood", "w", "n"), parts)))
 
     columns = docs.columns if keep is None else keep
-    rows = docs.withColumn("_lm", score("text")).select(*columns, "_lm", F.monotonically_increasing_id().alias("_lm_row"))
+    own, row, log = free_names(docs, "own", "row", "log")
+    rows = docs.select(*columns, score("text").alias(own), F.monotonically_increasing_id().alias(row))
     rows = cut_lineage(rows)  # the row numbers must not be dealt twice
-    rare = rows.select("_lm_row", F.explode(F.arrays_zip("_lm.w", "_lm.n")).alias("r")).select("_lm_row", "r.w", "r.n")
+    rare = rows.select(row, F.explode(F.arrays_zip(f"{own}.w", f"{own}.n")).alias("r")).select(row, "r.w", "r.n")
     # a word that occurs once adds log(1); the most frequent words are outputs, so no word here is a hot key
-    often = words.counted.filter("n > 1").select("w", F.log("n").alias("_log"))
-    own = rare.join(often, "w").groupBy("_lm_row").agg(F.sum(F.col("n") * F.col("_log")).alias("_own"))
-    total = F.col("_lm.log_likelihood") + F.coalesce("_own", F.lit(0.0))
-    lm = F.struct(F.col("_lm.n_words").alias("n_words"), total.alias("log_likelihood"))
-    return rows.join(own, "_lm_row", "left").withColumn(name, lm).drop("_lm", "_lm_row", "_own")
+    often = words.counted.filter("n > 1").select("w", F.log("n").alias("share"))
+    shares = rare.join(often, "w").groupBy(row).agg(F.sum(F.col("n") * F.col("share")).alias(log))
+    total = F.col(f"{own}.log_likelihood") + F.coalesce(log, F.lit(0.0))
+    lm = F.struct(F.col(f"{own}.n_words").alias("n_words"), total.alias("log_likelihood"))
+    return rows.join(shares, row, "left").withColumn(name, lm).drop(own, row, log)
