@@ -15,8 +15,10 @@
    the window and by its answer: the words after the last "answer:" if the
    passage has one, else its most telling words.
 
-The benchmark is handled in blocks of ``block_items`` items, so the model a
-task holds is bounded; each block is one pass over the documents.
+The benchmark is handled in blocks of ``block_items`` items; each block is one
+pass over the documents, so a task holds one block's model.  With several blocks
+each pass writes the hits of the texts that have any, keyed by two hashes of the
+text, and the documents meet them in one join at the end.
 
 Defined cases: null or empty texts match nothing; a passage of fewer than
 ``MIN_WORDS`` words must occur word for word; rows that repeat a doc_id or an
@@ -32,13 +34,14 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut_lineage
+from tessera.llm.common import cut_lineage, free_names
 from tessera.llm.words import chunks, words_of, words_of_all
 
 #: Words of a benchmark passage at most; longer items are cut.
@@ -323,17 +326,30 @@ def with_hits(
     n_items = items.count()
     blocks = max(1, math.ceil(n_items / block_items))
     counts, n_docs = document_frequencies(docs)
-    dealt = cut_lineage(items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
-    out = docs.withColumn(name, F.array().cast(HITS))
+    dealt = cut_lineage(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
+    one, two = (F.xxhash64(F.lit(k), "text") for k in (1, 2))  # equal texts have equal hits
+    written = []
     for block in range(blocks):
         # about block_items rows: a bounded part of the query set
-        rows = [(r["item_id"], r["text"]) for r in dealt.filter(F.col("_block") == block).collect()]
+        rows = [(r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == block).collect()]
         if not rows:
             continue
         index = build_index(spark, sorted(rows, key=_item_order), counts, n_docs, rank, cosine)
-        found = _finder(spark.sparkContext.broadcast(index), lcs, answer)
-        out = out.withColumn(name, F.concat(name, found("text")))
-    return out
+        shared = spark.sparkContext.broadcast(index)
+        found = _finder(shared, lcs, answer)
+        if blocks == 1:
+            return docs.withColumn(name, found("text"))
+        hits = docs.select(one.alias("one"), two.alias("two"), found("text").alias("hits")).filter(F.size("hits") > 0)
+        written.append(cut_lineage(hits.groupBy("one", "two").agg(F.first("hits").alias("hits")).withColumn("block", F.lit(block))))
+        shared.destroy()  # a task holds one block's index at a time
+    if not written:
+        return docs.withColumn(name, F.array().cast(HITS))
+    each = F.array_sort(F.collect_list(F.struct("block", "hits")))  # at most one entry of each block
+    found = reduce(DataFrame.unionAll, written).groupBy("one", "two").agg(F.flatten(F.transform(each, lambda x: x["hits"])).alias("hits"))
+    k1, k2, had = free_names(docs.withColumn(name, F.lit(None)), "one", "two", "had")
+    found = found.select(F.col("one").alias(k1), F.col("two").alias(k2), F.col("hits").alias(had))
+    joined = docs.withColumns({k1: one, k2: two}).join(found, [k1, k2], "left")
+    return joined.withColumn(name, F.coalesce(had, F.array().cast(HITS))).drop(k1, k2, had)
 
 
 def _finder(shared, lcs: float, answer: float):
