@@ -213,6 +213,23 @@ def common_subsequence(mask: dict, n: int, words: Iterable) -> int:
     return n - v.bit_count()
 
 
+def _window_sums(values: np.ndarray, row: np.ndarray, some: np.ndarray, window: int, step: int) -> np.ndarray:
+    """For each window (its number; they begin ``step`` words apart) the sum of its words' rows of ``values``.
+
+    The sums of each ``step`` words are made once for all windows that hold them.
+    """
+    whole = window // step
+    part, at = np.unique(some[:, None] + np.arange(whole), return_inverse=True)
+    sums = values[row[part[:, None] * step + np.arange(step)]].sum(axis=1)
+    at = at.reshape(len(some), whole)
+    total = sums[at[:, 0]]
+    for k in range(1, whole):
+        total += sums[at[:, k]]
+    for k in range(whole * step, window):
+        total += values[row[some * step + k]]
+    return total
+
+
 class Searcher:
     def __init__(self, index: Index, lcs: float, answer: float):
         self.x, self.lcs, self.answer = index, lcs, answer
@@ -220,6 +237,10 @@ class Searcher:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(index.terms >> np.uint64(44)).astype(np.int64)] = True
         self.short = [(k, p.words) for k, p in enumerate(index.passages) if len(p.words) < MIN_WORDS]
+        self.needed = [answer * sum(told.values()) for told in index.telling]
+        # with fewer passages than latent columns, each term's latent products with them are the shorter rows
+        rank = index.basis.shape[1]
+        self.by_term = {w: index.basis @ rows.T for w, (_, rows) in index.by_window.items() if len(rows) <= rank}
 
     def columns(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word in the index: its term's, or after them its bucket's."""
@@ -248,8 +269,10 @@ class Searcher:
             near = np.flatnonzero(bound[end] - bound[begin] >= floor)
             for i in range(0, len(near), 256):
                 some = near[i : i + 256]
-                z = x.basis[row[begin[some, None] + np.arange(window)]].sum(axis=1)
-                product = z @ rows.T
+                if window in self.by_term:
+                    product = _window_sums(self.by_term[window], row, some, window, step)
+                else:
+                    product = _window_sums(x.basis, row, some, window, step) @ rows.T
                 a, b = np.nonzero(product >= x.least[ks] * np.minimum(norm[some, None], x.norm[ks]))
                 found.append((ks[b], begin[some[a]], end[some[a]], product[a, b] / norm[some[a]]))
         if not found:
@@ -282,9 +305,12 @@ class Searcher:
                 continue
             seen.add((o, k, lo, hi))
             region = hashes[first[o] + lo : first[o] + max(lo, hi)].tolist()
+            told, need = self.x.telling[k], self.needed[k]
+            # the telling words that are there at all, as often as the passage has them: most candidates end here
+            if sum(map(told.__getitem__, told.keys() & region)) < need:
+                continue
             there = Counter(region)
-            told = self.x.telling[k]
-            if sum(min(m, there[w]) for w, m in told.items()) < self.answer * sum(told.values()):
+            if sum(min(m, there[w]) for w, m in told.items()) < need:
                 continue
             share = common_subsequence(self.x.masks[k], len(p.words), region) / len(p.words)
             if share >= self.lcs:

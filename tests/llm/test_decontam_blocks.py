@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.llm import decontam
 
 
@@ -40,6 +42,17 @@ def test_blocks_agree_with_one(spark):
     assert plan.count("ArrowEvalPython") == 0  # every pass is written, none is left in the plan
 
 
+def test_window_sums_are_sums(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(50, 7))
+    row = rng.integers(0, 50, 2000)
+    for window in decontam.WINDOWS:
+        step = window // 4
+        some = np.sort(rng.choice((len(row) - window) // step, 40, replace=False))
+        slow = np.array([values[row[k * step : k * step + window]].sum(axis=0) for k in some])
+        assert np.allclose(decontam._window_sums(values, row, some, window, step), slow)
+
+
 def test_more_passages_than_latent_columns(spark):
     """Long items have more passages than the rank; both ways of projecting find the same."""
     docs, items = made(spark)
