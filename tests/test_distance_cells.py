@@ -35,3 +35,21 @@ def test_pairs_of_text_ids(spark):
     for blocks in (1, 4):
         got = {(r.i, r.j): r.d for r in D.distance_pairs(df, "euclidean", blocks, "k").collect()}
         assert got == {("a", "b"): 2.0, ("a", "é"): 3.0, ("b", "é"): 1.0}
+
+
+@pytest.mark.parametrize("cell", [2048, 7])
+def test_group_means_without_pair_rows(spark, monkeypatch, cell):
+    monkeypatch.setattr(D, "CELL_ROWS", cell)
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(5, 1, (30, 4)))
+    g = ["a"] * 12 + ["b"] * 15 + ["c"] + ["d"] * 2
+    df = vectors_of(spark, x, extra=g)
+    lab = df.select("sample_id", "grp")
+    holes = lab.selectExpr("sample_id", "nullif(grp, 'd') as grp")
+    vec = df.select("sample_id", "vec")
+    for metric in D.METRICS:
+        one = lambda t: {(r.g1, r.g2): (None if r.mean_d is None else round(r.mean_d, 9), r.n_pairs) for r in t.collect()}
+        assert one(D.group_mean_distances(D.Distances(vec, metric), holes)) == one(D.group_mean_distances(D.distance_pairs(vec, metric), holes))
+        got = one(D.group_mean_distances(D.Distances(vec, metric), lab))
+        d = both_metrics(x)[metric]
+        assert got["a", "a"] == (pytest.approx(d[:12, :12].sum() / 132, abs=1e-8), 66) and got["c", "c"] == (None, 0)
