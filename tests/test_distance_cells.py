@@ -53,3 +53,38 @@ def test_group_means_without_pair_rows(spark, monkeypatch, cell):
         got = one(D.group_mean_distances(D.Distances(vec, metric), lab))
         d = both_metrics(x)[metric]
         assert got["a", "a"] == (pytest.approx(d[:12, :12].sum() / 132, abs=1e-8), 66) and got["c", "c"] == (None, 0)
+
+
+@pytest.mark.parametrize("cell", [2048, 6])
+def test_mantel_without_pair_rows(spark, monkeypatch, cell):
+    monkeypatch.setattr(D, "CELL_ROWS", cell)
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(5, 1, (25, 3)))
+    y = x + rng.normal(0, 0.3, x.shape)
+    a, b = vectors_of(spark, x), vectors_of(spark, y[:-1])
+    up = np.triu_indices(24, 1)
+    for m1, m2 in (("euclidean", "euclidean"), ("euclidean", "braycurtis")):
+        r = D.mantel(D.Distances(a, m1), D.Distances(b, m2)).first()
+        want = np.corrcoef(both_metrics(x[:-1])[m1][up], both_metrics(y[:-1])[m2][up])[0, 1]
+        assert (r.n_pairs, r.r) == (276, pytest.approx(want, abs=1e-12))
+    rank = D.mantel(D.Distances(a), D.Distances(b), "spearman").first()
+    assert rank == D.mantel(D.distance_pairs(a), D.distance_pairs(b), "spearman").first()
+    flat = vectors_of(spark, np.ones((5, 2)))
+    assert D.mantel(D.Distances(flat), D.Distances(a)).first().r is None
+    assert D.mantel(D.Distances(a.limit(0)), D.Distances(a)).first().n_pairs == 0
+
+
+def test_geometry_score_makes_no_pair_rows(spark, monkeypatch):
+    from tessera.operators import ordination as O
+
+    def none(*args, **kwargs):
+        raise AssertionError("pairs are formed")
+
+    monkeypatch.setattr(D, "distance_pairs", none)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20, 4))
+    rows = [(i, x[i].tolist(), (x[i] * 2 + 1).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "sample_id long, truth array<double>, imputed array<double>")
+    for mode in ("independent", "shared"):
+        r = O.geometry_score(df, "truth", "imputed", mode).first()
+        assert (r.n_pairs, r.r) == (190, pytest.approx(1.0, abs=1e-9))
