@@ -88,3 +88,37 @@ def test_geometry_score_makes_no_pair_rows(spark, monkeypatch):
     for mode in ("independent", "shared"):
         r = O.geometry_score(df, "truth", "imputed", mode).first()
         assert (r.n_pairs, r.r) == (190, pytest.approx(1.0, abs=1e-9))
+
+
+@pytest.mark.parametrize("cell", [2048, 9])
+def test_permanova_without_pair_rows(spark, monkeypatch, cell):
+    from tessera.operators import permutation as P
+
+    monkeypatch.setattr(D, "CELL_ROWS", cell)
+    rng = np.random.default_rng(6)
+    x = np.abs(np.vstack([rng.normal(4, 0.5, (14, 5)), rng.normal(4, 2, (12, 5)), rng.normal(5, 1, (3, 5))]))
+    df = vectors_of(spark, x, extra=["a"] * 14 + ["b"] * 12 + [None] * 3)
+    labels, vec = df.select("sample_id", "grp"), df.select("sample_id", "vec")
+    a, b = (P.permanova_pairs(d, labels, 49, 5).first() for d in (D.distance_pairs(vec, "braycurtis"), D.Distances(vec, "braycurtis")))
+    assert a.n == b.n == 26 and a.p == b.p and (b.sst, b.f, b.r2) == (pytest.approx(a.sst), pytest.approx(a.f), pytest.approx(a.r2))
+
+
+def test_pairwise_permanova_without_pair_rows(spark):
+    from tessera.operators import permutation as P
+
+    x = np.abs(np.random.default_rng(6).normal(4, 1, (20, 3)))
+    df = vectors_of(spark, x, extra=["a"] * 7 + ["b"] * 7 + ["c"] * 6)
+    labels, vec = df.select("sample_id", "grp"), df.select("sample_id", "vec")
+    a, b = (P.pairwise_permanova(d, labels, "c", 19, 5).orderBy("contrast").collect() for d in (D.distance_pairs(vec), D.Distances(vec)))
+    assert [(r.contrast, r.n, r.p, r.fdr) for r in a] == [(r.contrast, r.n, r.p, r.fdr) for r in b]
+
+
+def test_dispersion_without_pair_rows(spark, monkeypatch):
+    from tessera.operators import permutation as P
+
+    monkeypatch.setattr(P, "CELL_ROWS", 5)
+    x = np.abs(np.random.default_rng(6).normal(4, 2, (16, 4)))
+    df = vectors_of(spark, x, extra=["a"] * 9 + ["b"] * 7)
+    vec, labels = df.select("sample_id", "vec"), df.select("sample_id", "grp")
+    near = lambda d: [r.z for r in P.distances_to_medians(d, labels, tolerance=0.02).orderBy("sample_id").collect()]
+    assert near(D.Distances(vec, "braycurtis")) == pytest.approx(near(D.distance_pairs(vec, "braycurtis")))
