@@ -122,3 +122,20 @@ def test_dispersion_without_pair_rows(spark, monkeypatch):
     vec, labels = df.select("sample_id", "vec"), df.select("sample_id", "grp")
     near = lambda d: [r.z for r in P.distances_to_medians(d, labels, tolerance=0.02).orderBy("sample_id").collect()]
     assert near(D.Distances(vec, "braycurtis")) == pytest.approx(near(D.distance_pairs(vec, "braycurtis")))
+
+
+@pytest.mark.parametrize("cell", [2048, 4])
+def test_gower_rows(spark, monkeypatch, cell):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ordination as O
+
+    monkeypatch.setattr(D, "CELL_ROWS", cell)
+    x = np.abs(np.random.default_rng(9).normal(4, 2, (11, 3)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist()), (11, None)]
+    df = spark.createDataFrame(rows, "sample_id long, vec array<double>")
+    b = O.gower(D.distance_pairs(df, "braycurtis"), df.select("sample_id"))
+    want = b.groupBy("i").agg(F.sum(F.col("b") * F.col("b")).alias("s"), F.max(F.when(F.col("i") == F.col("j"), F.col("b"))).alias("d")).orderBy("i").collect()
+    got = O.gower_rows(D.Distances(df, "braycurtis"), df.select("sample_id")).orderBy("i").collect()
+    assert [r.i for r in got] == [r.i for r in want] == list(range(12))
+    assert [r.sum_b2 for r in got] == pytest.approx([r.s for r in want]) and [r.diag for r in got] == pytest.approx([r.d for r in want])
