@@ -5,8 +5,10 @@ propose overlapping candidate spans (spelled-out or spaced e-mail addresses,
 any long group of digits, dotted numbers); boosted trees judge each candidate
 of a kind by its format and the words around it; a threshold per kind,
 calibrated on candidates that the trees have not seen, selects which are added.
-The trees learn from the corpus itself, on a bounded sample of documents
-(``fit_docs``).  Positives are base spans rewritten where they stand into forms
+The trees learn from the corpus itself, from every candidate of every document:
+equal descriptions are counted first, and each level of the trees then takes one
+pass that sums the counts' gradients by bin, so no task and no driver holds the
+candidates.  Positives are base spans rewritten where they stand into forms
 that the base patterns miss (spelled-out or spaced addresses, no leading plus,
 other separators, a card with another number beside it, with which the pattern
 takes it for one long number).  Negatives are the same forms with a check broken
@@ -30,7 +32,8 @@ import math
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +41,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut_lineage
+from tessera.operators.scan import running
+
 # Kinds in their listed order, and what the contract fixes about them (fixed values).
 KINDS = ("email", "ip", "card", "phone")
 CARD_DIGITS, PHONE_DIGITS, OCTET = (14, 19), (10, 15), 255
@@ -172,6 +178,25 @@ def describe(text: str, span: Span) -> list[float]:
 # ---- boosted trees
 
 BINS = 32
+#: Gradients are summed as whole multiples of its inverse, so that their order doesn't matter.
+UNIT = 1 << 30
+#: Distinct descriptions that a task counts at once, and of one partition of a pass.
+FLUSH, PASS_ROWS = 1 << 16, 1 << 16
+
+
+def _binned(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
+
+
+def _node(feature: np.ndarray, split: np.ndarray, binned: np.ndarray) -> np.ndarray:
+    """The node of one tree at which each row ends."""
+    at, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    while True:
+        inner = feature[at] >= 0
+        if not inner.any():
+            return at
+        right = binned[rows, np.maximum(feature[at], 0)] > split[at]
+        at = np.where(inner, 2 * at + 1 + right, at)
 
 
 @dataclass
@@ -185,58 +210,99 @@ class Trees:
     base: float
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)])
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
-        for f, s, v in zip(self.feature, self.split, self.value):
-            at = np.zeros(len(x), np.int64)
-            while True:
-                inner = f[at] >= 0
-                if not inner.any():
-                    break
-                right = binned[rows, np.maximum(f[at], 0)] > s[at]
-                at = np.where(inner, 2 * at + 1 + right, at)
-            out += v[at]
+        return self.summed(_binned(self.edges, x), len(self.feature))
+
+    def summed(self, binned: np.ndarray, count: int) -> np.ndarray:
+        """The log-odds by the first ``count`` trees."""
+        out = np.full(len(binned), self.base)
+        for f, s, v in zip(self.feature[:count], self.split[:count], self.value[:count]):
+            out += v[_node(f, s, binned)]
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.25, ridge: float = 1.0) -> Trees:
-    """Gradient boosting for the logistic loss on binned features, split by second-order gain."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-    binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    base = math.log(share / (1 - share))
-    nodes = 2 ** (depth + 1) - 1
-    feature, split, value = (np.full((rounds, nodes), v) for v in (-1, 0, 0.0))
-    score = np.full(len(y), base)
+def no_trees(edges: list[np.ndarray], share: float, rounds: int = 40, depth: int = 3) -> Trees:
+    """Trees of a leaf each, for a kind of which ``share`` is positive."""
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    feature, split, value = (np.full((rounds, 2 ** (depth + 1) - 1), v) for v in (-1, 0, 0.0))
+    return Trees(edges, feature, split, value, math.log(share / (1 - share)))
+
+
+#: Kind, bins, and how many positive and negative candidates have them.
+Block = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+#: Per kind (count, gradient, curvature) x nodes of a level x features x bins.
+Sums = dict[int, np.ndarray]
+
+
+def level_sums(blocks: Iterator[Block], trees: Mapping[int, Trees], r: int, level: int) -> Sums:
+    """What one level of round ``r`` needs to know of the blocks."""
+    out: Sums = {}
+    first, size = 2**level - 1, 2**level
+    for kind, binned, pos, neg in blocks:
+        t = trees[kind]
+        at = _node(t.feature[r], t.split[r], binned) - first
+        use = at >= 0
+        at, binned, pos, n = at[use], binned[use], pos[use], (pos + neg)[use]
+        p = 1 / (1 + np.exp(-t.summed(binned, r)))
+        g, h = n * p - pos, n * np.maximum(p * (1 - p), 1e-6)
+        rows = n, np.rint(g * UNIT).astype(np.int64), np.rint(h * UNIT).astype(np.int64)
+        own = out.setdefault(kind, np.zeros((3, size, binned.shape[1], BINS), np.int64))
+        for j in range(binned.shape[1]):
+            for total, v in zip(own, rows):
+                np.add.at(total, (at, j, binned[:, j]), v)
+    return out
+
+
+def merged(a: Sums, b: Sums) -> Sums:
+    return {k: a[k] + b[k] if k in a and k in b else a[k] if k in a else b[k] for k in {*a, *b}}
+
+
+def grow(trees: Mapping[int, Trees], sums_of: Callable[[Mapping[int, Trees], int, int], Sums], rate: float = 0.25, ridge: float = 1.0) -> None:
+    """Gradient boosting for the logistic loss on binned features, split by second-order gain; all kinds at once, level by level."""
+    rounds, nodes = next(iter(trees.values())).feature.shape
     for r in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
-        at = np.zeros(len(y), np.int64)
-        for node in range(nodes):
-            rows = np.flatnonzero(at == node)
-            if not len(rows):
-                continue
-            total_g, total_h = g[rows].sum(), h[rows].sum()
-            value[r, node] = -rate * total_g / (total_h + ridge)
-            if node >= nodes // 2 or len(rows) < 8:
-                continue
-            best, where = 1e-6, None
-            for j in range(x.shape[1]):
-                left_g = np.cumsum(np.bincount(binned[rows, j], g[rows], BINS))[:-1]
-                left_h = np.cumsum(np.bincount(binned[rows, j], h[rows], BINS))[:-1]
-                gain = (
-                    left_g**2 / (left_h + ridge)
-                    + (total_g - left_g) ** 2 / (total_h - left_h + ridge)
-                    - total_g**2 / (total_h + ridge)
-                )
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, where = float(gain[k]), (j, k)
-            if where:
-                feature[r, node], split[r, node] = where
-                at[rows] = 2 * node + 1 + (binned[rows, where[0]] > where[1])
-        score += value[r, at]
-    return Trees(edges, feature, split, value, base)
+        for level in range((nodes + 1).bit_length() - 2):
+            more = False
+            for kind, sums in sums_of(trees, r, level).items():
+                t = trees[kind]
+                for i in range(2**level):
+                    node, n = 2**level - 1 + i, sums[0, i, 0].sum()
+                    if not n:
+                        continue
+                    total_g, total_h = sums[1:, i, 0].sum(-1) / UNIT
+                    t.value[r, node] = -rate * total_g / (total_h + ridge)
+                    if n < 8:
+                        continue
+                    left_g, left_h = sums[1:, i].cumsum(-1)[..., :-1] / UNIT
+                    right_g, right_h = total_g - left_g, total_h - left_h
+                    gain = left_g**2 / (left_h + ridge) + right_g**2 / (right_h + ridge) - total_g**2 / (total_h + ridge)
+                    j, k = np.unravel_index(gain.argmax(), gain.shape)
+                    if gain[j, k] > 1e-6:
+                        t.feature[r, node], t.split[r, node], more = j, k, True
+                        t.value[r, 2 * node + 1] = -rate * left_g[j, k] / (left_h[j, k] + ridge)
+                        t.value[r, 2 * node + 2] = -rate * right_g[j, k] / (right_h[j, k] + ridge)
+            if not more:
+                break
+
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.25, ridge: float = 1.0) -> Trees:
+    """The trees of rows at hand, one kind."""
+    ones = np.ones(len(x), np.int64)
+    edges = [quantiles(x[:, j], ones) for j in range(x.shape[1])]
+    out = no_trees(edges, float(y.mean()), rounds, depth)
+    pos = y.astype(np.int64)
+    block = 0, _binned(edges, x), pos, 1 - pos
+    grow({0: out}, lambda trees, r, level: level_sums(iter([block]), trees, r, level), rate, ridge)
+    return out
+
+
+def quantiles(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Borders of equally full bins of values found ``n`` times each."""
+    order = np.argsort(values, kind="stable")
+    values, upto = values[order], np.cumsum(n[order])
+    place = np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1)
+    low = np.floor(place).astype(np.int64)
+    a, b = (values[np.searchsorted(upto, np.minimum(k, upto[-1] - 1), side="right")] for k in (low, low + 1))
+    return np.unique(a + (b - a) * (place - low))
 
 
 def calibrate(log_odds: np.ndarray, y: np.ndarray, precision: float) -> float:
@@ -253,22 +319,6 @@ class Model:
     threshold: list[float]
 
 
-def fit(rows: np.ndarray, kinds: np.ndarray, y: np.ndarray, part: np.ndarray, precision: float) -> Model:
-    """One ensemble per kind; every third document's candidates calibrate its threshold."""
-    trees, threshold = [], []
-    for k in range(len(KINDS)):
-        own, held = kinds == k, part % 3 == 0
-        a, b = own & ~held, own & held
-        if a.sum() < 30 or b.sum() < 15 or len(set(y[a].tolist())) < 2:
-            trees.append(None)
-            threshold.append(math.inf)
-            continue
-        t = boost(rows[a], y[a])
-        trees.append(t)
-        threshold.append(calibrate(t.log_odds(rows[b]), y[b], precision))
-    return Model(trees, threshold)
-
-
 def valid(s: str, kind: int) -> bool:
     """Whether a candidate passes what can be checked of its kind."""
     digits = _NOT_DIGIT.sub("", s)
@@ -318,8 +368,8 @@ def beside(s: str, draw: int) -> list[tuple[tuple[str, str], float]]:
     return [((digits, other), 1.0), ((broken, other), 0.0)]
 
 
-def labelled(text: str, per_doc: int) -> list[tuple[int, float, list[float]]]:
-    """(kind, label, description) of a text's rewritten spans, broken ones and its own candidates."""
+def labelled(text: str, per_doc: int | None = None) -> list[tuple[int, float, list[float]]]:
+    """(kind, label, description) of a text's rewritten spans, broken ones and its own candidates; with ``per_doc`` of some of them."""
     base, out = base_spans(text), []
     own = []
     starts, ends = [s for s, _, _ in base], np.maximum.accumulate([e for _, _, e in base]) if base else []
@@ -332,9 +382,10 @@ def labelled(text: str, per_doc: int) -> list[tuple[int, float, list[float]]]:
         said = text[c[0] : c[2]]
         if not (valid(said, c[1]) and (c[1] == 2 and card_like(said) or x[20 + c[1]] > 0)):
             own.append((c[1], 0.0, x))
-    step = max(1, math.ceil(len(own) / per_doc))  # from the whole text, not its beginning
-    out += own[::step]
-    for a, kind, b in base[:: max(1, math.ceil(len(base) / per_doc))]:
+    # a sample is from the whole text, not its beginning
+    own_step, step = (max(1, math.ceil(len(v) / per_doc)) if per_doc else 1 for v in (own, base))
+    out += own[::own_step]
+    for a, kind, b in base[::step]:
         draw = zlib.crc32(f"{a}:{text[a:b]}".encode("utf-8", "surrogatepass"))
         left, right = text[max(0, a - 80) : a], text[b : b + 80]
         for form, y in zip(rewritten(text[a:b], kind, draw), (1.0, 0.0)):
@@ -351,7 +402,7 @@ def labelled(text: str, per_doc: int) -> list[tuple[int, float, list[float]]]:
 
 
 def sample_candidates(docs: DataFrame, fit_docs: int, per_doc: int) -> pd.DataFrame:
-    """Described and labelled candidates of at most ``fit_docs`` documents, ``per_doc`` of each."""
+    """Described and labelled candidates of at most ``fit_docs`` documents, ``per_doc`` of each, to look at: nothing is learnt from them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -370,10 +421,93 @@ def sample_candidates(docs: DataFrame, fit_docs: int, per_doc: int) -> pd.DataFr
     return got.sort_values(["part", "kind", "y"], kind="stable", ignore_index=True)
 
 
-def train(docs: DataFrame, fit_docs: int = 20_000, per_doc: int = 50, precision: float = 0.995) -> Model:
-    got = sample_candidates(docs, fit_docs, per_doc)
-    x = np.array(got["x"].tolist(), float).reshape(len(got), FEATURES)
-    return fit(x, got["kind"].to_numpy(), got["y"].to_numpy(), got["part"].to_numpy(), precision)
+def counted_candidates(docs: DataFrame) -> DataFrame:
+    """(kind, held, x, pos, neg): how many candidates of all documents have a description, by label; every third document's are held out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+
+        def drain() -> pd.DataFrame:
+            rows = [(kind, held, x, n if y else 0, 0 if y else n) for (kind, held, y, x), n in seen.items()]
+            seen.clear()
+            return pd.DataFrame(rows, columns=["kind", "held", "x", "pos", "neg"])
+
+        for b in batches:
+            for part, text in zip(b["part"], b["text"]):
+                seen.update((kind, part % 3 == 0, y > 0, tuple(x)) for kind, y, x in labelled(text or ""))
+                if len(seen) >= FLUSH:
+                    yield drain()
+        yield drain()
+
+    parts = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(997)).alias("part"), "text")
+    each = parts.mapInPandas(run, "kind int, held boolean, x array<double>, pos long, neg long")
+    return each.groupBy("kind", "held", "x").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _blocks(rows: DataFrame, trees: Mapping[int, Trees]) -> DataFrame:
+    """Counted candidates as (kind, bins, pos, neg) of many each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for kind, own in b.groupby("kind"):
+                bins = _binned(trees[kind].edges, np.array(own["x"].tolist(), float).reshape(len(own), FEATURES))
+                out.append((kind, bins.astype(np.uint8).tobytes(), own["pos"].to_numpy(np.int64).tobytes(), own["neg"].to_numpy(np.int64).tobytes()))
+            yield pd.DataFrame(out, columns=["kind", "bins", "pos", "neg"])
+
+    return rows.mapInPandas(run, "kind int, bins binary, pos binary, neg binary")
+
+
+def _unpacked(row) -> Block:
+    kind, bins, pos, neg = row
+    return kind, np.frombuffer(bins, np.uint8).reshape(-1, FEATURES).astype(np.int64), np.frombuffer(pos, np.int64), np.frombuffer(neg, np.int64)
+
+
+def _thresholds(rows: DataFrame, trees: Mapping[int, Trees], precision: float) -> dict[int, float]:
+    """Per kind what ``calibrate`` finds on all held-out candidates, equal log-odds taken together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind, own in b.groupby("kind"):
+                x = np.array(own["x"].tolist(), float).reshape(len(own), FEATURES)
+                yield pd.DataFrame({"kind": kind, "score": trees[kind].log_odds(x), "pos": own["pos"], "n": own["pos"] + own["neg"]})
+
+    scored = rows.mapInPandas(run, "kind int, score double, pos long, n long")
+    scored = scored.groupBy("kind", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    upto = running(scored, ["kind"], [F.desc("score")], {"hits": ("sum", F.col("pos")), "found": ("sum", F.col("n"))})
+    good = upto.filter((F.col("hits") >= precision * F.col("found")) & (F.col("found") >= 5))
+    return {r.kind: r.score for r in good.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+
+
+def train(docs: DataFrame, precision: float = 0.995) -> Model:
+    """One ensemble per kind, from all candidates of all documents; the held-out ones set its threshold."""
+    seen = cut_lineage(counted_candidates(docs))
+    size, enough = 0, {}
+    counts = seen.groupBy("kind").pivot("held", [False, True]).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("rows"))
+    for r in counts.na.fill(0).collect():
+        pos, neg = r.false_pos, r.false_neg
+        if pos + neg >= 30 and pos and neg and r.true_pos + r.true_neg >= 15:
+            enough[r.kind] = pos / (pos + neg)
+            size += r.false_rows
+    if not enough:
+        return Model([None] * len(KINDS), [math.inf] * len(KINDS))
+    fitted = seen.filter(F.col("kind").isin([*enough]))
+    shown = fitted.filter(~F.col("held"))
+    # what the generators propose is of bounded length, and so are the values of a feature
+    values = shown.select("kind", F.expr("pos + neg AS n"), F.posexplode("x").alias("j", "v")).groupBy("kind", "j", "v").agg(F.sum("n").alias("n")).toPandas()
+    trees = {}
+    for kind, own in values.groupby("kind"):
+        edges = [quantiles(f["v"].to_numpy(float), f["n"].to_numpy(np.int64)) for _, f in own.groupby("j")]
+        trees[int(kind)] = no_trees(edges, enough[kind])
+    blocks = cut_lineage(_blocks(shown.repartition(-(-size // PASS_ROWS)), trees)).rdd
+
+    def sums_of(trees: Mapping[int, Trees], r: int, level: int) -> Sums:
+        part = lambda rows: [level_sums(map(_unpacked, rows), trees, r, level)]
+        return blocks.mapPartitions(part).treeReduce(merged)
+
+    grow(trees, sums_of)
+    cuts = _thresholds(fitted.filter("held"), trees, precision)
+    return Model([trees.get(k) for k in range(len(KINDS))], [cuts.get(k, math.inf) for k in range(len(KINDS))])
 
 
 def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
