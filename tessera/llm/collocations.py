@@ -45,9 +45,9 @@ BLANKS = b" \t"
 LONGEST = 4
 #: Words whose ranks tasks hold as a dictionary.
 HOT = 1 << 19
-#: Distinct words, or windows, that a task sums at once.
+#: Distinct words, or windows, that a task sums at once; a window takes some 150 bytes while it is sorted.
 FLUSH = 1 << 19
-WINDOWS = 1 << 22
+WINDOWS = 1 << 20
 #: A pair of words is dealt on by its third one where each has this share of all words at least.
 SHARE = 1024
 
@@ -152,30 +152,39 @@ def _counted(w: np.ndarray) -> pd.DataFrame:
     return out
 
 
+def window_tables(batches: Iterator[pd.DataFrame], known: dict[str, dict[bytes, int]], whole: bool) -> Iterator[pd.DataFrame]:
+    """Counted windows of (lang, text) batches, about ``WINDOWS`` at a time."""
+    held, size = [], 0
+
+    def drain() -> pd.DataFrame:
+        nonlocal size
+        ids = np.concatenate(held)
+        held.clear()
+        size = 0
+        return _counted(cut_windows(ids))
+
+    for b in batches:
+        for lang, text in zip(b["lang"], b["text"]):
+            own = known.get(lang, {})
+            found = words_of(text)
+            ids = np.fromiter(map(own.get, found, repeat(END)), np.int64, len(found))
+            if not whole:
+                for k in np.flatnonzero(ids == END).tolist():
+                    if found[k] != _MARK:
+                        ids[k] = _hash_id(lang, found[k])
+            held.append(np.r_[ids, END])
+            size += len(ids)
+            del found, ids
+            if size >= WINDOWS:
+                yield drain()
+    if held:
+        yield drain()
+
+
 def windows(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """(w1, ..., w4, n): padded windows, summed within each task."""
     ranks, whole = words.ranks, words.whole
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = ranks.value
-        held, size = [], 0
-        for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
-                own = known.get(lang, {})
-                found = words_of(text)
-                ids = np.fromiter(map(own.get, found, repeat(END)), np.int64, len(found))
-                if not whole:
-                    for k in np.flatnonzero(ids == END).tolist():
-                        if found[k] != _MARK:
-                            ids[k] = _hash_id(lang, found[k])
-                held.append(np.r_[ids, END])
-                size += len(ids)
-                if size >= WINDOWS:
-                    yield _counted(cut_windows(np.concatenate(held)))
-                    held, size = [], 0
-        if held:
-            yield _counted(cut_windows(np.concatenate(held)))
-
+    run = lambda batches: window_tables(batches, ranks.value, whole)
     schema = ", ".join([*(f"{c} long" for c in _COLS), "n long"])
     return _texts(docs).mapInPandas(run, schema)
 
