@@ -139,3 +139,27 @@ def test_gower_rows(spark, monkeypatch, cell):
     got = O.gower_rows(D.Distances(df, "braycurtis"), df.select("sample_id")).orderBy("i").collect()
     assert [r.i for r in got] == [r.i for r in want] == list(range(12))
     assert [r.sum_b2 for r in got] == pytest.approx([r.s for r in want]) and [r.diag for r in got] == pytest.approx([r.d for r in want])
+
+
+def test_principal_coordinates_of_distances(spark, monkeypatch):
+    """No row per pair; many close eigenvalues, repeated ids, missing values and a full basis as from the table."""
+    from tessera.operators import ordination as O
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 30)) * np.array([4, 3] + [1] * 28)
+    df = vectors_of(spark, x)
+    z = x - x.mean(0)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    monkeypatch.setattr(D, "CELL_ROWS", 16)
+    monkeypatch.setattr(O, "BASIS", 30)
+    axes, explained = O.pcoa(D.Distances(df), df.select("sample_id"), rounds=60, tolerance=1e-6)
+    got = np.array(axes.orderBy("sample_id").toPandas()["axes"].tolist())
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-2)
+    assert np.allclose(explained, (s**2 / (s**2).sum())[:2], atol=1e-5)
+    monkeypatch.undo()
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x[:12, :3])] + [(3, [1.0] * 3), (None, [2.0] * 3), (50, None)]
+    odd = spark.createDataFrame(rows, "sample_id long, vec array<double>")
+    (a, ea), (b, eb) = (O.pcoa(d, odd.select("sample_id"), rounds=100, tolerance=1e-7) for d in (D.Distances(odd), D.distance_pairs(odd)))
+    assert np.allclose(ea, eb, atol=1e-6)
+    a, b = (np.abs(np.array(t.filter("sample_id is not null").orderBy("sample_id").toPandas()["axes"].tolist())) for t in (a, b))
+    assert a.shape == b.shape and np.allclose(a, b, atol=1e-3)
