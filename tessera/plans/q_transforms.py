@@ -14,7 +14,7 @@ from tessera.operators.splits import random_split, stratified_kfold, stratified_
 from tessera.operators.tokens import pool_tokens
 from tessera.plans.oracle_fixtures import with_fixtures
 from tessera.plans.registry import register
-from tessera.session import maybe_broadcast
+from tessera.session import cut_lineage, maybe_broadcast
 from tessera.sources import fixtures as fx
 from tessera.sources.tables import table
 
@@ -302,16 +302,15 @@ _POOL_SQL = """tok AS (
 def scl16_17_token_pooling(spark, sf):
     """Token per (sample, feature) = fusion(value, feature embedding), then the
     mean over features per sample (global average pooling), for the three
-    fusion modes, slope 1.  The feature-embedding matrix rides along as a
-    scalar, so pooling is row-local array math (no token table, no shuffle)."""
-    v = fx.a_vectors(spark, sf).select("sample_id", "features", C.closure(F.col("vec")).alias("vec"))
+    fusion modes, slope 1.  Every task has the feature-embedding matrix, so
+    pooling is a product per batch of rows (no token table, no shuffle)."""
+    v = cut_lineage(fx.a_vectors(spark, sf).select("sample_id", "features", C.closure(F.col("vec")).alias("vec")))
     emb = table(spark, sf, "embeddings").select(
         F.concat(F.lit("Brand#"), F.col("vec_id").cast("string")).alias("feature"), F.col("embedding").cast("array<double>").alias("e")
     )
     out = None
     for mode in ("scale", "add", "affine"):
-        cells = F.transform("pooled", lambda x, i: F.struct(i.alias("dim"), x.alias("value")))
-        p = pool_tokens(v, emb, mode).select("sample_id", F.lit(mode).alias("fusion"), F.inline(cells))
+        p = pool_tokens(v, emb, mode).select("sample_id", F.lit(mode).alias("fusion"), F.posexplode("pooled").alias("dim", "value"))
         p = p.select("sample_id", "fusion", F.col("dim").cast("bigint").alias("dim"), rnd(F.col("value")).alias("value"))
         out = p if out is None else out.unionByName(p)
     return out
