@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,13 @@ from tessera.session import cut_lineage
 #: Bins of a feature.
 BINS = 64
 #: Rows of a node that one task holds.
-NODE_ROWS = 1 << 15
+NODE_ROWS = 1 << 19
 #: Bytes of histograms that a task holds in one pass.
 HISTOGRAM_BYTES = 64 << 20
+#: Rows of trees that grow together.
+TOGETHER = 1 << 17
+#: Bytes of binned rows that tasks get whole.
+ROW_BYTES = 64 << 20
 #: Cumulative probabilities of a Poisson draw with mean 1, for 0 to 7 copies of a row.
 POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
 
@@ -88,6 +93,122 @@ def _drawn(seed: int, tree: tuple[int, int], node: int, features: int, share: in
     return np.random.default_rng([seed, *tree, node]).permutation(features)[:share]
 
 
+_U32, _LOW = np.uint32, np.uint64(0xFFFFFFFF)
+_STEP_HIGH, _STEP_LOW = np.uint64(0x2360ED051FC65DA4), np.uint64(0x4385DF649FCCF645)
+_STEP = _STEP_LOW & _LOW, _STEP_LOW >> np.uint64(32)
+
+
+def _words(value: int) -> list[int]:
+    out = [value & 0xFFFFFFFF]
+    while value := value >> 32:
+        out.append(value & 0xFFFFFFFF)
+    return out
+
+
+def _seeded(entropy: list[np.ndarray]) -> list[np.ndarray]:
+    """The eight words that ``SeedSequence`` makes of each column of 32-bit words."""
+    const = 0x43B0D7E5
+
+    def hashed(v: np.ndarray) -> np.ndarray:
+        nonlocal const
+        v = v ^ _U32(const)
+        const = const * 0x931E8875 & 0xFFFFFFFF
+        v = v * _U32(const)
+        return v ^ (v >> _U32(16))
+
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        r = a * _U32(0xCA01F9DD) - b * _U32(0x4973F715)
+        return r ^ (r >> _U32(16))
+
+    zero = np.zeros_like(entropy[-1])
+    pool = [hashed(entropy[i] if i < len(entropy) else zero) for i in range(4)]
+    for src in range(4):
+        for dst in range(4):
+            if src != dst:
+                pool[dst] = mixed(pool[dst], hashed(pool[src]))
+    for more in entropy[4:]:
+        for dst in range(4):
+            pool[dst] = mixed(pool[dst], hashed(more))
+    const, out = 0x8B51F9DD, []
+    for i in range(8):
+        v = pool[i % 4] ^ _U32(const)
+        const = const * 0x58F38DED & 0xFFFFFFFF
+        v = v * _U32(const)
+        out.append(v ^ (v >> _U32(16)))
+    return out
+
+
+def _stepped(low: np.ndarray, high: np.ndarray, inc_low: np.ndarray, inc_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """state x multiplier + inc; numbers of 128 bits are two of 64."""
+    half = np.uint64(32)
+    a, b = low & _LOW, low >> half
+    c, d = b * _STEP[0], a * _STEP[1]
+    middle = (a * _STEP[0] >> half) + (c & _LOW) + (d & _LOW)
+    up = b * _STEP[1] + (c >> half) + (d >> half) + (middle >> half)
+    up += low * _STEP_HIGH + high * _STEP_LOW + inc_high
+    out = low * _STEP_LOW + inc_low
+    up += out < inc_low
+    return out, up
+
+
+#: Nodes whose draws are made at once.
+DRAWS = 1 << 14
+
+
+def drawn_of_level(seed: int, tree: tuple[np.ndarray | int, int], numbers: np.ndarray, features: int, share: int) -> np.ndarray:
+    """:func:`_drawn` of many nodes at once, by the same generator step by step; ``numbers`` has the
+    32-bit words of each node's number, the lowest first, and the target may be one for each node."""
+    count = numbers.shape[1]
+    if count > DRAWS:
+        parts = [slice(k, k + DRAWS) for k in range(0, count, DRAWS)]
+        return np.concatenate([drawn_of_level(seed, (tree[0] if np.ndim(tree[0]) == 0 else tree[0][at], tree[1]), numbers[:, at], features, share) for at in parts])
+    fill = lambda v: [np.full(count, w, np.uint32) for w in _words(v)]
+    target = fill(tree[0]) if np.ndim(tree[0]) == 0 else [tree[0].astype(np.uint32)]
+    words = [w.astype(np.uint64) for w in _seeded([*fill(seed), *target, *fill(tree[1]), *numbers])]
+    # the start and the increment, the high half of each first
+    start_high, start_low, way_high, way_low = (words[k] | words[k + 1] << np.uint64(32) for k in (0, 2, 4, 6))
+    one = np.uint64(1)
+    inc_low, inc_high = way_low << one | one, way_high << one | way_low >> np.uint64(63)
+    low = inc_low + start_low  # a step from 0 is the increment
+    low, high = _stepped(low, inc_high + start_high + (low < inc_low), inc_low, inc_high)
+    kept, has = np.zeros(count, np.uint64), np.zeros(count, bool)
+    order = np.tile(np.arange(features), (count, 1))
+    for i in range(features - 1, 0, -1):
+        mask = np.uint64((1 << i.bit_length()) - 1)
+        j, todo = np.zeros(count, np.int64), np.arange(count)
+        while len(todo):
+            old = has[todo]
+            value = kept[todo]
+            new = todo[~old]
+            if len(new):
+                now, up = _stepped(*((v[new] for v in (low, high, inc_low, inc_high)) if len(new) < count else (low, high, inc_low, inc_high)))
+                low[new], high[new] = now, up
+                turn = up >> np.uint64(58)
+                mixed = now ^ up
+                out = mixed >> turn | mixed << ((np.uint64(64) - turn) & np.uint64(63))
+                value[~old] = out & _LOW
+                kept[new] = out >> np.uint64(32)
+            has[todo] = ~old
+            value = value & mask
+            fine = value <= np.uint64(i)
+            j[todo[fine]] = value[fine].astype(np.int64)
+            todo = todo[~fine]
+        at = np.arange(count)
+        order[at, i], order[at, j] = order[at, j], order[at, i].copy()
+    return order[:, :share]
+
+
+def _children(numbers: np.ndarray) -> np.ndarray:
+    """Words of 2 n and 2 n + 1 of every number, one after the other."""
+    up = numbers << _U32(1)
+    up[1:] |= numbers[:-1] >> _U32(31)
+    if (numbers[-1] >> _U32(31)).any():
+        up = np.vstack([up, numbers[-1:] >> _U32(31)])
+    out = np.repeat(up, 2, axis=1)
+    out[0, 1::2] |= _U32(1)
+    return out
+
+
 def _best(hist: np.ndarray) -> tuple[float, int, int] | None:
     """(gain, feature position, bin) of the best split of a (2, features, bins) histogram of counts and sums."""
     n, s = hist[0].cumsum(axis=1), hist[1].cumsum(axis=1)
@@ -107,67 +228,118 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, share: int, seed: int, tre
     ``root`` numbers the root among the nodes of the whole tree (children of i are
     2 i and 2 i + 1), which seeds the draws of its features.
     """
+    return grow_all(x, y[:, None], w, share, seed, [tree[0]], tree[1], root)[0]
+
+
+def grow_all(x: np.ndarray, ys: np.ndarray, w: np.ndarray, share: int, seed: int, targets: list[int], k: int, root: int = 1) -> list[Tree]:
+    """The trees ``k`` of some targets, level by level together: only the draws are made for all at once."""
+    growing = [_growing(x, np.ascontiguousarray(ys[:, t]), w, share, root) for t in range(ys.shape[1])]
+    out: list[Tree | None] = [None] * len(growing)
+    asked = {}
+    for t, g in enumerate(growing):
+        try:
+            asked[t] = next(g)
+        except StopIteration as end:
+            out[t] = end.value
+    while asked:
+        numbers = list(asked.values())  # nodes of one level have numbers of one length
+        target = np.repeat(np.array([targets[t] for t in asked]), [n.shape[1] for n in numbers])
+        picked = drawn_of_level(seed, (target, k), np.hstack(numbers), x.shape[1], share)
+        start, nxt = 0, {}
+        for t, n in asked.items():
+            try:
+                nxt[t] = growing[t].send(picked[start : start + n.shape[1]])
+            except StopIteration as end:
+                out[t] = end.value
+            start += n.shape[1]
+        asked = nxt
+    return out
+
+
+def _growing(x: np.ndarray, y: np.ndarray, w: np.ndarray, share: int, root: int) -> Generator[np.ndarray, np.ndarray, Tree]:
+    """Grows a tree; yields the numbers of a level's nodes to be split, gets their features."""
     p = x.shape[1]
-    feature, cut, left, right, value = [-1], [0], [0], [0], [0.0]
+    feature, cut, left, value = [], [], [], []  # by level
     spot = np.zeros(len(y), np.int64)  # each row's place among the nodes of the level
     rows = np.arange(len(y))
-    level, numbers = [0], [root]
+    numbers, made = np.array([[w] for w in _words(root)], np.uint32), 0
     while len(rows):
-        count = len(level)
+        count = numbers.shape[1]
         wn, ws = np.bincount(spot, w[rows], count), np.bincount(spot, w[rows] * y[rows], count)
         low, high = np.full(count, np.inf), np.full(count, -np.inf)
         np.minimum.at(low, spot, y[rows])
         np.maximum.at(high, spot, y[rows])
-        for k, node in enumerate(level):
-            value[node] = ws[k] / wn[k]
-        best = [None] * count
-        open_ = np.flatnonzero(high > low)
+        split_f, split_b = np.full(count, -1), np.zeros(count, np.int64)
         for wide in (False, True):
-            todo = open_ if not wide else np.array([k for k in open_ if best[k] is None], np.int64)
+            todo = np.flatnonzero((high > low) & (split_f < 0))
             if not len(todo) or (wide and share >= p):
                 continue
             m = p if wide else share
-            picked = np.stack([np.arange(p) if wide else _drawn(seed, tree, numbers[k], p, share) for k in todo])
+            picked = np.tile(np.arange(p), (len(todo), 1)) if wide else (yield numbers[:, todo])
             place = np.full(count, -1)
             place[todo] = np.arange(len(todo))
             mine = place[spot] >= 0
-            r, a = rows[mine], place[spot[mine]]
-            for k, found in zip(todo.tolist(), _level_splits(x, y, w, r, a, picked, m)):
-                best[k] = found
-        goes_left = np.zeros(len(rows), bool)
-        child = np.full(count, -1)
-        new_level, new_numbers = [], []
-        split_f, split_b = np.zeros(count, np.int64), np.zeros(count, np.int64)
-        for k in range(count):
-            if best[k] is None:
-                continue
-            node = level[k]
-            split_f[k], split_b[k] = best[k]
-            feature[node], cut[node] = best[k]
-            left[node], right[node] = len(feature), len(feature) + 1
-            for side in (0, 1):
-                feature.append(-1)
-                cut.append(0)
-                left.append(0)
-                right.append(0)
-                value.append(0.0)
-            child[k] = len(new_level)
-            new_level += [left[node], right[node]]
-            new_numbers += [2 * numbers[k], 2 * numbers[k] + 1]
-        stays = child[spot] >= 0
+            split_f[todo], split_b[todo] = _level_splits(x, y, w, rows[mine], place[spot[mine]], picked, m)
+        split = split_f >= 0
+        child = np.cumsum(split) - 1  # the place of a node's children is twice this
+        feature.append(split_f)
+        cut.append(split_b)
+        left.append(np.where(split, made + count + 2 * child, 0))
+        value.append(ws / wn)
+        made += count
+        stays = split[spot]
         rows, spot = rows[stays], spot[stays]
         goes_left = x[rows, split_f[spot]] <= split_b[spot]
-        spot = child[spot] + np.where(goes_left, 0, 1)
-        level, numbers = new_level, new_numbers
-    return Tree(*[np.array(v) for v in (feature, cut, left, right)], np.array(value, float))
-
-
-def _level_splits(x, y, w, r, a, picked, m) -> list[tuple[int, int] | None]:
-    """(feature, bin) of the best split of each node; rows ``r`` lie in nodes ``a``."""
+        spot = 2 * child[spot] + np.where(goes_left, 0, 1)
+        numbers = _children(numbers[:, split])
+    if not made:
+        return Tree(np.array([-1]), np.array([0]), np.array([0]), np.array([0]), np.array([0.0]))
+    feature, cut, left, value = (np.concatenate(v) for v in (feature, cut, left, value))
+    return Tree(feature, cut, left, np.where(feature >= 0, left + 1, 0), value)
+
+
+#: Cells (rows x features) of a level that are sorted at once; nodes of many rows are added up by bins.
+LEVEL_CELLS = 1 << 21
+
+
+def _level_splits(x, y, w, r, a, picked, m) -> tuple[np.ndarray, np.ndarray]:
+    """(features, bins) of the best split of each node, -1 where there is none; rows ``r`` lie in nodes ``a``."""
+    if len(r) * m <= LEVEL_CELLS:
+        return _sorted_splits(x, y, w, r, a, picked, m)
+    f, b = np.full(len(picked), -1), np.zeros(len(picked), np.int64)
+    order = np.argsort(a, kind="stable")
+    r, a = r[order], a[order]
+    ends = np.cumsum(np.bincount(a, minlength=len(picked)))
+    start, node = 0, 0
+    while node < len(picked):
+        if (ends[node] - start) * m > LEVEL_CELLS // 8:
+            f[node], b[node] = _summed_split(x, y, w, r[start : ends[node]], picked[node])
+            start, node = ends[node], node + 1
+            continue
+        last = max(int(np.searchsorted(ends, start + LEVEL_CELLS // m, "right")), node + 1)
+        at = slice(start, ends[last - 1])
+        f[node:last], b[node:last] = _sorted_splits(x, y, w, r[at], a[at] - node, picked[node:last], m)
+        start, node = ends[last - 1], last
+    return f, b
+
+
+def _summed_split(x, y, w, r, picked) -> tuple[int, int]:
+    hist = np.zeros((2, len(picked), BINS))
+    wr, ws = w[r].astype(float), w[r] * y[r]
+    for k, f in enumerate(picked):
+        bins = x[r, f]
+        hist[0, k], hist[1, k] = np.bincount(bins, wr, BINS), np.bincount(bins, ws, BINS)
+    found = _best(hist)
+    return (int(picked[found[1]]), found[2]) if found else (-1, 0)
+
+
+def _sorted_splits(x, y, w, r, a, picked, m) -> tuple[np.ndarray, np.ndarray]:
     nodes = len(picked)
     key = ((a[:, None] * m + np.arange(m)) * BINS + x[r[:, None], picked[a]]).ravel()
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    # a sort of (key, place) in one number: equal keys stay in their order
+    bits = max(len(key) - 1, 1).bit_length()
+    both = np.sort(key << bits | np.arange(len(key)))
+    key, order = both >> bits, both & ((1 << bits) - 1)
     wn = np.repeat(w[r], m)[order].astype(float)
     ws = np.repeat(w[r] * y[r], m)[order]
     end = np.flatnonzero(np.r_[key[1:] != key[:-1], True])  # last row of each bin
@@ -189,12 +361,10 @@ def _level_splits(x, y, w, r, a, picked, m) -> list[tuple[int, int] | None]:
     top = np.maximum.reduceat(gain, start)
     hit = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[start, len(node)])))
     chosen = hit[np.unique(node[hit], return_index=True)[1]]
-    out: list[tuple[int, int] | None] = [None] * nodes
-    for c in chosen.tolist():
-        if np.isfinite(gain[c]):
-            k = int(node[c])
-            out[k] = (int(picked[k, seg[c] % m]), int(key[end[c]] % BINS))
-    return out
+    chosen = chosen[np.isfinite(gain[chosen])]
+    f, b, k = np.full(nodes, -1), np.zeros(nodes, np.int64), node[chosen]
+    f[k], b[k] = picked[k, seg[chosen] % m], key[end[chosen]] % BINS
+    return f, b
 
 
 @dataclass
@@ -247,45 +417,83 @@ def fit_forests(
     while large:
         large = _split_large(data, large, tops, cuts, drawn, seed, node_rows)
     if not tops:
-        return Forests(cut_lineage(_whole_trees(data, cuts, drawn, seed)), tops, cuts, targets, trees)
+        return Forests(_whole_trees(data, cuts, drawn, seed, trees), tops, cuts, targets, trees)
     shared = spark.sparkContext.broadcast(pickle.dumps(tops))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pickle.loads(shared.value)
         for b in batches:
             xb, ys, ws = binned(_matrix(b["x"]), cuts), _matrix(b["y"]), _matrix(b["w"])
-            raw = [r.tobytes() for r in xb]
             for k in range(trees):
                 at = np.flatnonzero(ws[:, k] > 0)
                 for t in range(targets):
                     node = _top_leaves(own, (t, k), xb[at])
-                    yield pd.DataFrame({"target": t, "tree": k, "node": node, "x": [raw[i] for i in at.tolist()], "y": ys[at, t], "w": ws[at, k]})
+                    order = np.argsort(node, kind="stable")
+                    names, first = np.unique(node[order], return_index=True)
+                    parts = np.split(at[order], first[1:])
+                    blobs = {"x": [xb[i].tobytes() for i in parts], "y": [ys[i, t].tobytes() for i in parts], "w": [ws[i, k].astype(np.uint8).tobytes() for i in parts]}
+                    yield pd.DataFrame({"target": t, "tree": k, "node": names, **(blobs if len(at) else {c: [] for c in "xyw"})})
 
     def one(d: pd.DataFrame) -> pd.DataFrame:
         t, k, node = (int(d[c].iloc[0]) for c in ("target", "tree", "node"))
-        xb = np.frombuffer(b"".join(d["x"]), np.uint8).reshape(len(d), -1)
-        grown = grow(xb, d["y"].to_numpy(float), d["w"].to_numpy(float), drawn, seed, (t, k), node)
-        return pd.DataFrame({"target": [t], "tree": [k], "node": [node], "blob": [pickle.dumps(grown)]})
+        xb, y, w = _unpacked(d["x"], d["y"], d["w"], 1, p)
+        grown = grow(xb, y[:, 0], w, drawn, seed, (t, k), node)
+        return pd.DataFrame({"target": [t], "tree": [k], "node": [node], "blob": [_packed_tree(grown)]})
 
-    dealt = data.mapInPandas(deal, "target int, tree int, node long, x binary, y double, w double")
+    dealt = data.mapInPandas(deal, "target int, tree int, node long, x binary, y binary, w binary")
     grown = dealt.groupBy("target", "tree", "node").applyInPandas(one, "target int, tree int, node long, blob binary")
-    return Forests(cut_lineage(grown), tops, cuts, targets, trees)
+    return Forests(grown, tops, cuts, targets, trees)
+
 
+def _unpacked(x, y, w, targets: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, targets and weights of the rows in lists of bytes."""
+    w = np.frombuffer(b"".join(w), np.uint8).astype(float)
+    return np.frombuffer(b"".join(x), np.uint8).reshape(len(w), p), np.frombuffer(b"".join(y)).reshape(len(w), targets), w
 
-def _whole_trees(data: DataFrame, cuts: list[np.ndarray], drawn: int, seed: int) -> DataFrame:
-    """Every target's trees where a tree's rows fit into one task: the rows travel once a tree."""
+
+def _packed_tree(t: Tree) -> bytes:
+    """``right`` is one behind ``left``."""
+    return pickle.dumps((t.feature.astype(np.int16), t.bin.astype(np.uint8), t.left.astype(np.int32), t.value))
+
+
+def _unpacked_tree(blob: bytes) -> Tree:
+    feature, cut, left, value = pickle.loads(blob)
+    return Tree(feature, cut, left, left + 1, value)
+
+
+def _whole_trees(data: DataFrame, cuts: list[np.ndarray], drawn: int, seed: int, trees: int) -> DataFrame:
+    """Every target's trees where a tree's rows fit into one task: the rows travel once a tree, as bytes."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            xb, ys, ws = binned(_matrix(b["x"]), cuts), _matrix(b["y"]), _matrix(b["w"])
+            parts = [np.flatnonzero(ws[:, k] > 0) for k in range(trees)]
+            yield pd.DataFrame({
+                "k": range(trees), "targets": ys.shape[1], "x": [xb[i].tobytes() for i in parts], "y": [ys[i].tobytes() for i in parts],
+                "w": [ws[i, k].astype(np.uint8).tobytes() for k, i in enumerate(parts)],
+            })
 
     def one(d: pd.DataFrame) -> pd.DataFrame:
-        k = int(d["k"].iloc[0])
+        k, targets = int(d["k"].iloc[0]), int(d["targets"].iloc[0])
         # sums of squares depend on the order of rows only in the last bits, but ties are settled by them
-        xb, ys, w = binned(_matrix(d["x"]), cuts), _matrix(d["y"]), d["w"].to_numpy(float)
+        xb, ys, w = _unpacked(d["x"], d["y"], d["w"], targets, len(cuts))
         order = np.lexsort((*ys.T, w))
         xb, ys, w = xb[order], ys[order], w[order]
-        blobs = [pickle.dumps(grow(xb, ys[:, t], w, drawn, seed, (t, k))) for t in range(ys.shape[1])]
+        # the targets that a batch grows together hold no more rows than one large one
+        some = max(1, TOGETHER // max(len(w), 1))
+        blobs = [_packed_tree(g) for t in range(0, targets, some) for g in grow_all(xb, ys[:, t : t + some], w, drawn, seed, list(range(t, min(t + some, targets))), k)]
         return pd.DataFrame({"target": range(len(blobs)), "tree": k, "node": 1, "blob": blobs})
 
-    picked = data.select("x", "y", F.posexplode("w").alias("k", "w")).filter("w > 0")
-    return picked.groupBy("k").applyInPandas(one, "target int, tree int, node long, blob binary")
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield pa.RecordBatch.from_pandas(one(pa.Table.from_batches(held).to_pandas()), out, preserve_index=False)
+
+    out = pa.schema([("target", pa.int32()), ("tree", pa.int32()), ("node", pa.int64()), ("blob", pa.binary())])
+    dealt = data.mapInPandas(deal, "k int, targets int, x binary, y binary, w binary")
+    return dealt.repartitionById(trees, "k").mapInArrow(grown, "target int, tree int, node long, blob binary")
 
 
 def _split_large(data, large, tops, cuts, drawn, seed, node_rows) -> list[tuple[int, int, int]]:
@@ -349,15 +557,19 @@ def _split_large(data, large, tops, cuts, drawn, seed, node_rows) -> list[tuple[
 def predict_forests(rows: DataFrame, forests: Forests, key: str = "sample_id", x: str = "x", out: str = "pred", block: int = 4096) -> DataFrame:
     """(key, out): the mean over each target's trees.
 
-    Rows meet each tree once: dealt into blocks, they are joined by number with the
-    groups of subtrees, and only sums per row and target leave a task.
+    Up to ``ROW_BYTES`` of binned rows go to the tasks that grow the trees, so no tree
+    is written or shuffled.  More rows meet each tree once: dealt into blocks, they are
+    joined by number with the groups of written subtrees.  Only sums per row and target leave a task.
     """
     spark = rows.sparkSession
     cuts, targets, trees = forests.cuts, forests.targets, forests.trees
+    kind, count = dict(rows.dtypes)[key], rows.count()
+    if count * max(len(cuts), 1) <= ROW_BYTES:
+        return _predict_where_grown(cut_lineage(rows.select(F.col(key).alias("id"), F.col(x).alias("x"))), forests).select(F.col("id").alias(key), F.col("pred").alias(out))
     shared = spark.sparkContext.broadcast(pickle.dumps(forests.tops))
-    blocks = max(1, -(-rows.count() // block))
+    blocks = max(1, -(-count // block))
     cells = rows.select(F.col(key).alias("id"), F.col(x).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    groups = forests.table.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    groups = cut_lineage(forests.table).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(d: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(f):
@@ -370,15 +582,58 @@ def predict_forests(rows: DataFrame, forests: Forests, key: str = "sample_id", x
             for node, blob in zip(subtrees["node"].tolist(), subtrees["blob"]):
                 mine = np.flatnonzero(at == node)
                 if len(mine):
-                    tree = pickle.loads(blob)
+                    tree = _unpacked_tree(blob)
                     total[mine, t] += tree.value[tree.leaves(xb[mine])]
         return pd.DataFrame({"id": d["id"], "pred": list(total)})
 
     # a group of trees at a time: sums add up over the groups
     salted = groups.withColumn("part", F.pmod(F.col("tree"), F.lit(16)))
     spread = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    schema = f"id {dict(rows.dtypes)[key]}, pred array<double>"
+    schema = f"id {kind}, pred array<double>"
     sums = spread.groupBy("block", "part").cogroup(salted.groupBy("block", "part")).applyInPandas(run, schema)
     one = sums.select("id", F.posexplode("pred").alias("t", "v")).groupBy("id", "t").agg(F.sum("v").alias("v"))
     mean = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", (F.col("v") / trees).alias("v")))).alias("p"))
     return mean.select(F.col("id").alias(key), F.col("p.v").alias(out))
+
+
+def _predict_where_grown(rows: DataFrame, forests: Forests) -> DataFrame:
+    """(id, pred) of written rows: each task that holds trees adds up what they say of every row."""
+    spark, cuts, targets, trees = rows.sparkSession, forests.cuts, forests.targets, forests.trees
+
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": b["n"], "x": [r.tobytes() for r in binned(_matrix(b["x"]), cuts)]})
+
+    numbered = cut_lineage(rows.withColumn("n", F.monotonically_increasing_id()))
+    t = numbered.select("n", "x").mapInPandas(bins, "n long, x binary").toArrow()
+    order = np.argsort(t["n"].to_numpy())
+    number = t["n"].to_numpy()[order]
+    raw = np.frombuffer(b"".join(t["x"].to_pylist()), np.uint8).reshape(len(order), len(cuts))[order]
+    shared = spark.sparkContext.broadcast((number, raw, pickle.dumps(forests.tops)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, xb, tops = shared.value
+        own, total = pickle.loads(tops), None
+        tops_of = {}
+        for b in batches:
+            for t, k, node, blob in zip(*(b.column(c).to_pylist() for c in ("target", "tree", "node", "blob"))):
+                total = np.zeros((len(xb), targets)) if total is None else total
+                tree = _unpacked_tree(blob)
+                if (t, k) not in own:
+                    total[:, t] += tree.value[tree.leaves(xb)]
+                    continue
+                if tops_of.get("of") != (t, k):
+                    tops_of = {"of": (t, k), "at": _top_leaves(own, (t, k), xb)}
+                mine = np.flatnonzero(tops_of["at"] == node)
+                if len(mine):
+                    total[mine, t] += tree.value[tree.leaves(xb[mine])]
+        if total is not None:
+            for start in range(0, len(total), 1 << 16):
+                part = total[start : start + (1 << 16)]
+                v = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * targets, part.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(number[start : start + len(part)]), v], ["n", "v"])
+
+    sums = forests.table.mapInArrow(run, "n long, v array<double>")
+    total = sums.groupBy("n").agg(F.array(*[F.sum(F.get("v", F.lit(t))) for t in range(targets)]).alias("v"))
+    mean = cut_lineage(total.select("n", F.transform("v", lambda v: v / trees).alias("pred")))
+    return numbered.select("id", "n").join(mean, "n").select("id", "pred")
