@@ -634,6 +634,7 @@ def _predict_where_grown(rows: DataFrame, forests: Forests) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(number[start : start + len(part)]), v], ["n", "v"])
 
     sums = forests.table.mapInArrow(run, "n long, v array<double>")
-    total = sums.groupBy("n").agg(F.array(*[F.sum(F.get("v", F.lit(t))) for t in range(targets)]).alias("v"))
-    mean = cut_lineage(total.select("n", F.transform("v", lambda v: v / trees).alias("pred")))
-    return numbered.select("id", "n").join(mean, "n").select("id", "pred")
+    cells = numbered.select("id", "n").join(sums, "n")
+    # rows of one id add up
+    total = cells.groupBy("id").agg(F.array(*[F.sum(F.get("v", F.lit(t))) for t in range(targets)]).alias("v"))
+    return cut_lineage(total.select("id", F.transform("v", lambda v: v / trees).alias("pred")))

@@ -96,3 +96,23 @@ def test_euclidean_coordinates_form_no_pairs(spark, monkeypatch):
     odd = vectors_of(spark, [*x[:5], None])
     assert O._pcoa_vectors(D.Distances(odd), odd.select("sample_id"), 2, "sample_id") is None
     assert O._pcoa_vectors(D.Distances(v), v.select("sample_id").limit(7), 2, "sample_id") is None
+
+
+def test_mantel_with_an_unknown_distance_is_null_however_rows_lie(spark):
+    from tessera.operators.permutation import mantel_permutation
+
+    x = np.random.default_rng(6).random((20, 3)).tolist()
+    v = vectors_of(spark, [*x, None])
+    d = D.distance_pairs(v).repartition(8, "i")
+    row = mantel_permutation(d, d, v.select("sample_id"), 9).first()
+    assert (row.n_pairs, row.r, row.p) == (210, None, None)
+
+
+def test_predictions_of_rows_of_one_id_add_up(spark):
+    from tessera.operators import forest as Fo
+
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i % 3)], [float(i % 7)]) for i in range(30)], "sample_id long, x array<double>, y array<double>")
+    forests = Fo.fit_forests(rows, trees=3, share=0.5)
+    one = {r.sample_id: r.pred[0] for r in Fo.predict_forests(rows, forests).collect()}
+    two = {r.sample_id: r.pred[0] for r in Fo.predict_forests(rows.union(rows.limit(30)), forests).collect()}
+    assert all(two[k] == pytest.approx(2 * v) for k, v in one.items()) and len(one) == len(two) == 30
