@@ -116,3 +116,9 @@ def test_predictions_of_rows_of_one_id_add_up(spark):
     one = {r.sample_id: r.pred[0] for r in Fo.predict_forests(rows, forests).collect()}
     two = {r.sample_id: r.pred[0] for r in Fo.predict_forests(rows.union(rows.limit(30)), forests).collect()}
     assert all(two[k] == pytest.approx(2 * v) for k, v in one.items()) and len(one) == len(two) == 30
+
+
+def test_equal_distances_stay_equal_in_tables(spark):
+    x = np.random.default_rng(7).integers(0, 3, (40, 5))
+    got = D.distance_pairs(vectors_of(spark, x)).toPandas()
+    assert set(got.d) <= {float(np.sqrt(float(k))) for k in range(21)}
